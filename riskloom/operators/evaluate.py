@@ -186,21 +186,23 @@ def threshold_sweep(table: ScoreCounts, thresholds: Sequence[float], extra: Sequ
     )
     steps = spark.createDataFrame(
         [
-            (i, float(t), edges.index(t) + 1, float(extra[i]) if extra is not None else None)
+            (i, float(t), float(extra[i]) if extra is not None else None)
             for i, t in enumerate(thresholds)
         ],
-        "position int, threshold double, first_band int, extra double",
+        "position int, threshold double, extra double",
     )
-    # At most len(thresholds) + 1 bands; each step sums the bands from its own upwards.
-    packed = bands.agg(F.collect_list(F.struct("band", "pos", "neg")).alias("b"))
-    upwards = lambda name: F.aggregate(
-        F.filter(packed.scalar(), lambda x: x["band"] >= F.col("first_band")),
-        F.lit(0).cast("long"),
-        lambda acc, x: acc + x[name],
+    # At most len(thresholds) + 1 bands; each counts towards the thresholds at or below it.
+    first_bands = F.array(*[F.lit(edges.index(t) + 1) for t in thresholds])
+    reached = F.transform(first_bands, lambda first, i: F.when(first <= F.col("band"), i))
+    sums = (
+        bands.select(F.explode(F.array_compact(reached)).alias("position"), "pos", "neg")
+        .groupBy("position")
+        .agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))
     )
     ap = average_precision(table).scalar()
     out = (
-        steps.withColumns({"tp": upwards("pos"), "fp": upwards("neg")})
+        steps.join(F.broadcast(sums), "position", "left")
+        .fillna(0, ["tp", "fp"])
         .withColumns(
             {
                 "precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")),

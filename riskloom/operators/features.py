@@ -49,15 +49,18 @@ def row_id(df: DataFrame, out: str = "transaction_id", method: str = "content",
     else:
         digest = F.hex(F.xxhash64(*columns))
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
-    blocks = counted.withColumn(
-        "__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(COPIES_PER_ROW).cast("long")))
+    # Nearly all rows have few copies and unfold where they are; both branches read one exchange.
+    few = counted.where(F.col("__n") <= COPIES_PER_ROW).select(
+        *columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("__copy")
     )
-    last = F.least(F.col("__from") + COPIES_PER_ROW, F.col("__n")) - 1
-    # Only a row with many copies has more than one block, and these go to different tasks.
-    spread = blocks.repartition(*columns, "__from")
-    return spread.withColumn("__copy", F.explode(F.sequence("__from", last))).select(
-        *columns, F.concat_ws("-", digest, F.col("__copy").cast("string")).alias(out)
+    step = F.lit(COPIES_PER_ROW).cast("long")
+    blocks = counted.where(F.col("__n") > COPIES_PER_ROW).withColumn(
+        "__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, step))
     )
+    many = blocks.repartition(*columns, "__from").select(
+        *columns, F.explode(F.sequence("__from", F.least(F.col("__from") + step, F.col("__n")) - 1)).alias("__copy")
+    )
+    return few.unionByName(many).select(*columns, F.concat_ws("-", digest, F.col("__copy").cast("string")).alias(out))
 
 
 def clean_fraud(raw: DataFrame, id_method: str = "content") -> DataFrame:

@@ -54,7 +54,9 @@ def standard_scale(df: DataFrame, columns: Sequence[str], fit_on: Column | None
     return apply_standard_scale(df, fit_standard_scale(base, columns), suffix)
 
 
-def perturb_numeric(df: DataFrame, columns: Sequence[str], keys: Sequence[str], strength: float, seed: int = 42) -> DataFrame:
+def perturb_numeric(
+    df: DataFrame, columns: Sequence[str], keys: Sequence[str], strength: float, seed: int = 42, method: str = "xxhash64"
+) -> DataFrame:
     """Add normal noise of ``strength`` population deviations, the same for a row wherever it lies.
 
     Noise comes from two hashes of the row key (Box-Muller). A constant column gets deviation 1,
@@ -65,8 +67,8 @@ def perturb_numeric(df: DataFrame, columns: Sequence[str], keys: Sequence[str],
     stats = _stats(df, columns, s=F.stddev_pop)
     noisy = {}
     for i, c in enumerate(columns):
-        u = 1 - hash_fraction(keys, seed * 1_000_003 + 2 * i)
-        v = hash_fraction(keys, seed * 1_000_003 + 2 * i + 1)
+        u = 1 - hash_fraction(keys, seed * 1_000_003 + 2 * i, method)
+        v = hash_fraction(keys, seed * 1_000_003 + 2 * i + 1, method)
         normal = F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v)
         s = stats.getField(f"s_{i}")
         scale = F.when(F.coalesce(s, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(s)
