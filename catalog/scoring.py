@@ -179,7 +179,7 @@ def _sweep_sql(steps: str, score: str, ap: str, extra: str = "") -> str:
 LINEAR_STEPS = "SELECT i, CASE WHEN i = 14 THEN 0.95::DOUBLE ELSE 0.05::DOUBLE + i * ((0.95::DOUBLE - 0.05::DOUBLE) / 14) END AS t FROM range(15) r(i)"
 QUANTILE_STEPS = "[0.6, 0.6285, 0.657, 0.6855, 0.714, 0.7425, 0.771, 0.7995, 0.828, 0.8565, 0.885, 0.9135, 0.942, 0.9705, 0.999]"
 PERCENT_STEPS = f"""
-  SELECT i, 60.0 + i * 2.85 AS percentile, (SELECT quantile_cont(value, {QUANTILE_STEPS}) FROM events)[i + 1] AS t FROM range(15) r(i)
+  SELECT i, 60.0::DOUBLE + i * 2.85::DOUBLE AS percentile, (SELECT quantile_cont(value, {QUANTILE_STEPS}) FROM events)[i + 1] AS t FROM range(15) r(i)
 """
 VALUE_AP_SQL = """
   SELECT sum(pos / p * tp / (tp + fp)) FROM (

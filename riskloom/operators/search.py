@@ -21,6 +21,8 @@ FREQUENT_SHARE = 0.001
 # No more terms than this go to every task.
 FREQUENT_LIMIT = 300_000
 QUERY_TERM_LIMIT = 300_000
+# Sums of doubles depend on their order; rounded scores let equal chunks tie in every run.
+SCORE_DIGITS = 10
 # Queries scored together; larger query tables are worked off in blocks of this size.
 QUERY_BLOCK = 2048
 
@@ -117,7 +119,7 @@ def tfidf_scores(index: TermIndex, queries: DataFrame, query: str, text: str) ->
     return (
         heavy.unionByName(light)
         .groupBy(query, *CHUNK)
-        .agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
+        .agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), SCORE_DIGITS).alias("score"))
     )
 
 
@@ -174,7 +176,7 @@ def _block_top_k(ids: list, matrix: np.ndarray, vec_id: str, vec: str, query: st
             # Later rows come first among equals: order by id downwards, then a stable sort by score.
             by_id = np.argsort(batch[vec_id].to_numpy(), kind="stable")[::-1]
             names = batch[vec_id].to_numpy()[by_id]
-            scores = _unit_rows(batch[vec].tolist())[by_id] @ matrix.T
+            scores = np.round(_unit_rows(batch[vec].tolist())[by_id] @ matrix.T, SCORE_DIGITS)
             top = np.argsort(-scores, axis=0, kind="stable")[:k]
             yield pd.DataFrame(
                 {
