@@ -222,8 +222,9 @@ def performance_drift(
 def side_metadata(reference: DataFrame, current: DataFrame, time_column: str = "event_time") -> DataFrame:
     """Row count and time range per side; the range is null where the column is absent."""
     parts = []
+    kinds = [f.schema[time_column].dataType.simpleString() for f in (reference, current) if time_column in f.columns]
     for name, frame in (("reference", reference), ("current", current)):
-        ts = F.col(time_column) if time_column in frame.columns else F.lit(None).cast("timestamp")
+        ts = F.col(time_column) if time_column in frame.columns else F.lit(None).cast(kinds[0] if kinds else "timestamp")
         parts.append(
             frame.agg(F.count(F.lit(1)).alias("rows"), F.min(ts).alias("time_min"), F.max(ts).alias("time_max")).select(
                 F.lit(name).alias("side"), "rows", "time_min", "time_max"

@@ -46,7 +46,8 @@ def with_buckets(df: DataFrame, cuts: Mapping[str, Sequence[float]]) -> DataFram
     columns = list(cuts)
     values = {f"__value_{i}": _clean(c) for i, c in enumerate(columns)}
     out = df.withColumns(values)
-    splits = [[-math.inf, *cuts[c], math.inf] for c in columns]
+    # A column without values or of infinities has no cut point; any one will do.
+    splits = [[-math.inf, *(cuts[c] or [0.0]), math.inf] for c in columns]
     found = Bucketizer(
         splitsArray=splits,
         inputCols=[f"__value_{i}" for i in range(len(columns))],
@@ -267,7 +268,7 @@ def hash_thresholds(
         .agg(F.min("h").alias("h"))
         .collect()
     )
-    found = {tuple(r)[:-1]: r["h"] for r in cut}
+    found = {tuple(r)[:-1]: r["h"] for r in cut if r["h"] is not None}
     # A stratum with fewer rows than wanted gives all of them.
     out.update({k: found.get(k, 1 << hash_bits) for k in need})
     return out
