@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_LOCAL_DIRS: dict[str, str] = {}
 
 
 def build_session(app_name: str = "riskloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -36,8 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-        path = tempfile.mkdtemp(prefix="riskloom-")
-        spark.conf.set(CHECKPOINT_CONF, path)
+        # The setting is fixed once a session runs, so the folder is remembered here.
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_DIRS:
+            _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="riskloom-")
+        path = _LOCAL_DIRS[app]
     return path.rstrip("/")
 
 
