@@ -48,7 +48,7 @@ def term_counts(spark, d):
 
 def tfidf_weights(spark, d):
     index = se.build_term_index(_chunks(spark, d))
-    return index.postings.select("source", "chunk_no", "term", F.round("weight", 7).alias("weight"))
+    return index.weights().withColumn("weight", F.round("weight", 7))
 
 
 def tfidf_search(spark, d):

@@ -48,37 +48,43 @@ def _tree_nodes(model: PipelineModel) -> list[dict]:
     return nodes
 
 
-class _Leaf:
-    """A leaf as a game: what share of rows each feature's tests keep, and the tests themselves."""
-
-    def __init__(self, value: float, tests: list):
-        self.features = sorted({f for f, _, _ in tests})
-        self.keep = {f: 1.0 for f in self.features}
-        self.low = {f: -np.inf for f in self.features}
-        self.high = {f: np.inf for f in self.features}
-        self.sets: dict[int, list] = {f: [] for f in self.features}
-        for f, share, (kind, limit) in tests:
-            self.keep[f] *= share
-            if kind == "le":
-                self.high[f] = min(self.high[f], limit)
-            elif kind == "gt":
-                self.low[f] = max(self.low[f], limit)
-            else:
-                self.sets[f].append((kind == "in", np.asarray(limit)))
-        self.base = value * float(np.prod(list(self.keep.values()))) if self.features else value
-        self.table = _shapley_table(value, [self.keep[f] for f in self.features])
-
-    def add(self, x: np.ndarray, out: np.ndarray) -> None:
-        if not self.features:
-            return
-        pattern = np.zeros(len(x), dtype=np.int64)
-        for bit, f in enumerate(self.features):
-            # A comparison with NaN is false, and the trees send such a value to the right.
-            met = ~(x[:, f] <= self.low[f]) & ((x[:, f] <= self.high[f]) | (self.high[f] == np.inf))
-            for inside, members in self.sets[f]:
+def _leaf(value: float, tests: list) -> dict:
+    """A leaf as a game: the bounds each of its features must meet, and the Shapley values they earn.
+
+    Plain arrays, so that it can be sent to the tasks.
+    """
+    features = sorted({f for f, _, _ in tests})
+    place = {f: i for i, f in enumerate(features)}
+    keep, low, high = [1.0] * len(features), [-np.inf] * len(features), [np.inf] * len(features)
+    sets: list[tuple[int, bool, np.ndarray]] = []
+    for f, share, (kind, limit) in tests:
+        i = place[f]
+        keep[i] *= share
+        if kind == "le":
+            high[i] = min(high[i], limit)
+        elif kind == "gt":
+            low[i] = max(low[i], limit)
+        else:
+            sets.append((i, kind == "in", np.asarray(limit)))
+    base = value * float(np.prod(keep))
+    return {"features": features, "low": low, "high": high, "sets": sets, "base": base, "table": _shapley_table(value, keep)}
+
+
+def _add_leaf(leaf: dict, x: np.ndarray, out: np.ndarray) -> None:
+    """Add the attributions of one leaf for a batch of rows."""
+    if not leaf["features"]:
+        return
+    pattern = np.zeros(len(x), dtype=np.int64)
+    for i, f in enumerate(leaf["features"]):
+        # A comparison with NaN is false, and the trees send such a value to the right.
+        met = ~(x[:, f] <= leaf["low"][i])
+        if leaf["high"][i] < np.inf:
+            met &= x[:, f] <= leaf["high"][i]
+        for j, inside, members in leaf["sets"]:
+            if j == i:
                 met &= np.isin(x[:, f], members) == inside
-            pattern |= met.astype(np.int64) << bit
-        out[:, self.features] += self.table[pattern]
+        pattern |= met.astype(np.int64) << i
+    out[:, leaf["features"]] += leaf["table"][pattern]
 
 
 def _shapley_table(value: float, keep: list[float]) -> np.ndarray:
@@ -103,7 +109,7 @@ def _shapley_table(value: float, keep: list[float]) -> np.ndarray:
     return table
 
 
-def _leaves(nodes: list[dict], weights: Sequence[float]) -> list[_Leaf]:
+def _leaves(nodes: list[dict], weights: Sequence[float]) -> list[dict]:
     leaves = []
     for tree, weight in zip(nodes, weights):
         open_nodes = [(0, [])]
@@ -111,7 +117,7 @@ def _leaves(nodes: list[dict], weights: Sequence[float]) -> list[_Leaf]:
             node_id, tests = open_nodes.pop()
             node = tree[node_id]
             if node["leftChild"] < 0:
-                leaves.append(_Leaf(weight * node["prediction"], tests))
+                leaves.append(_leaf(weight * node["prediction"], tests))
                 continue
             f, split = node["split"]["featureIndex"], node["split"]
             values = list(split["leftCategoriesOrThreshold"])
@@ -135,7 +141,7 @@ def tree_attribution(model: PipelineModel, df: DataFrame, keep: Sequence[str] =
     names = input_names(model)
     trees = trees_of(model)
     leaves = _leaves(_tree_nodes(model), trees.treeWeights)
-    base = sum(leaf.base for leaf in leaves)
+    base = sum(leaf["base"] for leaf in leaves)
     shared = df.sparkSession.sparkContext.broadcast(leaves)
     prepared = PipelineModel(model.stages[:-1]).transform(df)
     rows = prepared.select(*keep, vector_to_array(FEATURES).alias("__x"))
@@ -146,7 +152,7 @@ def tree_attribution(model: PipelineModel, df: DataFrame, keep: Sequence[str] =
             x = np.asarray(batch["__x"].tolist(), dtype=np.float64).reshape(len(batch), width)
             out = np.zeros((len(batch), width))
             for leaf in shared.value:
-                leaf.add(x, out)
+                _add_leaf(leaf, x, out)
             result = batch.drop(columns="__x")
             for i, name in enumerate(names):
                 result[name] = out[:, i]

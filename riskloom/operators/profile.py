@@ -7,10 +7,12 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..session import stage
 from . import ordered
 
 ID_COLUMNS = ("entity_id", "dataset", "label")
 PAIRS_PER_PASS = 200
+MAX_CLASS_ROWS = 100_000
 
 
 def split_by_type(df: DataFrame, exclude: Sequence[str] = ID_COLUMNS) -> tuple[list[str], list[str]]:
@@ -138,10 +140,12 @@ def density_by_class(
     stats = long.groupBy("feature", "label").agg(
         F.count("v").alias("n"), F.stddev_samp("v").alias("s"), F.min("v").alias("low"), F.max("v").alias("high")
     ).where("n > 1 and s > 0").withColumn("bw", F.col("s") * F.pow("n", F.lit(-0.2)))
-    # One row per column and class.
+    # One row per column and class; checked, as a label column may hold anything.
+    stats = stage(stats, "class-stats")
+    small = stats.limit(MAX_CLASS_ROWS + 1).count() <= MAX_CLASS_ROWS
     cell = F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1))
     cells = (
-        long.join(F.broadcast(stats), ["feature", "label"])
+        long.join(F.broadcast(stats) if small else stats, ["feature", "label"])
         .groupBy("feature", "label", cell.alias("cell"), "n", "bw", "low", "high")
         .agg(F.count("v").alias("c"), F.avg("v").alias("centre"))
     )

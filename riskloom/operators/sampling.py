@@ -55,18 +55,18 @@ def sample_n(
 ) -> DataFrame:
     """Exactly ``n`` rows by smallest hash (all rows when there are fewer, or an error if ``strict``).
 
-    A small sample is a top-n. A larger one is a comparison with the hash of rank n, so that no task
-    sorts it; rows of equal key then stay together.
+    Rows are compared with the hash of rank n, so about n rows are left before anything is sorted,
+    whatever the number of tasks. A small sample is then cut to the row; in a large one rows of equal
+    key stay together, and with unique keys its size is exact too.
     """
     if strict:
         have = df.count()
         if have < n:
             raise ValueError(f"sample size {n} exceeds table size {have}")
     hashed = key_hash(keys, seed, method)
-    if n <= SORTED_SAMPLE_LIMIT:
-        return df.orderBy(hashed, *keys).limit(n)
     limit = hash_thresholds(df, [], hashed, HASH_BITS, {(): n})[()]
-    return df.where(hashed <= F.lit(limit))
+    rows = df.where(hashed <= F.lit(limit))
+    return rows.orderBy(hashed, *keys).limit(n) if n <= SORTED_SAMPLE_LIMIT else rows
 
 
 def sample_fraction(

@@ -45,15 +45,17 @@ def top_k_per_query(scored: DataFrame, query: Sequence[str], k: int, order: Sequ
 
 
 class TermIndex:
-    """Normalised TF-IDF weights of chunks: ``postings (source, chunk_no, term, weight)``.
+    """Term statistics of chunks, staged because every search reads them.
 
-    ``idf (term, df, idf)`` weighs a term by ``ln((1 + n) / (1 + df)) + 1`` for ``n`` chunks; terms in
-    ``cutoff`` chunks or more are the frequent ones. The tables are staged: every search reads them.
+    ``postings (source, chunk_no, term, tf)``, ``idf (term, df, idf)`` with
+    ``idf = ln((1 + n) / (1 + df)) + 1`` for ``n`` chunks, and ``norms (source, chunk_no, norm)``, the
+    length of a chunk's vector ``tf * idf``. Terms in ``cutoff`` chunks or more are the frequent ones.
     """
 
-    def __init__(self, postings: DataFrame, idf: DataFrame, chunks: DataFrame, n: int, cutoff: float, stop_words: Sequence[str]):
-        self.postings, self.idf, self.chunks = postings, idf, chunks
+    def __init__(self, chunks: DataFrame, postings: DataFrame, idf: DataFrame, n: int, cutoff: float, stop_words: Sequence[str]):
+        self.chunks, self.postings, self.idf = chunks, postings, idf
         self.n, self.cutoff, self.stop_words = n, cutoff, stop_words
+        self.norms = stage(vector_lengths(self.weigh(postings), CHUNK), "norms")
 
     @property
     def frequent(self) -> DataFrame:
@@ -63,6 +65,26 @@ class TermIndex:
     def rare(self) -> DataFrame:
         return self.idf.where(F.col("df") < F.lit(self.cutoff)).select("term", "idf")
 
+    def weigh(self, counts: DataFrame) -> DataFrame:
+        """Add ``w = tf * idf`` to rows with ``term`` and ``tf``; terms unknown to the index are left out.
+
+        Frequent terms are few and go to every task, so a term held by a third of all chunks never
+        meets in one task; the rest is an ordinary join on keys that each have few rows.
+        """
+        small = F.broadcast(self.frequent)
+        common = counts.join(small, "term")
+        others = counts.join(small.select("term"), "term", "left_anti").join(self.rare, "term")
+        return common.unionByName(others).withColumn("w", F.col("tf") * F.col("idf"))
+
+    def weights(self) -> DataFrame:
+        """Unit-length weights ``(source, chunk_no, term, weight)``."""
+        rows = self.weigh(self.postings).join(self.norms, CHUNK)
+        return rows.select(*CHUNK, "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def vector_lengths(weighed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+
 
 def frequency_cutoff(idf: DataFrame, n: int) -> float:
     """Smallest cutoff tried that leaves few enough frequent terms to send to every task."""
@@ -72,55 +94,40 @@ def frequency_cutoff(idf: DataFrame, n: int) -> float:
     return cutoff
 
 
-def tfidf_weights(counts: DataFrame, keys: Sequence[str], frequent: DataFrame, rare: DataFrame) -> DataFrame:
-    """Unit-length TF-IDF weights per key; terms without an ``idf`` are left out.
+def build_term_index(chunks: DataFrame, stop_words: Sequence[str] = ENGLISH) -> TermIndex:
+    """Index ``chunks (source, chunk_no, text)``.
 
-    Frequent terms are few and go to every task, so a term held by a third of all chunks never meets
-    in one task; the rest is an ordinary join on keys that each have few rows.
+    Chunks are spread by their key first: one shuffle of the texts, after which a chunk's terms are
+    counted where they are.
     """
-    small = F.broadcast(frequent)
-    common = counts.join(small, "term")
-    others = counts.join(small.select("term"), "term", "left_anti").join(rare, "term")
-    weighed = common.unionByName(others).withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighed.join(norms, list(keys)).select(*keys, "term", (F.col("w") / F.col("norm")).alias("weight"))
-
-
-def build_term_index(chunks: DataFrame, stop_words: Sequence[str] = ENGLISH) -> TermIndex:
-    """Index ``chunks (source, chunk_no, text)``."""
     chunks = stage(chunks, "chunks")
-    counts = stage(term_counts(chunks, CHUNK, "text", stop_words), "term-counts")
+    postings = stage(term_counts(chunks.repartition(*CHUNK), CHUNK, "text", stop_words), "postings")
     n = chunks.count()
     idf = stage(
-        counts.groupBy("term")
+        postings.groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
         .withColumn("idf", F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1),
         "idf",
     )
-    index = TermIndex(counts, idf, chunks, n, frequency_cutoff(idf, n), stop_words)
-    index.postings = stage(tfidf_weights(counts, CHUNK, index.frequent, index.rare), "postings")
-    return index
+    return TermIndex(chunks, postings, idf, n, frequency_cutoff(idf, n), stop_words)
 
 
 def tfidf_scores(index: TermIndex, queries: DataFrame, query: str, text: str) -> DataFrame:
     """Cosine of every query and chunk that share a term ``(query, source, chunk_no, score)``."""
-    counts = term_counts(queries, [query], text, index.stop_words)
-    terms = stage(tfidf_weights(counts, [query], index.frequent, index.rare), "query-terms")
-    wanted = terms.withColumnRenamed("weight", "query_weight")
-    frequent = F.broadcast(index.frequent.select("term"))
-    # The long lists of frequent terms stay where they are and the query terms come to them.
-    common = wanted.join(frequent, "term", "left_semi")
-    if common.limit(QUERY_TERM_LIMIT + 1).count() <= QUERY_TERM_LIMIT:
-        heavy = index.postings.join(F.broadcast(common), "term")
+    weighed = index.weigh(term_counts(queries, [query], text, index.stop_words))
+    # tf of the chunk is in the postings and its idf is the term's, so both idf factors go to the query.
+    factor = F.col("w") * F.col("idf") / F.col("norm")
+    wanted = stage(weighed.join(vector_lengths(weighed, [query]), query).select(query, "term", factor.alias("factor")), "query-terms")
+    if wanted.limit(QUERY_TERM_LIMIT + 1).count() <= QUERY_TERM_LIMIT:
+        # Only postings of wanted terms move, once, to their chunk's task; queries multiply them there,
+        # so pairs of query and chunk are summed and ranked without another shuffle.
+        hits = index.postings.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
+        pairs = hits.repartition(*CHUNK).join(F.broadcast(wanted), "term")
     else:
-        heavy = _salted_join(index.postings.join(frequent, "term", "left_semi"), common)
-    others = wanted.join(frequent, "term", "left_anti")
-    light = index.postings.join(frequent, "term", "left_anti").join(others, "term")
-    return (
-        heavy.unionByName(light)
-        .groupBy(query, *CHUNK)
-        .agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), SCORE_DIGITS).alias("score"))
-    )
+        pairs = _salted_join(index.postings, wanted)
+    sums = pairs.groupBy(query, *CHUNK).agg(F.sum(F.col("tf") * F.col("factor")).alias("s"))
+    score = F.round(F.col("s") / F.col("norm"), SCORE_DIGITS)
+    return sums.join(index.norms, CHUNK).select(query, *CHUNK, score.alias("score"))
 
 
 def tfidf_search(index: TermIndex, queries: DataFrame, query: str, text: str, k: int = DEFAULT_K) -> DataFrame:
@@ -130,7 +137,8 @@ def tfidf_search(index: TermIndex, queries: DataFrame, query: str, text: str, k:
     with fewer than ``k`` scored chunks is filled with the last chunks at score 0.
     """
     order = [F.desc("score"), F.desc("source"), F.desc("chunk_no")]
-    found = top_k_per_query(tfidf_scores(index, queries, query, text), [query], k, order).drop("rank")
+    # The best few per query are read twice below, so they are written once.
+    found = stage(top_k_per_query(tfidf_scores(index, queries, query, text), [query], k, order).drop("rank"), "hits")
     # At most k - 1 of the last 2k chunks can be scored already when a query needs filling.
     last = index.chunks.select(*CHUNK).orderBy(F.desc("source"), F.desc("chunk_no")).limit(2 * k)
     filler = (

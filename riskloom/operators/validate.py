@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import stage
 from .balance import duplicate_count
 
 # The data sets a store may hold, and its labels.
@@ -41,17 +42,20 @@ def _listing(df: DataFrame, column: str, allowed: Sequence, quote: bool) -> Data
 def validate_feature_store(df: DataFrame, datasets: Sequence[str] = DATASETS, labels: Sequence[int] = LABELS) -> DataFrame:
     """The seven checks of a feature store as rows ``(position, name, success, details)``.
 
-    Row count and null checks share one aggregate. Stray values and duplicate keys each need a
-    grouping of their own; both combine map-side.
+    One pass counts rows and missing fields per data set and label; all checks but one read that
+    small staged table. Duplicate keys need a grouping of their own. Both combine map-side.
     """
     nulls = [("entity_id_not_null", "entity_id"), ("features_not_null", "features"), ("label_not_null", "label")]
-    counts = df.agg(
-        F.struct(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(c).isNull()).alias(c) for _, c in nulls]).alias("c")
-    ).scalar()
+    groups = stage(
+        df.groupBy("dataset", "label").agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"no_{c}") for _, c in nulls]),
+        "store-groups",
+    )
+    total = lambda column: F.coalesce(F.sum(column), F.lit(0))
+    counts = groups.agg(F.struct(total("rows").alias("rows"), *[total(f"no_{c}").alias(c) for _, c in nulls]).alias("c"))
     base = df.sparkSession.range(1).select(
-        counts.alias("c"),
-        _listing(df, "dataset", datasets, quote=True).select(F.struct("k", "listing")).scalar().alias("d"),
-        _listing(df, "label", labels, quote=False).select(F.struct("k", "listing")).scalar().alias("l"),
+        counts.scalar().alias("c"),
+        _listing(groups, "dataset", datasets, quote=True).select(F.struct("k", "listing")).scalar().alias("d"),
+        _listing(groups, "label", labels, quote=False).select(F.struct("k", "listing")).scalar().alias("l"),
         duplicate_count(df, ["entity_id", "dataset"]).scalar().alias("dup"),
     )
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.prompts import build_prompts, source_list, summarise_sources
 from ..operators.search import CHUNK, TermIndex, bounded_k, tfidf_search
 
+FEW_QUESTIONS = 100_000
+
 
 @dataclass
 class Answers:
@@ -19,9 +21,14 @@ class Answers:
 
 
 def retrieve(index: TermIndex, questions: DataFrame, k: int = 4, query: str = "query_id", text: str = "question") -> DataFrame:
-    """Best chunks per question with their text ``(query, rank, source, chunk_no, score, text)``."""
+    """Best chunks per question with their text ``(query, rank, source, chunk_no, score, text)``.
+
+    The hits of a checked number of questions go to the chunks; more than that are joined by key.
+    """
     hits = tfidf_search(index, questions, query, text, bounded_k(k))
-    return hits.join(index.chunks.select(*CHUNK, "text"), CHUNK).select(query, "rank", *CHUNK, "score", "text")
+    few = questions.limit(FEW_QUESTIONS + 1).count() <= FEW_QUESTIONS
+    texts = index.chunks.select(*CHUNK, "text")
+    return texts.join(F.broadcast(hits) if few else hits, CHUNK).select(query, "rank", *CHUNK, "score", "text")
 
 
 def answer(index: TermIndex, questions: DataFrame, k: int = 4, query: str = "query_id", text: str = "question") -> Answers:

@@ -27,12 +27,13 @@ def drift_report(
     current_metrics: DataFrame | None = None,
     tolerances: DataFrame | None = None,
     time_column: str = "event_time",
+    p_method: str = "auto",
 ) -> DriftReport:
     """All features in one pass each for PSI and KS, metric drift, and one header row.
 
     A missing metrics table counts as empty when the other one is given.
     """
-    by_feature = drift.feature_drift(reference, current, features, psi_threshold, p_threshold)
+    by_feature = drift.feature_drift(reference, current, features, psi_threshold, p_threshold, p_method)
     metrics = None
     if baseline_metrics is not None or current_metrics is not None:
         none = reference.sparkSession.createDataFrame([], "metric string, value double")

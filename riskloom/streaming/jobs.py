@@ -52,6 +52,7 @@ def stream_drift(
     checkpoint: str,
     psi_threshold: float = PSI_THRESHOLD,
     p_threshold: float = P_VALUE_THRESHOLD,
+    p_method: str = "auto",
 ) -> StreamingQuery:
     """Drift of every micro-batch against a stored reference.
 
@@ -61,7 +62,7 @@ def stream_drift(
     def report(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        feature_drift(reference, batch, features, psi_threshold, p_threshold).write.mode("overwrite").parquet(
+        feature_drift(reference, batch, features, psi_threshold, p_threshold, p_method).write.mode("overwrite").parquet(
             f"{path}/batch_id={batch_id}"
         )
 
