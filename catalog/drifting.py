@@ -75,6 +75,15 @@ def drift_features(spark, d):
     return rounded(out, ["psi", "ks_statistic", "ks_pvalue"], 7).drop("alerts")
 
 
+def drift_common_columns(spark, d):
+    # Without a list the features are the columns that both sides have.
+    reference, current = _items(spark, d)
+    left = reference.select("l_quantity", "l_returnflag", "l_tax", "l_suppkey")
+    right = current.select("l_tax", "l_returnflag", "l_quantity", "l_partkey")
+    out = dr.feature_drift(left, right, p_method="series")
+    return rounded(out, ["psi", "ks_statistic", "ks_pvalue"], 7).drop("alerts")
+
+
 def drift_header(spark, d):
     reference, current = halves(spark, d)
     shifted = current.withColumn("value", F.col("value") * 1.2)
@@ -93,6 +102,7 @@ QUERIES = {
     "category_counts": category_counts,
     "metric_drift": metric_drift,
     "drift_report": drift_features,
+    "drift_common_columns": drift_common_columns,
     "drift_header": drift_header,
 }
 
@@ -138,8 +148,11 @@ def _ks_sql(source: str, columns: list[str], digits: int) -> str:
 
 
 SHIFTED_SQL = f"SELECT * REPLACE (CASE WHEN side = 1 THEN value * 1.2 ELSE value END AS value) FROM ({HALVES_SQL})"
-REPORT_SQL = f"""
-    WITH p AS ({_psi_sql(SHIFTED_SQL, NUMERIC, CATEGORICAL, 10, 7)}), k AS ({_ks_sql(SHIFTED_SQL, NUMERIC, 7)}),
+
+
+def _report_sql(source: str, numeric: list[str], categorical: list[str]) -> str:
+    return f"""
+    WITH p AS ({_psi_sql(source, numeric, categorical, 10, 7)}), k AS ({_ks_sql(source, numeric, 7)}),
     a AS (SELECT feature, psi, ks_statistic, ks_pvalue,
                  CASE WHEN psi >= 0.2 THEN 'PSI ' || format('{{:.3f}}', psi) || ' >= threshold 0.2' END AS x,
                  CASE WHEN ks_pvalue <= 0.05 THEN 'KS p-value ' || format('{{:.3f}}', ks_pvalue) || ' <= threshold 0.05' END AS y
@@ -148,6 +161,9 @@ REPORT_SQL = f"""
            CASE WHEN x IS NULL AND y IS NULL THEN 'OK' ELSE concat_ws(', ', x, y) END AS alert_text
     FROM a"""
 
+
+REPORT_SQL = _report_sql(SHIFTED_SQL, NUMERIC, CATEGORICAL)
+
 SQL = {
     "psi_numeric": _psi_sql(HALVES_SQL, NUMERIC, [], 10, 8),
     "psi_numeric_lineitem": _psi_sql(ITEMS_SQL, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], [], 20, 8),
@@ -164,6 +180,7 @@ SQL = {
         SELECT metric, round(baseline, 6) AS baseline, round(current, 6) AS current, round(current - baseline, 6) AS delta,
                CAST(tolerance AS DOUBLE) AS tolerance, coalesce(abs(current - baseline) > tolerance, true) AS alert FROM j""",
     "drift_report": REPORT_SQL,
+    "drift_common_columns": _report_sql(ITEMS_SQL, ["l_quantity", "l_tax"], ["l_returnflag"]),
     "drift_header": f"""
         SELECT count(*) FILTER (side = 0) AS reference_rows, min(event_time) FILTER (side = 0) AS reference_time_min,
                max(event_time) FILTER (side = 0) AS reference_time_max, count(*) FILTER (side = 1) AS current_rows,

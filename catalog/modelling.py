@@ -8,11 +8,16 @@ from riskloom.functions.scalars import seconds_since
 from riskloom.operators import attribution as at
 from riskloom.operators import models as mo
 from riskloom.operators.sampling import stratified_split
+from riskloom.plans.feature_store import CHURN_FILE, FRAUD_FILE, build_feature_store
+from riskloom.plans.training import run_training_pipeline
 from riskloom.session import staged_path
+from riskloom.sources import sinks
+from riskloom.sources.readers import read_feature_store
+from riskloom.sources.schemas import CHURN_RAW, FRAUD_RAW
 from riskloom.streaming import jobs
 
 from . import drifting
-from .tables import CLEAN_FRAUD_SQL, HALVES_SQL, LINE_COLUMNS, ORIGIN, customers, halves, rounded, table
+from .tables import CLEAN_FRAUD_SQL, CUSTOMERS_SQL, HALVES_SQL, LINE_COLUMNS, ORIGIN, customers, halves, rounded, table
 
 # Few rounds: the queries show the work, the full number is the default of the operators.
 ROUNDS = {"rounds": 5, "depth": 4}
@@ -96,6 +101,40 @@ def mean_abs(spark, d):
     return rounded(out, ["mean_abs_shap"])
 
 
+def _raw_tables(spark, d):
+    """Raw CSV files: customers, and events with the vector of their number as components."""
+    vectors = table(spark, d, "embeddings")
+    n = vectors.count()
+    components = vectors.select(
+        F.col("vec_id"), F.col("label").alias("kind"), *[F.col("embedding")[i].cast("double").alias(f"V{i + 1}") for i in range(28)]
+    )
+    events = table(spark, d, "events").select(
+        seconds_since("ts", ORIGIN).alias("Time"), F.col("value").alias("Amount"), (F.col("event_id") % n).alias("vec_id")
+    )
+    fraud = events.join(components, "vec_id").withColumn("Class", (F.col("kind") == 0).cast("int"))
+    root = staged_path(spark, "raw")
+    sinks.write_csv_table(customers(spark, d).select(*CHURN_RAW.names), f"{root}/{CHURN_FILE}")
+    sinks.write_csv_table(fraud.select(*FRAUD_RAW.names), f"{root}/{FRAUD_FILE}")
+    return root
+
+
+def feature_store_build(spark, d):
+    root = _raw_tables(spark, d)
+    paths = build_feature_store(spark, root, f"{root}/processed", f"{root}/store")
+    return read_feature_store(spark, paths.store).groupBy("dataset", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("entity_id").alias("entities")
+    )
+
+
+def training_pipeline(spark, d):
+    root = _raw_tables(spark, d)
+    steps = run_training_pipeline(
+        spark, f"{root}/store", f"{root}/out", raw_dir=root, log_path=f"{root}/runs", fraud_options=ROUNDS, churn_options=ROUNDS, sample=200
+    )
+    rows = [(name, metric, float(value)) for name, step in steps.items() if step for metric, value in step.metrics.items()]
+    return spark.createDataFrame(rows, "step string, metric string, value double")
+
+
 def _event_stream(spark, d):
     schema = table(spark, d, "events").schema
     return spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")
@@ -140,6 +179,8 @@ QUERIES = {
     "tree_attribution": tree_attribution,
     "linear_attribution": linear_attribution,
     "mean_abs_attribution": mean_abs,
+    "feature_store_build": feature_store_build,
+    "training_pipeline": training_pipeline,
     "stream_class_rate": stream_class_rate,
     "stream_features": stream_features,
     "stream_drift": stream_drift,
@@ -153,6 +194,11 @@ ATTRIBUTION_SQL = (
 BOTH_SQL = f"SELECT * FROM ({HALVES_SQL}) WHERE side = 0 UNION ALL SELECT * REPLACE (1 AS side) FROM ({HALVES_SQL})"
 
 SQL = {
+    "feature_store_build": f"""
+        SELECT 'churn' AS dataset, "Exited" AS label, count(*) AS n, count(*) AS entities FROM ({CUSTOMERS_SQL}) GROUP BY 2
+        UNION ALL
+        SELECT 'fraud', CAST(label = 0 AS INTEGER), count(*), count(*)
+        FROM events JOIN embeddings ON vec_id = event_id % (SELECT count(*) FROM embeddings) GROUP BY 2""",
     "linear_attribution": "SELECT l_orderkey, l_linenumber, "
     + ", ".join(f"round({c}, 6) AS {c}" for c in LINE_COLUMNS) + f" FROM ({ATTRIBUTION_SQL})",
     "mean_abs_attribution": " UNION ALL ".join(

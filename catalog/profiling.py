@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from riskloom.functions.bands import band
 from riskloom.functions.scalars import safe_ratio
 from riskloom.operators import balance as ba
+from riskloom.operators import features as ft
 from riskloom.operators import profile as pr
 from riskloom.operators import segment as sg
 from riskloom.operators.evaluate import group_rates
+from riskloom.sources.schemas import CHURN_FEATURES
 
-from .tables import CUSTOMER_SCORES_SQL, CUSTOMERS_SQL, LINE_COLUMNS, customer_scores, customers, is_error, rounded, table
+from .tables import CLEAN_CHURN_SQL, CUSTOMER_SCORES_SQL, CUSTOMERS_SQL, LINE_COLUMNS, customer_scores, customers, is_error, rounded, table
 
 AMOUNT_EDGES, AMOUNT_LABELS = [10, 50, 100], ["tiny", "small", "middle", "large"]
 # Price per second of the stand-in devices.
@@ -79,6 +81,13 @@ def profile_numeric(spark, d):
     return rounded(out, ["mean", "std", "p25", "p50", "p75", "iqr", "skew"], 5)
 
 
+def profile_customers(spark, d):
+    # All numeric columns that are features, as the schema tells.
+    rows = ft.unpack_features(ft.churn_features(ft.clean_churn(customers(spark, d))), CHURN_FEATURES)
+    numeric, _ = pr.split_by_type(rows)
+    return rounded(pr.profile_numeric(rows, numeric), ["mean", "std", "min", "p25", "p50", "p75", "max", "iqr", "skew"], 4)
+
+
 def skew_rank(spark, d):
     return rounded(pr.skew_rank(table(spark, d, "lineitem"), LINE_COLUMNS, top=3), ["skew"], 5)
 
@@ -146,6 +155,7 @@ QUERIES = {
     "latency_summary": latency,
     "cost_per_million": cost,
     "profile_numeric": profile_numeric,
+    "profile_customers": profile_customers,
     "skew_rank": skew_rank,
     "missing_share": missing_share,
     "correlation_matrix": correlation,
@@ -188,6 +198,10 @@ SEGMENT_SQL = f"""
   FROM ({CUSTOMER_SCORES_SQL}) s, q
 """
 SEGMENTED_SQL = f"""SELECT c.*, s.label, s.segment FROM ({CUSTOMERS_SQL}) c JOIN ({SEGMENT_SQL}) s ON c."CustomerId" = s.entity_id"""
+STORE_NUMERIC = [
+    "Age", "Tenure", "Balance", "EstimatedSalary", "NumOfProducts", "is_active_flag", "is_active_member", "has_cr_card", "CreditScore",
+    "balance_salary_ratio",
+]
 BALANCE_SQL = """
   SELECT CASE WHEN value < 10 THEN 'tiny' WHEN value < 50 THEN 'small' WHEN value < 100 THEN 'middle' ELSE 'large' END AS amount_band,
          CAST(event_type = 'error' AS INTEGER) AS label FROM events
@@ -235,6 +249,8 @@ SQL = {
         SELECT event_type, round(mean_seconds / {BATCH} * 1000000 * rate, 9) AS cost_per_million
         FROM ({LATENCY_SQL}) JOIN (VALUES {RATES_SQL}) r(event_type, rate) USING (event_type)""",
     "profile_numeric": _numeric_sql("SELECT * FROM lineitem", LINE_COLUMNS, 5),
+    "profile_customers": f"""SELECT * REPLACE (round(min, 4) AS min, round(max, 4) AS max) FROM ({_numeric_sql(
+        CLEAN_CHURN_SQL.replace("is_active_member", "is_active_member, " + '"IsActiveMember" AS is_active_flag', 1), STORE_NUMERIC, 4)})""",
     "skew_rank": "SELECT * FROM ("
     + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(skewness({c}), 5) AS skew FROM lineitem" for c in LINE_COLUMNS)
     + ") ORDER BY abs(skew) DESC, feature LIMIT 3",

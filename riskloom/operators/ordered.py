@@ -89,8 +89,11 @@ def running_sums(
     """
     keys = [*by, "bucket"]
     names = list(sums)
-    counts = df.groupBy(*keys, order).agg(*[expr.alias(n) for n, expr in sums.items()])
-    totals = df.groupBy(*keys).agg(*[expr.alias(n) for n, expr in sums.items()])
+    # The join below asks for keys that are not null. Asking here keeps both branches alike, so that
+    # they share one exchange and the table is read and shuffled once.
+    known = df.where(F.col("bucket").isNotNull())
+    counts = known.groupBy(*keys, order).agg(*[expr.alias(n) for n, expr in sums.items()])
+    totals = counts.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     before = W.partitionBy(*by).orderBy(direction("bucket")).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*by)
@@ -192,12 +195,13 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], column: str, probs: Sequ
 
     Cut points of the whole column bound every (group, bucket) by a bucket's share of all rows.
     """
-    value = df.select(*by, F.col(column).cast("double").alias("value"))
+    # A struct is never null itself, so groups with missing parts of their key are kept.
+    value = df.select(F.struct(*by).alias("key"), F.col(column).cast("double").alias("value"))
     bucketed = with_buckets(value, cut_points(value, ["value"]))
     rows = bucketed.where(F.col("__value_0").isNotNull()).select(
-        *by, F.col("__bucket_0").alias("bucket"), F.col("__value_0").alias("value")
+        "key", F.col("__bucket_0").alias("bucket"), F.col("__value_0").alias("value")
     )
-    run = running_sums(rows, {"n": F.count(F.lit(1))}, by=by, few_keys=False)
+    run = running_sums(rows, {"n": F.count(F.lit(1))}, by=["key"], few_keys=False)
     picks = []
     for i, p in enumerate(probs):
         h = (F.col("all_n") - 1) * F.lit(float(p))
@@ -207,9 +211,9 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], column: str, probs: Sequ
             F.max(F.when(at(F.ceil(h)), F.col("value"))).alias(f"high_{i}"),
             F.max(F.when(at(F.floor(h)), h - F.floor(h))).alias(f"part_{i}"),
         ]
-    found = run.groupBy(*by).agg(*picks)
+    found = run.groupBy("key").agg(*picks)
     return found.select(
-        *by,
+        "key.*",
         F.array(
             *[F.col(f"low_{i}") + (F.col(f"high_{i}") - F.col(f"low_{i}")) * F.col(f"part_{i}") for i in range(len(probs))]
         ).alias("quantiles"),

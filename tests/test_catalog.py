@@ -39,7 +39,7 @@ def test_query_equals_sql(spark, sf_dir, con, name):
 def test_registry():
     assert set(SQL) <= set(QUERIES)
     without = set(QUERIES) - set(SQL)
-    assert without == {"fraud_model", "feature_importance", "training_history", "churn_model", "anomaly_model", "tree_attribution", "ks_two_sample_exact"}
+    assert without == {"fraud_model", "feature_importance", "training_history", "churn_model", "anomaly_model", "tree_attribution", "ks_two_sample_exact", "training_pipeline"}
 
 
 def test_entry(spark, sf_dir):

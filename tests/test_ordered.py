@@ -75,3 +75,18 @@ def test_hash_thresholds(spark):
     assert counts[0] == 100 and limits[(1,)] == -1
     everything = ordered.hash_thresholds(df, [], hashed, 60, {(): 5000})[()]
     assert df.where(hashed <= F.lit(everything)).count() == 1000
+
+
+def test_null_groups_are_kept(spark):
+    df = spark.createDataFrame([(None, "a", 1.0), (None, "a", 3.0), ("x", None, 5.0)], "g string, h string, v double")
+    got = {(r["g"], r["h"]): r["quantiles"] for r in ordered.grouped_quantiles(df, ["g", "h"], "v", [0.5]).collect()}
+    assert got == {(None, "a"): [2.0], ("x", None): [5.0]}
+
+
+def test_running_sums_read_the_table_once(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    run = ordered.running_sums(ordered.long_values(df, ordered.cut_points(df, ["l_extendedprice"])), {"n": F.count(F.lit(1))}, by=["feature"])
+    run.collect()
+    plan = run._jdf.queryExecution().toString()
+    final = plan[plan.index("Final Plan") : plan.index("Initial Plan")]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final
