@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.operators import drift as dr
+from riskloom.operators.evaluate import linspace
 from riskloom.plans.drift_report import drift_report
 
 from .tables import HALVES_SQL, halves, rounded, table
@@ -118,7 +119,7 @@ def _psi_of(bins: str) -> str:
 
 
 def _numeric_bins(source: str, column: str, n: int) -> str:
-    probs = "[" + ", ".join(f"{i}::DOUBLE / {n}" for i in range(1, n)) + "]"
+    probs = "[" + ", ".join(f"'{p!r}'::DOUBLE" for p in linspace(0.0, 1.0, n + 1)[1:-1]) + "]"
     return f"""
         SELECT side, len(list_filter(list_distinct(q), lambda x: x <= {column})) AS bin
         FROM ({source}), (SELECT quantile_cont({column}, {probs}) AS q FROM ({source}) WHERE side = 0)"""

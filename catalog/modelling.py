@@ -61,7 +61,7 @@ CHURN_NOMINAL = ["Geography", "Gender"]
 def churn_model(spark, d):
     rows = customers(spark, d).withColumnsRenamed({"CustomerId": "entity_id", "Exited": "label"})
     train, valid = _parts(rows)
-    return mo.score_batch(mo.train_churn(train, CHURN_NUMERIC, CHURN_NOMINAL, impute=True, **ROUNDS), valid)
+    return mo.score_batch(mo.train_churn(train, CHURN_NUMERIC, CHURN_NOMINAL, **ROUNDS), valid)
 
 
 def _vectors(spark, d):

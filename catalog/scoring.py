@@ -177,7 +177,14 @@ def _sweep_sql(steps: str, score: str, ap: str, extra: str = "") -> str:
 
 
 LINEAR_STEPS = "SELECT i, CASE WHEN i = 14 THEN 0.95::DOUBLE ELSE 0.05::DOUBLE + i * ((0.95::DOUBLE - 0.05::DOUBLE) / 14) END AS t FROM range(15) r(i)"
-QUANTILE_STEPS = "[0.6, 0.6285, 0.657, 0.6855, 0.714, 0.7425, 0.771, 0.7995, 0.828, 0.8565, 0.885, 0.9135, 0.942, 0.9705, 0.999]"
+
+
+def _doubles(values) -> str:
+    return "[" + ", ".join(f"'{float(v)!r}'::DOUBLE" for v in values) + "]"
+
+
+QUANTILE_STEPS = _doubles(p / 100 for p in ev.linspace(60.0, 99.9, 15))
+TENTHS = _doubles(ev.linspace(0.0, 1.0, 11)[1:-1])
 PERCENT_STEPS = f"""
   SELECT i, 60.0::DOUBLE + i * 2.85::DOUBLE AS percentile, (SELECT quantile_cont(value, {QUANTILE_STEPS}) FROM events)[i + 1] AS t FROM range(15) r(i)
 """
@@ -192,7 +199,7 @@ VALUE_AP_SQL = """
 def _calibration_sql(score: str, shown: str) -> str:
     return f"""
         WITH s AS ({SCORES_SQL}),
-        e AS (SELECT quantile_cont({score}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q, min({score}) AS lo, max({score}) AS hi FROM s),
+        e AS (SELECT quantile_cont({score}, {TENTHS}) AS q, min({score}) AS lo, max({score}) AS hi FROM s),
         b AS (SELECT len(list_filter(q, lambda x: x < {score})) AS bin, label, {shown} AS v FROM s, e)
         SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, round(avg(v), 6) AS mean_score, round(avg(label), 6) AS positive_rate FROM b GROUP BY bin"""
 

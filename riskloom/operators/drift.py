@@ -21,6 +21,7 @@ METRIC_TOLERANCE = 0.02
 EPSILON = 1e-6
 # Fixed value: up to this many values a side the KS p-value is exact.
 EXACT_LIMIT = 10_000
+SERIES_TERMS = 100
 
 SIDE = "__side"
 REFERENCE, CURRENT = 0, 1
@@ -135,10 +136,8 @@ def ks_p_value(d: Column, n: Column, m: Column) -> Column:
     """Two-sided p-value of the Kolmogorov series at the effective size, with Stephens' correction."""
     size = F.sqrt(n * m / (n + m))
     lam = (size + F.lit(0.12) + F.lit(0.11) / size) * d
-    series = None
-    for k in range(1, 101):
-        term = F.lit(2.0 * (-1) ** (k - 1)) * F.exp(F.lit(-2.0 * k * k) * lam * lam)
-        series = term if series is None else series + term
+    term = lambda k: F.when(k % 2 == 1, F.lit(2.0)).otherwise(F.lit(-2.0)) * F.exp(F.lit(-2.0) * k * k * lam * lam)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(SERIES_TERMS)), F.lit(0.0), lambda total, k: total + term(k))
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
 
 

@@ -66,12 +66,20 @@ def test_save_and_load(parts, model, tmp_path):
     assert mo.score_batch(mo.load_model(str(tmp_path / "m")), parts[1]).exceptAll(mo.score_batch(model, parts[1])).isEmpty()
 
 
-def test_unseen_category_and_missing_number(parts):
-    model = mo.train_boosted(parts[0], ["a", "b"], ["g"], rounds=2, depth=2, impute=True)
+def test_unseen_category_and_missing_number(parts, model):
     odd = parts[1].limit(3).withColumn("g", F.lit("new")).withColumn("a", F.lit(None).cast("double"))
     assert mo.score_batch(model, odd).where("probability is not null").count() == 3
 
 
+def test_missing_numbers_are_split_off(spark):
+    rng = np.random.default_rng(3)
+    rows = [(str(i), None if i % 3 == 0 else (float("nan") if i % 3 == 1 and i % 2 else float(x)), int(i % 3 == 0 or (i % 3 == 1 and i % 2)))
+            for i, x in enumerate(rng.normal(size=600))]
+    df = spark.createDataFrame(rows, "entity_id string, a double, label int")
+    scored = mo.score_batch(mo.train_boosted(df, ["a"], rounds=2, depth=2, row_share=1.0, column_share=1.0), df)
+    assert auc_of(scored) == 1.0
+
+
 def test_encode_categories(spark):
     df = spark.createDataFrame([("b",), ("b",), ("a",), (None,)], "g string")
     assert {r["g"]: r["g_code"] for r in mo.encode_categories(df, ["g"]).collect()} == {"b": 0.0, "a": 1.0, None: 2.0}
