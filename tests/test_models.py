@@ -106,6 +106,8 @@ def test_anomaly_equals_numpy(spark, tmp_path):
     assert sum(r["prediction"] for r in rows.values()) == (errors >= model.threshold - 1e-12).sum()
     assert auc_of(model.score(df), "reconstruction_error") > 0.95
     model.save(str(tmp_path / "anomaly"))
+    with pytest.raises(Exception, match="missing value"):
+        model.score(df.withColumn("p", F.lit(None).cast("double"))).collect()
     again = mo.AnomalyModel.load(spark, str(tmp_path / "anomaly"))
     assert again.score(df).exceptAll(model.score(df)).isEmpty()
 
