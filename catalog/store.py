@@ -290,7 +290,7 @@ SQL = {
                (row_number() OVER (PARTITION BY l_orderkey, l_linenumber) - 1) AS row_id
         FROM lineitem""",
     "category_codes": """
-        WITH c AS (SELECT c_mktsegment, row_number() OVER (ORDER BY count(*) DESC, c_mktsegment) - 1 AS code FROM customer GROUP BY 1)
+        WITH c AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS code FROM customer GROUP BY 1)
         SELECT c_custkey, c_mktsegment, CAST(code AS INTEGER) AS code FROM customer JOIN c USING (c_mktsegment)""",
     "cut_bands": f"""
         SELECT customer_id AS "CustomerId", credit_score_bucket AS credit, tenure_bucket AS tenure,

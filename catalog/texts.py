@@ -74,6 +74,10 @@ def summaries(spark, d):
     return answer(se.build_term_index(_chunks(spark, d)), _questions(spark, d), K).summaries
 
 
+def responses(spark, d):
+    return answer(se.build_term_index(_chunks(spark, d)), _questions(spark, d), K).responses
+
+
 def sources(spark, d):
     return pt.source_list(_hits(spark, d))
 
@@ -93,6 +97,7 @@ QUERIES = {
     "persona_lookup": personas,
     "prompts": prompts,
     "summaries": summaries,
+    "responses": responses,
     "source_list": sources,
 }
 
@@ -149,6 +154,12 @@ HITS_CTE = f"""{INDEX_CTE},
 RULES_SQL = " ".join(f"WHEN '{p}' THEN ['" + "', '".join(r.replace("'", "''") for r in rules) + "']" for p, rules in pt.PERSONA_RULES.items())
 NL = "chr(10)"
 
+SUMMARY_CTE = rf"""{HITS_CTE},
+  ln AS (SELECT query_id, rank, {STRIP.format(r"regexp_replace(text, '\s+', ' ', 'g')")} AS t FROM ht WHERE rank <= {pt.SUMMARY_SOURCES}),
+  sh AS (SELECT query_id, rank, CASE WHEN length(t) <= {pt.SUMMARY_WIDTH} THEN t
+           ELSE regexp_extract(t, '^(.{{1,{pt.SUMMARY_WIDTH - 1}}}) ', 1) || '…' END AS t FROM ln),
+  su AS (SELECT query_id, string_agg('- Source ' || rank || ': ' || t, {NL} ORDER BY rank) AS summary FROM sh GROUP BY query_id)"""
+
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -181,12 +192,11 @@ SQL = {
                '{pt.CONTEXT_HEAD}' || {NL} || coalesce(c, {_quoted(pt.NO_CONTEXT)}),
                '{pt.QUESTION_HEAD}' || {NL} || {STRIP.format('question')}, {_quoted(pt.ANSWER_FRAME)}) AS prompt
         FROM ({QUESTIONS_SQL}) LEFT JOIN cx USING (query_id)""",
-    "summaries": rf"""
-        WITH {HITS_CTE},
-        ln AS (SELECT query_id, rank, {STRIP.format(r"regexp_replace(text, '\s+', ' ', 'g')")} AS t FROM ht WHERE rank <= {pt.SUMMARY_SOURCES}),
-        sh AS (SELECT query_id, rank, CASE WHEN length(t) <= {pt.SUMMARY_WIDTH} THEN t
-                 ELSE regexp_extract(t, '^(.{{1,{pt.SUMMARY_WIDTH - 1}}}) ', 1) || '…' END AS t FROM ln)
-        SELECT query_id, string_agg('- Source ' || rank || ': ' || t, {NL} ORDER BY rank) AS summary FROM sh GROUP BY query_id""",
+    "summaries": f"WITH {SUMMARY_CTE} SELECT query_id, summary FROM su",
+    "responses": f"""
+        WITH {SUMMARY_CTE}
+        SELECT query_id, concat_ws({NL} || {NL}, {_quoted(pt.ANSWER_HEAD)}, summary, {_quoted(pt.ANSWER_POINTS)}, {_quoted(pt.DISCLAIMER)}) AS response
+        FROM su""",
     "source_list": f"""
         WITH {HITS_CTE}
         SELECT query_id, rank, CAST(source AS VARCHAR) AS source, format('{{:.3f}}', score) AS score,

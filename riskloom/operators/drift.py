@@ -67,7 +67,7 @@ def _side_counts(prefix: str = "") -> list[Column]:
 
 
 def _psi_sum(counts: DataFrame) -> DataFrame:
-    """PSI per feature from counts per ``(feature, bin)``; null when one side has no values."""
+    """PSI per feature from the counts of its bins; null when one side has no values."""
     totals = counts.groupBy("feature").agg(F.sum("reference").alias("all_r"), F.sum("current").alias("all_c"))
     p = F.col("reference") / (F.col("all_r") + F.lit(EPSILON))
     q = F.col("current") / (F.col("all_c") + F.lit(EPSILON))
@@ -90,16 +90,19 @@ def numeric_bins(edges: Mapping[str, Sequence[float | None]]) -> dict[str, Colum
 
 
 def _bin_counts(tagged: DataFrame, numeric: Mapping[str, Column], categorical: Sequence[str]) -> DataFrame:
-    """Counts per ``(feature, bin, side)``: the table is unpivoted once and summed map-side."""
+    """Counts per ``(feature, bin or category)`` and side: the table is unpivoted once and summed map-side."""
     entries = [
-        F.struct(F.lit(f).alias("feature"), F.when(_present(f), expr.cast("string")).alias("bin"))
+        F.struct(F.lit(f).alias("feature"), F.when(_present(f), expr).alias("bin"), F.lit(None).cast("string").alias("category"))
         for f, expr in numeric.items()
-    ] + [F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("bin")) for f in categorical]
+    ] + [
+        F.struct(F.lit(f).alias("feature"), F.lit(None).cast("int").alias("bin"), F.col(f).cast("string").alias("category"))
+        for f in categorical
+    ]
     return (
         tagged.select(SIDE, F.explode(F.array(*entries)).alias("e"))
-        .select(SIDE, "e.feature", "e.bin")
-        .where("bin is not null")
-        .groupBy("feature", "bin")
+        .select(SIDE, "e.feature", "e.bin", "e.category")
+        .where("bin is not null or category is not null")
+        .groupBy("feature", "bin", "category")
         .agg(*_side_counts())
     )
 

@@ -54,7 +54,10 @@ def with_buckets(df: DataFrame, cuts: Mapping[str, Sequence[float]]) -> DataFram
         outputCols=[f"__bucket_{i}" for i in range(len(columns))],
         handleInvalid="keep",
     ).transform(out)
-    return found.withColumns({f"__bucket_{i}": F.col(f"__bucket_{i}").cast("int") for i in range(len(columns))})
+    # Never null: a filter or join on the bucket would otherwise look it up a second time per row.
+    return found.withColumns(
+        {f"__bucket_{i}": F.coalesce(F.col(f"__bucket_{i}").cast("int"), F.lit(-1)) for i in range(len(columns))}
+    )
 
 
 def long_values(df: DataFrame, cuts: Mapping[str, Sequence[float]], carry: Sequence[str] = ()) -> DataFrame:
@@ -89,10 +92,9 @@ def running_sums(
     """
     keys = [*by, "bucket"]
     names = list(sums)
-    # The join below asks for keys that are not null. Asking here keeps both branches alike, so that
-    # they share one exchange and the table is read and shuffled once.
-    known = df.where(F.col("bucket").isNotNull())
-    counts = known.groupBy(*keys, order).agg(*[expr.alias(n) for n, expr in sums.items()])
+    # Buckets are never null, so the join below adds no filter and both branches stay alike: they share
+    # one exchange, and the table is read and shuffled once.
+    counts = df.groupBy(*keys, order).agg(*[expr.alias(n) for n, expr in sums.items()])
     totals = counts.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     before = W.partitionBy(*by).orderBy(direction("bucket")).rowsBetween(W.unboundedPreceding, -1)

@@ -39,6 +39,16 @@ PERSONA_RULES: dict[str, tuple[str, ...]] = {
         "Mention key metrics (precision, recall, AUCPR) when explaining model behaviour.",
     ),
 }
+# The frame of an answer put together without a language model.
+ANSWER_HEAD = "### Summary\nLeveraging the highlighted documentation, here is a recommended response crafted without an LLM:"
+ANSWER_POINTS = (
+    "### Suggested talking points\n"
+    "- Reference the top sources above when addressing the customer.\n"
+    "- Emphasise that metrics should be validated in the analytics notebook or model card.\n"
+    "- Offer to escalate to a human analyst if deeper investigation is required."
+)
+# Own wording, an argument of `compose_answers`.
+DISCLAIMER = "_Caution: this response was put together by rules, without a language model._"
 # Own wording; both texts are arguments of `build_prompts`.
 SYSTEM_TEXT = (
     "You explain the results of fraud and churn analytics in plain business terms, name sensible next steps "
@@ -129,6 +139,12 @@ def summarise_sources(
     return rows.select(query, F.when(F.size("texts") > 0, F.array_join(lines, "\n")).otherwise(F.lit(NO_SUMMARY)).alias("summary"))
 
 
+def compose_answers(summaries: DataFrame, query: str = "query_id", disclaimer: str | None = DISCLAIMER) -> DataFrame:
+    """``(query, response)``: the fixed frame around each summary, with a closing note unless it is None."""
+    blocks = [F.lit(ANSWER_HEAD), F.col("summary"), F.lit(ANSWER_POINTS)] + ([F.lit(disclaimer)] if disclaimer else [])
+    return summaries.select(query, F.concat_ws("\n\n", *blocks).alias("response"))
+
+
 def source_list(hits: DataFrame, query: str = "query_id") -> DataFrame:
     """Sources as shown to a reader: ``(query, rank, source, score, preview)`` as text."""
     return hits.select(query, "rank", F.col("source").cast("string").alias("source"), score_format("score").alias("score"), preview("text").alias("preview"))

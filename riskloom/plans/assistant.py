@@ -6,8 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.prompts import build_prompts, source_list, summarise_sources
+from ..operators.prompts import build_prompts, compose_answers, source_list, summarise_sources
 from ..operators.search import CHUNK, TermIndex, bounded_k, tfidf_search
+from ..session import stage
 
 FEW_QUESTIONS = 100_000
 
@@ -17,6 +18,7 @@ class Answers:
     hits: DataFrame
     prompts: DataFrame
     summaries: DataFrame
+    responses: DataFrame
     sources: DataFrame
 
 
@@ -39,7 +41,13 @@ def answer(index: TermIndex, questions: DataFrame, k: int = 4, query: str = "que
     blank = questions.where(F.coalesce(F.length(F.trim(text)), F.lit(0)) == 0)
     if not blank.isEmpty():
         raise ValueError("a question must not be empty")
-    hits = retrieve(index, questions, k, query, text)
+    # Four tables come from the hits, a few rows per question.
+    hits = stage(retrieve(index, questions, k, query, text), "answers")
+    summaries = summarise_sources(questions, hits, query)
     return Answers(
-        hits, build_prompts(questions, hits, query, text), summarise_sources(questions, hits, query), source_list(hits, query)
+        hits=hits,
+        prompts=build_prompts(questions, hits, query, text),
+        summaries=summaries,
+        responses=compose_answers(summaries, query),
+        sources=source_list(hits, query),
     )

@@ -82,7 +82,7 @@ def test_missing_numbers_are_split_off(spark):
 
 def test_encode_categories(spark):
     df = spark.createDataFrame([("b",), ("b",), ("a",), (None,)], "g string")
-    assert {r["g"]: r["g_code"] for r in mo.encode_categories(df, ["g"]).collect()} == {"b": 0.0, "a": 1.0, None: 2.0}
+    assert {r["g"]: r["g_code"] for r in mo.encode_categories(df, ["g"]).collect()} == {"a": 0.0, "b": 1.0, None: 2.0}
 
 
 def test_anomaly_equals_numpy(spark, tmp_path):

@@ -221,5 +221,9 @@ def test_answers(spark):
     out = answer(index, questions, 2)
     assert out.sources.where("rank = 1").first()["preview"] == CORPUS[0][2]
     assert out.summaries.count() == out.prompts.count() == 1
+    response = out.responses.first()["response"]
+    assert response.startswith("### Summary\n") and "- Source 1: fraud score" in response and response.endswith(pt.DISCLAIMER)
+    plain = pt.compose_answers(out.summaries, "query_id", None).first()["response"]
+    assert plain.endswith("investigation is required.")
     with pytest.raises(ValueError):
         answer(index, questions.withColumn("question", F.lit("  ")))
