@@ -47,18 +47,14 @@ def score_counts(df: DataFrame, score: str = "probability", label: str = "label"
     Like any evaluation, it refuses missing scores or labels. The check shares the pass that finds
     the cut points.
     """
-    k = ordered.bucket_count(df)
     rows = df.select(F.col(score).cast("double").alias("value"), F.col(label).cast("int").alias("label"))
     bad = F.col("value").isNull() | F.isnan("value") | F.col("label").isNull()
-    head = rows.agg(
-        F.percentile_approx("value", F.array(*[F.lit(i / k) for i in range(1, k)]), F.lit(max(10_000, 4 * k))).alias("q"),
-        F.count_if(bad).alias("bad"),
-        F.count_if(F.col("label") == 1).alias("pos"),
-        F.count(F.lit(1)).alias("n"),
-    ).first()
+    found, head = ordered.cut_points_and_counts(
+        rows, ["value"], {"bad": F.count_if(bad), "pos": F.count_if(F.col("label") == 1), "n": F.count(F.lit(1))}
+    )
     if head["bad"]:
         raise ValueError(f"{head['bad']} rows have no score or no label")
-    cuts = sorted({v for v in head["q"] or [] if abs(v) != float("inf")})
+    cuts = found["value"]
     bucketed = ordered.with_buckets(rows, {"value": cuts})
     counts = (
         bucketed.groupBy(F.col("__bucket_0").alias("bucket"), F.col("__value_0").alias("value"))

@@ -18,6 +18,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 MAX_BUCKETS = 4096
+MAX_DIGEST_GROUPS = 512
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -34,11 +35,55 @@ def _clean(column: str) -> Column:
 
 def cut_points(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> dict[str, list[float]]:
     """Approximate quantiles that cut each column into buckets of similar size (one job)."""
+    return cut_points_and_counts(df, columns, {}, buckets)[0]
+
+
+def cut_points_and_counts(
+    df: DataFrame, columns: Sequence[str], counts: Mapping[str, Column], buckets: int | None = None
+) -> tuple[dict[str, list[float]], dict[str, int]]:
+    """Cut points, and whole-number aggregates that share their pass over the table.
+
+    Each scan task makes one digest per column. Digests meet in groups of tasks, since all of them in
+    one task would be too much for a table of many files; the quantiles of the groups, weighted by
+    their rows, then give the quantiles of the table.
+    """
+    columns = list(columns)
     k = buckets or bucket_count(df)
     probs = F.array(*[F.lit(i / k) for i in range(1, k)])
-    digests = [F.percentile_approx(_clean(c), probs, F.lit(max(10_000, 4 * k))).alias(f"q{i}") for i, c in enumerate(columns)]
-    row = df.agg(*digests).first()
-    return {c: sorted({v for v in (row[i] or []) if v is not None and math.isfinite(v)}) for i, c in enumerate(columns)}
+    accuracy = F.lit(max(1000, 4 * k))
+    groups = min(MAX_DIGEST_GROUPS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    digests = (
+        df.withColumn("__group", F.spark_partition_id() % groups)
+        .groupBy("__group")
+        .agg(
+            *[F.percentile_approx(_clean(c), probs, accuracy).alias(f"q{i}") for i, c in enumerate(columns)],
+            *[F.count(_clean(c)).alias(f"n{i}") for i, c in enumerate(columns)],
+            *[expr.alias(f"c_{name}") for name, expr in counts.items()],
+        )
+    )
+    no_counts = [F.lit(None).cast("long").alias(f"c_{name}") for name in counts]
+
+    def points(i: int) -> Column:
+        """The finite cut points of a group, each standing for the group's rows."""
+        known = F.filter(F.coalesce(F.col(f"q{i}"), F.array().cast("array<double>")), lambda v: F.abs(v) < math.inf)
+        return F.transform(known, lambda v: F.struct(F.lit(i).alias("i"), v.alias("v"), F.col(f"n{i}").alias("n"), *no_counts))
+
+    entries = [points(i) for i in range(len(columns))]
+    sums = F.struct(
+        F.lit(-1).alias("i"), F.lit(None).cast("double").alias("v"), F.lit(0).cast("long").alias("n"),
+        *[F.col(f"c_{name}").cast("long").alias(f"c_{name}") for name in counts],
+    )
+    rows = (
+        digests.select(F.explode(F.concat(F.array(sums), *entries)).alias("e"))
+        .select("e.*")
+        .groupBy("i")
+        .agg(F.percentile("v", probs, F.col("n")).alias("q"), *[F.sum(f"c_{name}").alias(f"c_{name}") for name in counts])
+        .collect()
+    )
+    found = {r["i"]: r for r in rows}
+    cuts = {c: sorted(set(found[i]["q"] or [])) if i in found else [] for i, c in enumerate(columns)}
+    totals = {name: (found[-1][f"c_{name}"] or 0) if -1 in found else 0 for name in counts}
+    return cuts, totals
 
 
 def with_buckets(df: DataFrame, cuts: Mapping[str, Sequence[float]]) -> DataFrame:
