@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 MAX_BUCKETS = 4096
 MAX_DIGEST_GROUPS = 512
+HASH_BITS_PER_ROUND = 12
+SORTED_HASHES = 1_000_000
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -284,42 +286,48 @@ def hash_thresholds(
 ) -> dict[tuple, int]:
     """Per stratum the hash value up to which ``wanted`` rows lie, in hash order (-1 for none).
 
-    Hashes are uniform, so equal-width buckets are balanced and need no cut points. Pass one counts
-    by bucket, pass two sorts the distinct hashes of one bucket per stratum. The driver reads one
-    row per stratum each time.
+    Hashes are uniform, so the leading bits make balanced buckets and need no cut points. Each round
+    counts by the next bits inside the bucket that holds the wanted rank, until that bucket is small
+    enough to sort its distinct hashes; every round is a scan that combines map-side to a few
+    thousand rows. The driver reads one row per stratum and round.
     """
     out = {tuple(k): -1 for k in wanted}
-    need = {tuple(k): n for k, n in wanted.items() if n > 0}
-    if not need:
+    rest = {tuple(k): int(n) for k, n in wanted.items() if n > 0}
+    if not rest:
         return out
-    width = min(16, hash_bits)
-    hashed = df.select(*stratum, hash_value.alias("h")).withColumn(
-        "bucket", F.shiftright("h", hash_bits - width).cast("int")
-    )
+    hashed = df.select(*stratum, hash_value.alias("h"))
     upto = W.partitionBy(*stratum).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    holding = (
-        hashed.groupBy(*stratum, "bucket")
-        .count()
-        .withColumn("run", F.sum("count").over(upto))
-        .withColumn("rest", _choose(stratum, need) - (F.col("run") - F.col("count")))
-        .where((F.col("rest") > 0) & (F.col("rest") <= F.col("count")))
-        .select(*stratum, "bucket", "rest")
-        .collect()
-    )
-    buckets = {tuple(r)[:-2]: r["bucket"] for r in holding}
-    rest = {tuple(r)[:-2]: r["rest"] for r in holding}
-    inside = W.partitionBy(*stratum).orderBy("h").rowsBetween(W.unboundedPreceding, 0)
+    inside, shift, largest = hashed, hash_bits, SORTED_HASHES + 1
+    prefix: dict[tuple, int] = {}
+    while shift > 0 and largest > SORTED_HASHES:
+        shift = max(0, shift - HASH_BITS_PER_ROUND)
+        holding = (
+            inside.withColumn("bucket", F.shiftright("h", shift))
+            .groupBy(*stratum, "bucket")
+            .count()
+            .withColumn("run", F.sum("count").over(upto))
+            .withColumn("rest", _choose(stratum, rest) - (F.col("run") - F.col("count")))
+            .where((F.col("rest") > 0) & (F.col("rest") <= F.col("count")))
+            .select(*stratum, "bucket", "count", "rest")
+            .collect()
+        )
+        prefix = {tuple(r)[:-3]: r["bucket"] for r in holding}
+        rest = {tuple(r)[:-3]: r["rest"] for r in holding}
+        largest = max((r["count"] for r in holding), default=0)
+        inside = hashed.where(F.shiftright("h", shift) == _choose(stratum, prefix))
+    # A stratum with fewer rows than wanted gives all of them.
+    out.update({tuple(k): prefix.get(tuple(k), 1 << hash_bits) for k, n in wanted.items() if n > 0})
+    if shift == 0 or not prefix:
+        return out
+    order = W.partitionBy(*stratum).orderBy("h").rowsBetween(W.unboundedPreceding, 0)
     cut = (
-        hashed.where(F.col("bucket") == _choose(stratum, buckets))
-        .groupBy(*stratum, "h")
+        inside.groupBy(*stratum, "h")
         .count()
-        .withColumn("run", F.sum("count").over(inside))
+        .withColumn("run", F.sum("count").over(order))
         .where(F.col("run") >= _choose(stratum, rest))
         .groupBy(*stratum)
         .agg(F.min("h").alias("h"))
         .collect()
     )
-    found = {tuple(r)[:-1]: r["h"] for r in cut if r["h"] is not None}
-    # A stratum with fewer rows than wanted gives all of them.
-    out.update({k: found.get(k, 1 << hash_bits) for k in need})
+    out.update({tuple(r)[:-1]: r["h"] for r in cut if r["h"] is not None})
     return out

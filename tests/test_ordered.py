@@ -67,12 +67,17 @@ def test_negative_zero_meets_zero(spark):
     assert sorted((r["value"], r["n"]) for r in run) == [(-1.0, 1), (0.0, 3)]
 
 
-def test_hash_thresholds(spark):
+@pytest.mark.parametrize("sorted_hashes", [1_000_000, 3, 0])
+def test_hash_thresholds(spark, monkeypatch, sorted_hashes):
+    # A small limit takes more rounds, none takes all bits.
+    monkeypatch.setattr(ordered, "SORTED_HASHES", sorted_hashes)
     df = spark.range(1000).select((F.col("id") % 2).alias("g"), F.col("id"))
     hashed = F.shiftrightunsigned(F.xxhash64("id"), 4)
     limits = ordered.hash_thresholds(df, ["g"], hashed, 60, {(0,): 100, (1,): 0})
     counts = {r["g"]: r["n"] for r in df.withColumn("h", hashed).groupBy("g").agg(F.count_if(F.col("h") <= limits[(0,)]).alias("n")).collect()}
     assert counts[0] == 100 and limits[(1,)] == -1
+    ranked = sorted(r[0] for r in df.select(hashed).collect())
+    assert ordered.hash_thresholds(df, [], hashed, 60, {(): 123})[()] == ranked[122]
     everything = ordered.hash_thresholds(df, [], hashed, 60, {(): 5000})[()]
     assert df.where(hashed <= F.lit(everything)).count() == 1000
 
@@ -90,3 +95,12 @@ def test_running_sums_read_the_table_once(spark, sf_dir):
     plan = run._jdf.queryExecution().toString()
     final = plan[plan.index("Final Plan") : plan.index("Initial Plan")]
     assert final.count("FileScan") == 1 and "ReusedExchange" in final
+
+
+def test_hot_hash_is_found(spark):
+    # Half of the rows share one key: the rank lies among its copies.
+    df = spark.range(2000).select(F.when(F.col("id") < 1000, 7).otherwise(F.col("id")).alias("id"))
+    hashed = F.shiftrightunsigned(F.xxhash64("id"), 4)
+    ranked = sorted(r[0] for r in df.select(hashed).collect())
+    for rank in (1, 900, 1100, 2000):
+        assert ordered.hash_thresholds(df, [], hashed, 60, {(): rank})[()] == ranked[rank - 1]
