@@ -17,8 +17,15 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import stage
+
 MAX_BUCKETS = 4096
 MAX_DIGEST_GROUPS = 512
+# Quantiles look into few buckets, so few are made; a wanted bucket above the limit is cut again.
+QUANTILE_BUCKETS = 256
+REFINED_BUCKETS = 128
+MAX_REFINEMENTS = 3
+SORTED_VALUES = 5_000_000
 HASH_BITS_PER_ROUND = 12
 SORTED_HASHES = 1_000_000
 
@@ -161,40 +168,82 @@ def running_sums(
     )
 
 
-def _rows_at_ranks(long: DataFrame, weight: Column, ranks: Mapping[str, Iterable[int]], totals: list) -> dict:
-    """Values at 0-based ranks per feature; only the buckets that hold a wanted rank are sorted."""
-    spark = long.sparkSession
-    wanted = []
-    by_feature: dict[str, list] = {}
+def _locate(totals: Iterable, wanted: Mapping[tuple, list[tuple[int, int]]]) -> tuple[list[tuple], int]:
+    """Where the wanted ranks lie: rows ``(feature, bucket, rank, rank inside the bucket)`` and the largest such bucket.
+
+    ``totals`` are rows ``(feature, parent, bucket, w)``; ``wanted`` holds ``(rank, rank inside the parent)``
+    per ``(feature, parent)``.
+    """
+    by_parent: dict[tuple, list] = {}
     for row in totals:
-        by_feature.setdefault(row["feature"], []).append((row["bucket"], row["w"]))
-    for feature, positions in ranks.items():
+        by_parent.setdefault((row["feature"], row["parent"]), []).append((row["bucket"], row["w"]))
+    found, largest = [], 0
+    for key, ranks in wanted.items():
         start = 0
-        remaining = sorted(set(positions))
-        for bucket, weight_sum in sorted(by_feature.get(feature, [])):
-            for r in remaining:
-                if start <= r < start + weight_sum:
-                    wanted.append((feature, bucket, r, r - start))
-            start += weight_sum
-    if not wanted:
-        return {}
-    targets = spark.createDataFrame(wanted, "feature string, bucket int, rank long, inner_rank long")
-    pairs = targets.select("feature", "bucket").distinct()
-    counts = (
-        long.join(F.broadcast(pairs), ["feature", "bucket"], "left_semi")
-        .groupBy("feature", "bucket", "value")
-        .agg(weight.alias("w"))
+        for bucket, size in sorted(by_parent.get(key, [])):
+            here = [(key[0], bucket, rank, inner - start) for rank, inner in ranks if start <= inner < start + size]
+            if here:
+                found += here
+                largest = max(largest, size)
+            start += size
+    return found, largest
+
+
+def _only(long: DataFrame, targets: list[tuple]) -> DataFrame:
+    """Rows of the buckets that hold a wanted rank: a handful of buckets per column."""
+    pairs = long.sparkSession.createDataFrame(sorted({t[:2] for t in targets}), "feature string, bucket long")
+    return long.join(F.broadcast(pairs), ["feature", "bucket"], "left_semi")
+
+
+def _refine(part: DataFrame) -> DataFrame:
+    """Cut every bucket of ``part`` into finer ones, by quantiles of its own; ``parent`` is the old bucket."""
+    probs = F.array(*[F.lit(i / REFINED_BUCKETS) for i in range(1, REFINED_BUCKETS)])
+    digests = part.groupBy("feature", "bucket").agg(F.percentile_approx("value", probs, F.lit(1000)).alias("points"))
+    # Constants again, so that a stage computed twice cuts alike: one short array per wanted bucket.
+    points = part.sparkSession.createDataFrame(
+        [tuple(r) for r in digests.collect()], "feature string, bucket long, points array<double>"
+    )
+    step = F.size(F.filter("points", lambda p: p <= F.col("value"))).cast("long")
+    return part.join(F.broadcast(points), ["feature", "bucket"]).select(
+        "feature", F.col("bucket").alias("parent"), (F.col("bucket") * REFINED_BUCKETS + step).alias("bucket"), "value", "w"
     )
+
+
+def _values_at_ranks(long: DataFrame, ranks: Mapping[str, Iterable[int]], totals: list) -> dict[tuple, float]:
+    """Values at 0-based ranks per feature; only the buckets that hold a wanted rank are read and sorted."""
+    sums = lambda df: df.groupBy("feature", "parent", "bucket").agg(F.sum("w").alias("w")).collect()
+    targets, largest = _locate(totals, {(f, 0): [(r, r) for r in sorted(set(positions))] for f, positions in ranks.items()})
+    if not targets:
+        return {}
+    part = _only(long, targets)
+    for _ in range(MAX_REFINEMENTS):
+        # A bucket of this size is one window group. Only a single frequent value keeps it large, and
+        # that value is one row by then.
+        if largest <= SORTED_VALUES:
+            break
+        part = stage(_refine(stage(part, "rank-buckets")), "rank-buckets")
+        wanted: dict[tuple, list[tuple[int, int]]] = {}
+        for feature, bucket, rank, inner in targets:
+            wanted.setdefault((feature, bucket), []).append((rank, inner))
+        targets, largest = _locate(sums(part), wanted)
+        part = _only(part, targets)
+    counts = part.groupBy("feature", "bucket", "value").agg(F.sum("w").alias("w"))
     inside = W.partitionBy("feature", "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    places = long.sparkSession.createDataFrame(targets, "feature string, bucket long, rank long, inner_rank long")
     found = (
         counts.withColumn("run", F.sum("w").over(inside))
-        .join(F.broadcast(targets), ["feature", "bucket"])
+        .join(F.broadcast(places), ["feature", "bucket"])
         .where((F.col("run") - F.col("w") <= F.col("inner_rank")) & (F.col("inner_rank") < F.col("run")))
         .select("feature", "rank", "value")
     )
     return {(r["feature"], r["rank"]): r["value"] for r in found.collect()}
 
 
+def _thin(cuts: Sequence[float], limit: int) -> list[float]:
+    """At most ``limit`` of the cut points, evenly chosen."""
+    return list(cuts[:: max(1, -(-len(cuts) // limit))])
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -206,16 +255,19 @@ def exact_quantiles(
 
     ``weight`` names a whole-number column that says how often a row counts. Three passes over the
     named columns: digests for the cut points, bucket totals, and the buckets that hold a wanted
-    rank. Nothing grows with the table on the driver or in one task. An empty column gives nulls.
+    rank, which are cut again while they are large. Nothing grows with the table on the driver or in
+    one task. An empty column gives nulls.
     """
     columns = list(columns)
-    cuts = {c: (cuts[c] if cuts and c in cuts else None) for c in columns}
-    missing = [c for c in columns if cuts[c] is None]
+    known = {c: cuts[c] for c in columns if cuts and c in cuts}
+    missing = [c for c in columns if c not in known]
     if missing:
-        cuts.update(cut_points(df, missing))
-    amount = F.sum(weight).cast("long") if weight else F.count(F.lit(1))
-    long = long_values(df, cuts, carry=[weight] if weight else [])
-    totals = long.groupBy("feature", "bucket").agg(amount.alias("w")).collect()
+        known.update(cut_points(df, missing, min(QUANTILE_BUCKETS, bucket_count(df))))
+    amount = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    rows = df.withColumn("__w", amount)
+    long = long_values(rows, {c: _thin(known[c], QUANTILE_BUCKETS) for c in columns}, carry=["__w"])
+    long = long.select("feature", F.col("bucket").cast("long").alias("bucket"), "value", F.col("__w").alias("w"))
+    totals = long.groupBy("feature", F.lit(0).alias("parent"), "bucket").agg(F.sum("w").alias("w")).collect()
     n = {c: 0 for c in columns}
     for row in totals:
         n[row["feature"]] += row["w"]
@@ -224,7 +276,7 @@ def exact_quantiles(
         for p in probs if n[c] else ():
             h = (n[c] - 1) * p
             ranks[c].update((math.floor(h), min(math.ceil(h), n[c] - 1)))
-    found = _rows_at_ranks(long, amount, ranks, totals)
+    found = _values_at_ranks(long, ranks, totals)
     out: dict[str, list[float | None]] = {}
     for c in columns:
         values: list[float | None] = []

@@ -26,6 +26,18 @@ def test_exact_quantiles_equal_numpy(sample, buckets):
         np.testing.assert_allclose(found[c], np.quantile([r[i] for r in rows], PROBS), rtol=0, atol=1e-12)
 
 
+@pytest.mark.parametrize("limit, rounds", [(100, 3), (100, 1), (0, 2)])
+def test_large_buckets_are_cut_again(sample, monkeypatch, limit, rounds):
+    rows, df = sample
+    monkeypatch.setattr(ordered, "SORTED_VALUES", limit)
+    monkeypatch.setattr(ordered, "MAX_REFINEMENTS", rounds)
+    monkeypatch.setattr(ordered, "QUANTILE_BUCKETS", 3)
+    monkeypatch.setattr(ordered, "REFINED_BUCKETS", 4)
+    found = ordered.exact_quantiles(df, ["a", "b"], PROBS, cuts={"a": ordered.cut_points(df, ["a"], 50)["a"]})
+    for i, c in enumerate("ab"):
+        np.testing.assert_allclose(found[c], np.quantile([r[i] for r in rows], PROBS), rtol=0, atol=1e-12)
+
+
 def test_exact_quantiles_do_not_depend_on_the_layout(sample):
     _, df = sample
     results = [ordered.exact_quantiles(df.repartition(n), ["a"], PROBS) for n in (1, 4, 50)]
@@ -43,6 +55,12 @@ def test_weighted_quantiles(spark):
     np.testing.assert_allclose(ordered.exact_quantiles(df, ["v"], PROBS, weight="n")["v"], expected)
 
 
+def test_column_names_do_not_collide(spark):
+    df = spark.createDataFrame([(1.0, 5.0, 2.0, 9.0)] * 2, "w double, value double, bucket double, feature double")
+    found = ordered.exact_quantiles(df, df.columns, [0.5])
+    assert found == {"w": [1.0], "value": [5.0], "bucket": [2.0], "feature": [9.0]}
+
+
 def test_grouped_quantiles(sample):
     rows, df = sample
     for r in ordered.grouped_quantiles(df, ["g"], "a", PROBS).collect():
