@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import evaluate as ev
+from ..sources.sinks import write_csv_table, write_json_report
 
 
 @dataclass
@@ -44,3 +45,12 @@ def evaluate_scores(
         calibration=ev.calibration_curve(table, bins, scale),
         curve=ev.precision_recall_curve(table),
     )
+
+
+def write_evaluation(evaluation: Evaluation, path: str) -> None:
+    """Sweep, calibration and curve as CSV tables, and a JSON summary with the areas and the best threshold."""
+    write_csv_table(evaluation.sweep.orderBy("position"), f"{path}/threshold_metrics")
+    write_csv_table(evaluation.calibration.orderBy("bin"), f"{path}/calibration")
+    write_csv_table(evaluation.curve, f"{path}/precision_recall")
+    best = evaluation.best.select(F.struct("threshold", "precision", "recall", "f1", "average_precision").alias("best_threshold"))
+    write_json_report(evaluation.ranking.withColumn("best_threshold", best.scalar()), f"{path}/summary")

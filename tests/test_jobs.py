@@ -2,11 +2,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom import session
+from riskloom import __main__ as cli, session
 from riskloom.operators.drift import feature_drift
 from riskloom.plans.training import run_training_pipeline
 from riskloom.sources import sinks
-from riskloom.sources.schemas import CHURN_RAW, FRAUD_RAW
+from riskloom.sources.schemas import ANOMALY_SCORES, CHURN_RAW, FRAUD_RAW
 from riskloom.streaming import jobs
 
 
@@ -51,6 +51,26 @@ def test_training_pipeline(spark, raw, tmp_path):
     assert again["churn"] is None and again["fraud"].metrics == pytest.approx(steps["fraud"].metrics)
 
 
+def test_command_line(spark, raw, tmp_path):
+    out = str(tmp_path)
+    store = f"{out}/store"
+    cli.main(["build-store", "--raw-dir", raw, "--processed-dir", f"{out}/processed", "--feature-store", store])
+    cli.main(["validate", "--feature-store", store, "--report", f"{out}/report"])
+    assert spark.read.json(f"{out}/report").count() == 7
+    rng = np.random.default_rng(1)
+    rows = [(str(i), int(i % 3 == 0), float(rng.random()), 0) for i in range(200)]
+    sinks.write_csv_table(spark.createDataFrame(rows, ANOMALY_SCORES), f"{out}/scores")
+    cli.main(["evaluate", "--scores", f"{out}/scores", "--output-dir", f"{out}/evaluation", "--anomaly", "--n-bins", "5", "--threshold-steps", "7"])
+    assert spark.read.option("header", True).csv(f"{out}/evaluation/threshold_metrics").count() == 7
+    assert spark.read.option("header", True).csv(f"{out}/evaluation/calibration").count() == 5
+    summary = spark.read.json(f"{out}/evaluation/summary").first()
+    assert 0.3 < summary["roc_auc"] < 0.7 and summary["best_threshold"]["f1"] > 0
+    cli.main(["drift", "--reference", store, "--current", store, "--dataset", "churn", "--output-dir", f"{out}/drift"])
+    features = spark.read.json(f"{out}/drift/features")
+    assert features.count() == 14 and features.where("has_alert").isEmpty()
+    assert spark.read.json(f"{out}/drift/header").first()["reference_rows"] == 600
+
+
 def test_failed_validation_stops_after_the_report(spark, tmp_path):
     bad = spark.createDataFrame([("1", "loan", "{}", 0)], "entity_id string, dataset string, features string, label int")
     sinks.write_parquet(bad, f"{tmp_path}/store", ["dataset"])
