@@ -15,9 +15,6 @@ from .text import term_counts
 CHUNK = ["source", "chunk_no"]
 DEFAULT_K = 4
 K_BOUNDS = (1, 8)
-# A term found in this share of all chunks is frequent. A chunk holds a bounded number of terms,
-# so there are at most (terms per chunk / share) frequent terms whatever the number of chunks.
-FREQUENT_SHARE = 0.001
 # No more terms than this go to every task.
 FREQUENT_LIMIT = 300_000
 QUERY_TERM_LIMIT = 300_000
@@ -68,13 +65,14 @@ class TermIndex:
     def weigh(self, counts: DataFrame) -> DataFrame:
         """Add ``w = tf * idf`` to rows with ``term`` and ``tf``; terms unknown to the index are left out.
 
-        Frequent terms are few and go to every task, so a term held by a third of all chunks never
-        meets in one task; the rest is an ordinary join on keys that each have few rows.
+        Frequent terms go to every task, so a term held by a third of all chunks never meets in one
+        task; the rest is an ordinary join on keys that each have few rows.
         """
         small = F.broadcast(self.frequent)
-        common = counts.join(small, "term")
-        others = counts.join(small.select("term"), "term", "left_anti").join(self.rare, "term")
-        return common.unionByName(others).withColumn("w", F.col("tf") * F.col("idf"))
+        joined = counts.join(small, "term")
+        if self.cutoff > 1:
+            joined = joined.unionByName(counts.join(small.select("term"), "term", "left_anti").join(self.rare, "term"))
+        return joined.withColumn("w", F.col("tf") * F.col("idf"))
 
     def weights(self) -> DataFrame:
         """Unit-length weights ``(source, chunk_no, term, weight)``."""
@@ -86,9 +84,13 @@ def vector_lengths(weighed: DataFrame, keys: Sequence[str]) -> DataFrame:
     return weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
-def frequency_cutoff(idf: DataFrame, n: int) -> float:
-    """Smallest cutoff tried that leaves few enough frequent terms to send to every task."""
-    cutoff = max(1.0, n * FREQUENT_SHARE)
+def frequency_cutoff(idf: DataFrame) -> float:
+    """Smallest cutoff tried that leaves few enough frequent terms to send to every task.
+
+    With ``p`` postings at most ``p / cutoff`` terms reach a cutoff, so the search ends and a term below
+    it holds a tiny share of the postings. A small vocabulary is frequent as a whole.
+    """
+    cutoff = 1.0
     while idf.where(F.col("df") >= F.lit(cutoff)).count() > FREQUENT_LIMIT:
         cutoff *= 4
     return cutoff
@@ -109,7 +111,7 @@ def build_term_index(chunks: DataFrame, stop_words: Sequence[str] = ENGLISH) ->
         .withColumn("idf", F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1),
         "idf",
     )
-    return TermIndex(chunks, postings, idf, n, frequency_cutoff(idf, n), stop_words)
+    return TermIndex(chunks, postings, idf, n, frequency_cutoff(idf), stop_words)
 
 
 def tfidf_scores(index: TermIndex, queries: DataFrame, query: str, text: str) -> DataFrame:

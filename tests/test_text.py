@@ -125,10 +125,10 @@ def reference_search(corpus, query, k):
     return [(corpus[i][0], corpus[i][1], scores[i]) for i in order]
 
 
-@pytest.mark.parametrize("share", [0.001, 0.5, 0.9])
-def test_tfidf_search(spark, monkeypatch, share):
-    # With a larger share some or all terms go through the ordinary join.
-    monkeypatch.setattr(se, "FREQUENT_SHARE", share)
+@pytest.mark.parametrize("limit", [300_000, 3, 0])
+def test_tfidf_search(spark, monkeypatch, limit):
+    # With a lower limit some or all terms go through the ordinary join.
+    monkeypatch.setattr(se, "FREQUENT_LIMIT", limit)
     index = se.build_term_index(spark.createDataFrame(CORPUS, "source string, chunk_no int, text string"))
     questions = {1: "fraud threshold?", 2: "churn churn retention", 3: "unknown words", 4: "governance of drift"}
     df = spark.createDataFrame(list(questions.items()), "query_id int, question string")
@@ -152,9 +152,9 @@ def test_many_query_terms_use_the_salted_join(spark, monkeypatch):
 
 def test_frequency_cutoff_is_raised(spark, monkeypatch):
     idf = spark.createDataFrame([("a", 1, 1.0), ("b", 2, 1.0), ("c", 40, 1.0)], "term string, df long, idf double")
-    assert se.frequency_cutoff(idf, 50) == 1.0
+    assert se.frequency_cutoff(idf) == 1.0
     monkeypatch.setattr(se, "FREQUENT_LIMIT", 1)
-    assert 2 < se.frequency_cutoff(idf, 50) <= 40
+    assert 2 < se.frequency_cutoff(idf) <= 40
 
 
 def test_top_k_is_limited_before_the_shuffle(spark):
