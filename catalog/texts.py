@@ -43,7 +43,9 @@ def chunks(spark, d):
 
 
 def term_counts(spark, d):
-    return tx.term_counts(_chunks(spark, d), ["source", "chunk_no"], "text")
+    # As the index does: chunks are spread by their own key and counted where they are.
+    spread = _chunks(spark, d).repartition("source", "chunk_no")
+    return tx.term_counts(spread, ["source", "chunk_no"], "text")
 
 
 def tfidf_weights(spark, d):

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import preview, score_format
-from .text import strip
+from .text import BLANKS, strip
 
 # Limits and the words of the prompt frame.
 MAX_SNIPPETS = 5
@@ -121,7 +121,7 @@ def shorten(text: Column, width: int = SUMMARY_WIDTH) -> Column:
     A hyphen between letters may end the line too. A first word too long for the line leaves the
     ellipsis alone.
     """
-    line = strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    line = F.trim(F.regexp_replace(text, f"[{BLANKS}]+", " "))
     letter = r"[\p{L}_]"
     word_end = rf"(?= )|(?<={letter}{letter}-)(?={letter}-?{letter})"
     head = F.regexp_extract(line, rf"^(.{{1,{width - 1}}})(?:{word_end})", 1)

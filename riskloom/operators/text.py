@@ -12,7 +12,10 @@ from ..functions.stopwords import ENGLISH
 MIN_CHARS = 120
 MAX_CHARS = 1200
 PARAGRAPH = r"\n{2,}"
-SENTENCE = r"(?U)(?<=[.!?])\s+"
+SENTENCE = r"(?<=[.!?])[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+BLANKS = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 WORD = r"(?U)\b\w\w+\b"
 EMPTY_TEXT = "No documentation available. Respond with general project guidance."
 EMPTY_SOURCE = "<empty>"
@@ -20,7 +23,7 @@ EMPTY_SOURCE = "<empty>"
 
 def strip(text: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def paragraphs(text: Column, pattern: str = PARAGRAPH) -> Column:
@@ -94,7 +97,11 @@ def tokens(text: Column, stop_words: Sequence[str] = ENGLISH) -> Column:
 
 
 def term_counts(df: DataFrame, keys: Sequence[str], text: str, stop_words: Sequence[str] = ENGLISH) -> DataFrame:
-    """Occurrences per term ``(*keys, term, tf)``."""
+    """Occurrences per term ``(*keys, term, tf)``.
+
+    Terms are summed map-side. Where the keys are unique, as for chunks, ``df.repartition(*keys)`` before
+    it moves each text once instead of its terms and spares the shuffle of the counts.
+    """
     return (
         df.select(*keys, F.explode(tokens(F.col(text), stop_words)).alias("term"))
         .groupBy(*keys, "term")

@@ -56,6 +56,7 @@ TEXTS = {
     "mixed": words(300, 2) + "\n\n" + words(40, 3) + "\n\n" + "q" * 1300 + ". " + words(200, 4),
     "tail": "w" * 1190 + ". " + "v" * 50 + ".",
     "blank": "\n\n\n  ",
+    "odd blanks": "\u2003\xa0" + "k" * 150 + "\x1c\u3000" + "\n\n" + ("m" * 500 + ".\u2009\x1f" + "n" * 400 + "!\xa0") * 3,
 }
 
 
@@ -196,7 +197,7 @@ def test_bounds_of_k():
 def test_shorten_equals_textwrap(spark):
     texts = [
         words(80, s) for s in range(20)
-    ] + ["well-known " * 40, "x" * 300, "ab " + "y" * 300, "exact " * 36 + "last", " spaced \n\t out ", "a" * 218 + " b c", "a" * 219 + " b", "a" * 220, "ab-cd " * 60]
+    ] + ["well-known " * 40, "x" * 300, "ab " + "y" * 300, "exact " * 36 + "last", " spaced \n\t out ", "\u2003odd\x1c\xa0blanks\u3000 ", "a" * 218 + " b c", "a" * 219 + " b", "a" * 220, "ab-cd " * 60]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", pt.shorten(F.col("t")).alias("x"))
     got = {r["i"]: r["x"] for r in df.collect()}
     for i, t in enumerate(texts):
