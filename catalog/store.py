@@ -107,8 +107,9 @@ def metrics_json(spark, d):
 
 def run_log(spark, d):
     path = staged_path(spark, "runs")
-    for row in table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")).collect():
-        sinks.log_run(spark, path, row["o_orderstatus"], "orders", metrics={"rows": row["n"]}, params={"status": row["o_orderstatus"]})
+    figures = table(spark, d, "orders").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("o_orderstatus") == "F").alias("closed")).first()
+    sinks.log_run(spark, path, "run-1", "orders", metrics=figures.asDict(), params={"status": "F"})
+    sinks.log_run(spark, path, "run-2", "orders", metrics={"rows": figures["rows"]}, artifacts={"table": "orders"})
     return spark.read.parquet(path).select("run_id", "run_name", "kind", "key", "value")
 
 
@@ -273,9 +274,12 @@ SQL = {
         UNION ALL SELECT 'mean_value', round(avg(value), 6) FROM events
         UNION ALL SELECT 'max_value', max(value) FROM events""",
     "run_log": """
-        WITH c AS (SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1)
-        SELECT s AS run_id, 'orders' AS run_name, 'metric' AS kind, 'rows' AS key, CAST(n AS VARCHAR) AS value FROM c
-        UNION ALL SELECT s, 'orders', 'param', 'status', s FROM c""",
+        WITH c AS (SELECT CAST(count(*) AS VARCHAR) AS n, CAST(count(*) FILTER (o_orderstatus = 'F') AS VARCHAR) AS f FROM orders)
+        SELECT 'run-1' AS run_id, 'orders' AS run_name, 'metric' AS kind, 'rows' AS key, n AS value FROM c
+        UNION ALL SELECT 'run-1', 'orders', 'metric', 'closed', f FROM c
+        UNION ALL SELECT 'run-1', 'orders', 'param', 'status', 'F'
+        UNION ALL SELECT 'run-2', 'orders', 'metric', 'rows', n FROM c
+        UNION ALL SELECT 'run-2', 'orders', 'artifact', 'table', 'orders'""",
     "document_files": """
         SELECT md5(text || chr(10)) AS content_md5, CAST(length(text) + 1 AS BIGINT) AS n_chars, count(*) AS files
         FROM documents GROUP BY 1, 2""",
