@@ -114,13 +114,20 @@ def with_buckets(df: DataFrame, cuts: Mapping[str, Sequence[float]]) -> DataFram
     )
 
 
-def long_values(df: DataFrame, cuts: Mapping[str, Sequence[float]], carry: Sequence[str] = ()) -> DataFrame:
-    """One row ``(feature, bucket, value, *carry)`` per usable value of the given columns."""
+def long_values(
+    df: DataFrame, cuts: Mapping[str, Sequence[float]], carry: Sequence[str] = (), only: Mapping[str, Iterable[int]] | None = None
+) -> DataFrame:
+    """One row ``(feature, bucket, value, *carry)`` per usable value of the given columns.
+
+    ``only`` names the buckets wanted per column; other values are left out before the columns are stacked.
+    """
     wide = with_buckets(df, cuts)
-    entries = [
-        F.struct(F.lit(c).alias("feature"), F.col(f"__bucket_{i}").alias("bucket"), F.col(f"__value_{i}").alias("value"))
-        for i, c in enumerate(cuts)
-    ]
+    entries = []
+    for i, c in enumerate(cuts):
+        bucket, value = F.col(f"__bucket_{i}"), F.col(f"__value_{i}")
+        if only is not None:
+            value = F.when(bucket.isin(sorted(only.get(c, ()))), value)
+        entries.append(F.struct(F.lit(c).alias("feature"), bucket.alias("bucket"), value.alias("value")))
     return (
         wide.select(*carry, F.explode(F.array(*entries)).alias("e"))
         .select("e.feature", "e.bucket", "e.value", *carry)
@@ -169,67 +176,67 @@ def running_sums(
 
 
 def _locate(totals: Iterable, wanted: Mapping[tuple, list[tuple[int, int]]]) -> tuple[list[tuple], int]:
-    """Where the wanted ranks lie: rows ``(feature, bucket, rank, rank inside the bucket)`` and the largest such bucket.
+    """Where the wanted ranks lie: ``(feature, bucket, rank, rank inside the bucket)``, and the most rows such a bucket has.
 
-    ``totals`` are rows ``(feature, parent, bucket, w)``; ``wanted`` holds ``(rank, rank inside the parent)``
-    per ``(feature, parent)``.
+    ``totals`` are rows ``(feature, parent, bucket, w, rows)``; ``wanted`` holds ``(rank, rank inside the
+    parent)`` per ``(feature, parent)``.
     """
     by_parent: dict[tuple, list] = {}
     for row in totals:
-        by_parent.setdefault((row["feature"], row["parent"]), []).append((row["bucket"], row["w"]))
+        by_parent.setdefault((row["feature"], row["parent"]), []).append((row["bucket"], row["w"], row["rows"]))
     found, largest = [], 0
     for key, ranks in wanted.items():
         start = 0
-        for bucket, size in sorted(by_parent.get(key, [])):
+        for bucket, size, rows in sorted(by_parent.get(key, [])):
             here = [(key[0], bucket, rank, inner - start) for rank, inner in ranks if start <= inner < start + size]
             if here:
                 found += here
-                largest = max(largest, size)
+                largest = max(largest, rows)
             start += size
     return found, largest
 
 
-def _only(long: DataFrame, targets: list[tuple]) -> DataFrame:
-    """Rows of the buckets that hold a wanted rank: a handful of buckets per column."""
-    pairs = long.sparkSession.createDataFrame(sorted({t[:2] for t in targets}), "feature string, bucket long")
-    return long.join(F.broadcast(pairs), ["feature", "bucket"], "left_semi")
+def _totals(long: DataFrame) -> list:
+    """Weight and rows per bucket: as many rows as there are buckets."""
+    return long.groupBy("feature", "parent", "bucket").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("rows")).collect()
 
 
-def _refine(part: DataFrame) -> DataFrame:
-    """Cut every bucket of ``part`` into finer ones, by quantiles of its own; ``parent`` is the old bucket."""
+def _refine(counts: DataFrame) -> DataFrame:
+    """Cut every bucket into finer ones, by quantiles of its distinct values; ``parent`` is the old bucket."""
     probs = F.array(*[F.lit(i / REFINED_BUCKETS) for i in range(1, REFINED_BUCKETS)])
-    digests = part.groupBy("feature", "bucket").agg(F.percentile_approx("value", probs, F.lit(1000)).alias("points"))
+    digests = counts.groupBy("feature", "bucket").agg(F.percentile_approx("value", probs, F.lit(1000)).alias("points"))
     # Constants again, so that a stage computed twice cuts alike: one short array per wanted bucket.
-    points = part.sparkSession.createDataFrame(
+    points = counts.sparkSession.createDataFrame(
         [tuple(r) for r in digests.collect()], "feature string, bucket long, points array<double>"
     )
     step = F.size(F.filter("points", lambda p: p <= F.col("value"))).cast("long")
-    return part.join(F.broadcast(points), ["feature", "bucket"]).select(
+    return counts.join(F.broadcast(points), ["feature", "bucket"]).select(
         "feature", F.col("bucket").alias("parent"), (F.col("bucket") * REFINED_BUCKETS + step).alias("bucket"), "value", "w"
     )
 
 
-def _values_at_ranks(long: DataFrame, ranks: Mapping[str, Iterable[int]], totals: list) -> dict[tuple, float]:
-    """Values at 0-based ranks per feature; only the buckets that hold a wanted rank are read and sorted."""
-    sums = lambda df: df.groupBy("feature", "parent", "bucket").agg(F.sum("w").alias("w")).collect()
-    targets, largest = _locate(totals, {(f, 0): [(r, r) for r in sorted(set(positions))] for f, positions in ranks.items()})
-    if not targets:
-        return {}
-    part = _only(long, targets)
-    for _ in range(MAX_REFINEMENTS):
-        # A bucket of this size is one window group. Only a single frequent value keeps it large, and
-        # that value is one row by then.
-        if largest <= SORTED_VALUES:
-            break
-        part = stage(_refine(stage(part, "rank-buckets")), "rank-buckets")
-        wanted: dict[tuple, list[tuple[int, int]]] = {}
-        for feature, bucket, rank, inner in targets:
-            wanted.setdefault((feature, bucket), []).append((rank, inner))
-        targets, largest = _locate(sums(part), wanted)
-        part = _only(part, targets)
+def _values_at_ranks(part: DataFrame, targets: list[tuple], largest: int) -> dict[tuple, float]:
+    """Values at the wanted ranks, from the rows of the buckets that hold them.
+
+    Equal values become one row first. A bucket that is still too large for one window group is cut
+    again, by its distinct values, so that every cut makes it smaller.
+    """
     counts = part.groupBy("feature", "bucket", "value").agg(F.sum("w").alias("w"))
+    if largest > SORTED_VALUES:
+        counts = stage(counts, "rank-buckets")
+        largest = counts.groupBy("feature", "bucket").count().agg(F.max("count")).first()[0]
+        for _ in range(MAX_REFINEMENTS):
+            if largest <= SORTED_VALUES:
+                break
+            finer = stage(_refine(counts), "rank-buckets")
+            wanted: dict[tuple, list[tuple[int, int]]] = {}
+            for feature, bucket, rank, inner in targets:
+                wanted.setdefault((feature, bucket), []).append((rank, inner))
+            targets, largest = _locate(_totals(finer), wanted)
+            pairs = finer.sparkSession.createDataFrame(sorted({t[:2] for t in targets}), "feature string, bucket long")
+            counts = finer.drop("parent").join(F.broadcast(pairs), ["feature", "bucket"], "left_semi")
     inside = W.partitionBy("feature", "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    places = long.sparkSession.createDataFrame(targets, "feature string, bucket long, rank long, inner_rank long")
+    places = part.sparkSession.createDataFrame(targets, "feature string, bucket long, rank long, inner_rank long")
     found = (
         counts.withColumn("run", F.sum("w").over(inside))
         .join(F.broadcast(places), ["feature", "bucket"])
@@ -263,20 +270,30 @@ def exact_quantiles(
     missing = [c for c in columns if c not in known]
     if missing:
         known.update(cut_points(df, missing, min(QUANTILE_BUCKETS, bucket_count(df))))
-    amount = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
-    rows = df.withColumn("__w", amount)
-    long = long_values(rows, {c: _thin(known[c], QUANTILE_BUCKETS) for c in columns}, carry=["__w"])
-    long = long.select("feature", F.col("bucket").cast("long").alias("bucket"), "value", F.col("__w").alias("w"))
-    totals = long.groupBy("feature", F.lit(0).alias("parent"), "bucket").agg(F.sum("w").alias("w")).collect()
+    known = {c: _thin(known[c], QUANTILE_BUCKETS) for c in columns}
+    rows = df.withColumn("__w", F.col(weight).cast("long") if weight else F.lit(1).cast("long"))
+
+    def stacked(only: Mapping[str, Iterable[int]] | None = None) -> DataFrame:
+        long = long_values(rows, known, ["__w"], only)
+        bucket = F.col("bucket").cast("long").alias("bucket")
+        return long.select("feature", F.lit(0).cast("long").alias("parent"), bucket, "value", F.col("__w").alias("w"))
+
+    totals = _totals(stacked())
     n = {c: 0 for c in columns}
     for row in totals:
         n[row["feature"]] += row["w"]
-    ranks = {c: set() for c in columns}
+    wanted: dict[tuple, list[tuple[int, int]]] = {}
     for c in columns:
-        for p in probs if n[c] else ():
-            h = (n[c] - 1) * p
-            ranks[c].update((math.floor(h), min(math.ceil(h), n[c] - 1)))
-    found = _values_at_ranks(long, ranks, totals)
+        positions = [(n[c] - 1) * p for p in probs] if n[c] else []
+        ranks = {r for h in positions for r in (math.floor(h), min(math.ceil(h), n[c] - 1))}
+        wanted[c, 0] = [(r, r) for r in sorted(ranks)]
+    targets, largest = _locate(totals, wanted)
+    found: dict[tuple, float] = {}
+    if targets:
+        held: dict[str, set[int]] = {}
+        for feature, bucket, *_ in targets:
+            held.setdefault(feature, set()).add(bucket)
+        found = _values_at_ranks(stacked(held), targets, largest)
     out: dict[str, list[float | None]] = {}
     for c in columns:
         values: list[float | None] = []
