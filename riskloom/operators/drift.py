@@ -181,7 +181,7 @@ def ks_two_sample(
     features = list(features)
     tagged = both_sides(reference, current, features)
     cuts = {f: cuts[f] for f in features} if cuts else ordered.cut_points(tagged, features)
-    long = ordered.long_values(tagged, cuts, carry=[SIDE])
+    long = ordered.long_values(tagged, cuts, carry=[SIDE], numbered=True)
     run = ordered.running_sums(long, {"r": F.count_if(F.col(SIDE) == REFERENCE), "c": F.count_if(F.col(SIDE) == CURRENT)}, by=["feature"])
     gap = F.abs(F.try_divide(F.col("run_r"), F.col("all_r")) - F.try_divide(F.col("run_c"), F.col("all_c")))
     varies = lambda side: F.min(F.when(F.col(side) > 0, F.col("value"))) < F.max(F.when(F.col(side) > 0, F.col("value")))
@@ -198,7 +198,8 @@ def ks_two_sample(
         p_value = F.coalesce(F.nanvl(_exact_p_value("d", "n", "m"), F.lit(None).cast("double")), p_value)
     elif p_method != "series":
         raise ValueError(f"unknown p-value method: {p_method}")
-    found = by_feature.where(usable).select("feature", F.col("d").alias("ks_statistic"), p_value.alias("ks_pvalue"))
+    name = F.element_at(F.array(*[F.lit(f) for f in cuts]), F.col("feature") + 1)
+    found = by_feature.where(usable).select(name.alias("feature"), F.col("d").alias("ks_statistic"), p_value.alias("ks_pvalue"))
     names = reference.sparkSession.createDataFrame([(f,) for f in features], "feature string")
     return names.join(found, "feature", "left")
 
