@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: The six ASCII white-space characters between words: space, tab, line feed, vertical tab, form feed, return.
@@ -31,3 +33,8 @@ def fresh(df: DataFrame, base: str) -> str:
         n += 1
         name = f"{base}_{n}"
     return name
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` (or a lambda in it) reads it."""
+    return F.get(F.transform(F.array(value), body), 0)

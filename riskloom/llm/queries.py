@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality
+from . import quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,5 +48,60 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
        failures & 3 <> 0 AS base_failed, failures = 0 AS kept FROM f
 """
 
-QUERIES = {"op2_quality_rules": op2_quality_rules}
-SQL = {"op2_quality_rules": OP2_SQL}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    known = F.col("secrets.known")
+    return found.select(
+        "doc_id",
+        *[secrets.count_of(known, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secrets.digest(known), 256).alias("base_sha256"),
+        secrets.digest(F.col("secrets.spans")).alias("spans"),
+    )
+
+
+def _places_sql(name: str, pattern: str) -> str:
+    """doc_id, n, match, start, end of the matches."""
+    pattern = pattern.replace("'", "''")
+    return f"""
+{name} AS (
+  SELECT doc_id, n, m, CAST(sum(length(piece) + coalesce(length(before), 0)) OVER (PARTITION BY doc_id ORDER BY n) AS INTEGER) AS s
+  FROM (SELECT doc_id, n, m, piece, lag(m) OVER (PARTITION BY doc_id ORDER BY n) AS before
+        FROM (SELECT doc_id, unnest(ms) AS m, unnest(ps[:len(ms)]) AS piece, generate_subscripts(ms, 1) AS n
+              FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS ps FROM t))))"""
+
+
+def _entropy_sql(group: secrets.CharClass, rank: int) -> str:
+    wanted = [f"NOT regexp_matches(m, '{group.excludes}')"]
+    wanted += [f"regexp_matches(m, '{p}')" for p in group.needs] + [f"NOT regexp_matches(m, '{p}')" for p in secrets.ALLOWED]
+    w = group.window
+    return f"""
+      SELECT doc_id, '{group.kind}' AS kind, {rank} AS r, min(s + o) AS s, max(s + o) + {w} AS e FROM (
+        SELECT doc_id, s, n, o, map_values(list_histogram(string_split(substr(m, CAST(o + 1 AS BIGINT), {w}), ''))) AS cs
+        FROM (SELECT *, unnest(range(0, length(m) - {w} + 1)) AS o FROM candidates WHERE {" AND ".join(wanted)}))
+      WHERE log2({w}) - list_sum(list_transform(cs, lambda c: c * log2(c))) / {w} >= {group.threshold} GROUP BY doc_id, s, n"""
+
+
+OP10_SQL = (
+    "WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), "
+    + ", ".join(_places_sql(k.kind, k.pattern) for k in secrets.KNOWN)
+    + ", "
+    + _places_sql("candidates", secrets.CLASSES[0].pattern)
+    + ", base AS ("
+    + " UNION ALL ".join(
+        f"SELECT doc_id, '{k.kind}' AS kind, {r} AS r, s, s + length(m) AS e FROM {k.kind}"
+        + (" WHERE length(regexp_extract(m, '{}', {})) >= {}".format(k.pattern.replace("'", "''"), k.group, k.least))
+        for r, k in enumerate(secrets.KNOWN)
+    )
+    + "), every AS (SELECT doc_id, kind, r, s, e FROM base"
+    + "".join(" UNION ALL " + _entropy_sql(c, len(secrets.KNOWN) + r) for r, c in enumerate(secrets.CLASSES))
+    + """), b AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex, string_agg(concat_ws(':', kind, s, e), ',' ORDER BY s, r) AS spans FROM base GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg(concat_ws(':', kind, s, e), ',' ORDER BY s, r) AS spans FROM every GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(a.spans, '') AS spans
+FROM t LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""
+)
+
+QUERIES = {"op2_quality_rules": op2_quality_rules, "op10_secret_scan": op10_secret_scan}
+SQL = {"op2_quality_rules": OP2_SQL, "op10_secret_scan": OP10_SQL}
