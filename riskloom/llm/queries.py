@@ -4,13 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality, secrets
+from . import mixing, quality, secrets, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The tree of the mixture: a domain for each fourth source, then language, then source.
+TREE = {
+    "domain": "concat('d', coalesce(try_cast(regexp_extract(source, '([0-9]{1,9})', 1) AS int) % 4, 0))",
+    "lang": "lang",
+    "source": "source",
+}
+WEIGHTS = {("d0",): 4.0, ("d1",): 2.0, **{(f"d{k}", "en"): 2.0 for k in range(4)}, ("d0", "en", "src0"): 3.0}
+SHARE, EPOCHS, SEED = 0.75, 4, 7
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    return mixing.mix(docs, {k: F.expr(v) for k, v in TREE.items()}, WEIGHTS, SHARE, EPOCHS, SEED)
+
+
+def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select(
+        "doc_id", "leaf", "epoch", "n_tokens", "n_taken"
+    )
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failures")
@@ -23,8 +43,46 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 _WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+def _weight_sql(depth: int) -> str:
+    path = " || '/' || ".join(("l0", "l1", "l2")[:depth])
+    whens = " ".join(f"WHEN '{'/'.join(p)}' THEN {w}" for p, w in WEIGHTS.items() if len(p) == depth)
+    return f"CASE {path} {whens} ELSE 1.0 END::DOUBLE" if whens else "1.0::DOUBLE"
+
+
+def _level_sql(depth: int) -> str:
+    """Budgets of one level of the tree out of the level above."""
+    keys, parents = ", ".join(("l0", "l1", "l2")[:depth]), ", ".join(("l0", "l1", "l2")[: depth - 1])
+    group = f"PARTITION BY {parents}" if parents else ""
+    given = f"JOIN b{depth - 1} USING ({parents})" if parents else "CROSS JOIN total"
+    return f"""
+n{depth} AS (SELECT {keys}, sum(tokens) * {EPOCHS} AS supply, {_weight_sql(depth)} AS weight FROM leaves GROUP BY {keys}),
+o{depth} AS (SELECT n{depth}.*, given, row_number() OVER ({group} ORDER BY supply / weight, {("l0", "l1", "l2")[depth - 1]}) AS place
+             FROM n{depth} {given}),
+v{depth} AS (SELECT *, (given - coalesce(sum(supply) OVER below, 0)) / (sum(weight) OVER ({group}) - coalesce(sum(weight) OVER below, 0.0)) AS lev
+             FROM o{depth} WINDOW below AS ({group} ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b{depth} AS (SELECT {keys}, least(CAST(supply AS DOUBLE), max(lev) OVER ({group}) * weight) AS given FROM v{depth})"""
+
+
+OP1_SQL = rf"""
+WITH d AS (SELECT doc_id, CAST(len({_WORDS_SQL}) AS BIGINT) AS tokens,
+                  'd' || coalesce(TRY_CAST(regexp_extract(source, '([0-9]{{1,9}})', 1) AS INTEGER) % 4, 0) AS l0,
+                  coalesce(lang, '(none)') AS l1, coalesce(source, '(none)') AS l2 FROM documents),
+leaves AS (SELECT l0, l1, l2, CAST(sum(tokens) AS BIGINT) AS tokens FROM d WHERE tokens > 0 GROUP BY ALL),
+total AS (SELECT least(floor(sum(tokens) * {SHARE}), sum(tokens) * {EPOCHS}) AS given FROM leaves),
+{_level_sql(1)}, {_level_sql(2)}, {_level_sql(3)},
+s AS (SELECT doc_id, l0, l1, l2, tokens, epoch, floor(given) AS budget,
+             sum(tokens) OVER (PARTITION BY l0, l1, l2 ORDER BY epoch, md5(concat_ws(':', {SEED}, epoch, doc_id))) - tokens AS before
+      FROM d JOIN b3 USING (l0, l1, l2), (SELECT unnest(range({EPOCHS})) AS epoch) WHERE tokens > 0)
+SELECT doc_id, concat_ws('/', l0, l1, l2) AS leaf, CAST(epoch AS INTEGER) AS epoch, tokens AS n_tokens,
+       CAST(least(tokens, budget - before) AS BIGINT) AS n_taken FROM s WHERE before < budget
+"""
+
 OP2_SQL = rf"""
 WITH w AS (SELECT doc_id, {_WORDS_SQL} AS ws, coalesce(text, '') AS text FROM documents),
 e AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
@@ -103,5 +161,10 @@ SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM t LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""
 )
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op10_secret_scan": op10_secret_scan}
-SQL = {"op2_quality_rules": OP2_SQL, "op10_secret_scan": OP10_SQL}
+QUERIES = {
+    "op1_mixture": op1_mixture,
+    "op2_quality_rules": op2_quality_rules,
+    "op8_simhash": op8_simhash,
+    "op10_secret_scan": op10_secret_scan,
+}
+SQL = {"op1_mixture": OP1_SQL, "op2_quality_rules": OP2_SQL, "op10_secret_scan": OP10_SQL}
