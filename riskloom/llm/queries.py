@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, quality, secrets, simhash
+from . import decontaminate, extract, language, licences, lines, mixing, quality, secrets, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +43,52 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = docs.select("doc_id", lines.document("doc_id", "text").alias("document"), lines.n_lines("text").alias("n_lines"))
+    drops = lines.dropped_lines(docs)
+    dropped = F.coalesce(F.col("drop"), F.array().cast("array<int>"))
+    return counts.join(drops, "document", "left").select(
+        "doc_id", "n_lines", F.size(dropped).cast("long").alias("n_dropped"), dropped.alias("dropped")
+    )
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return judged.select(
+        "doc_id", "leak.n_passages", "leak.n_retrieved", "leak.items", (F.size("leak.items") > 0).alias("contaminated")
+    )
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language.held_out(F.col("doc_id"))
+    automata, alphabet = language.fit(docs.filter(~out))
+    return language.predict(docs.drop("lang"), automata, alphabet).select(
+        "doc_id", out.alias("held_out"), "language.lang_pred", "language.score"
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array_sort(F.array_distinct(F.transform("licences", lambda x: x["licence"])))
+    return found.select(
+        "doc_id",
+        F.size("licences").cast("long").alias("n_found"),
+        F.array_join(names, ",").alias("licences"),
+        F.coalesce(F.array_max(F.transform("licences", lambda x: x["dice"])), F.lit(0.0)).alias("best_dice"),
+    )
+
+
 _WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 def _weight_sql(depth: int) -> str:
@@ -164,7 +206,12 @@ FROM t LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""
 QUERIES = {
     "op1_mixture": op1_mixture,
     "op2_quality_rules": op2_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_decontamination": op4_decontamination,
+    "op5_main_text": op5_main_text,
+    "op7_language": op7_language,
     "op8_simhash": op8_simhash,
+    "op9_licences": op9_licences,
     "op10_secret_scan": op10_secret_scan,
 }
 SQL = {"op1_mixture": OP1_SQL, "op2_quality_rules": OP2_SQL, "op10_secret_scan": OP10_SQL}
