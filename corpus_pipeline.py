@@ -1,4 +1,8 @@
-"""A training corpus in stages, each calling one operator of ``riskloom.llm``."""
+"""A training corpus in five stages, each calling one operator of ``riskloom.llm``.
+
+Rejected documents, later copies of lines, near copies of documents and documents that hold a test item go; what is left
+is mixed to target weights. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import quality
+from riskloom.llm import decontaminate, lines, quality, queries, simhash
 from riskloom.llm.common import fresh
 from riskloom.session import stage
 
@@ -17,7 +21,34 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.apply_policy(quality.ledger(docs, into=into), quality.WEB, into)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", quality_stage)]
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier line resembles; ``n_chars`` follows the text."""
+    return lines.dedup(docs, length_col="n_chars")
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash class."""
+    return simhash.one_per_class(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no test item."""
+    return decontaminate.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"), into=fresh(docs, "leak"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture: documents by leaf and epoch with the tokens taken."""
+    return queries.mixed(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_stage),
+    ("lines", line_stage),
+    ("near_duplicates", near_stage),
+    ("decontamination", benchmark_stage),
+    ("mixing", mixing_stage),
+]
+#: SimHash classes and BM25 have no SQL form; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 

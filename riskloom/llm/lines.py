@@ -6,8 +6,8 @@ hashes under ``bands * rows`` seeds, and lines that agree in all rows of a band
 are candidates. Similarity is the exact Jaccard coefficient of the shingle sets.
 
 A bucket is not expanded into all pairs. Its least line is the pivot and is compared with every member. Members found in
-one component need no more; two members of different components are compared unless the triangle inequality of the
-Jaccard distance, over their distances to the pivot, already parts them. So every link between components is found.
+one component need no more; two members of different components are compared unless their sizes part them, or the triangle
+inequality of the Jaccard distance over their distances to the pivot. So every link between components is found.
 Components are closed by contraction (``components``); of each, the first line (least document id, then place) stays.
 
 Lines without a word always stay and are never compared. Null and empty texts have no lines to drop. Documents that share
@@ -53,7 +53,7 @@ def _has_word(line: Column) -> Column:
 
 
 def distinct_lines(docs: DataFrame, text: str, bands: int, rows: int, size: int) -> DataFrame:
-    """Distinct lines: ``id``, ``h`` (128 bits of the text), ``n`` occurrences, ``keys`` of the bands, ``line``.
+    """Distinct lines: ``id``, ``h`` (128 bits of the text), ``n`` occurrences, ``size`` in shingles, ``keys`` of the bands, ``line``.
 
     One exchange: lines are counted before it, and their shingles are hashed and reduced where they arrive.
     """
@@ -63,7 +63,8 @@ def distinct_lines(docs: DataFrame, text: str, bands: int, rows: int, size: int)
     orders = [F.min(F.xxhash64(F.lit(k), F.col("x"))).alias(f"m{k}") for k in range(bands * rows)]
     signed = hashed.groupBy("line", "n").agg(*orders)
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])
-    return signed.select(F.monotonically_increasing_id().alias("id"), F.unhex(F.md5("line")).alias("h"), "n", keys.alias("keys"), "line")
+    held = F.size(F.array_distinct(shingles(F.col("line"), size))).alias("size")
+    return signed.select(F.monotonically_increasing_id().alias("id"), F.unhex(F.md5("line")).alias("h"), "n", held, keys.alias("keys"), "line")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -76,9 +77,9 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def line_classes(lines: DataFrame, similarity: float, size: int) -> DataFrame:
     """``id`` and ``root`` of the lines that are near another line; ``lines`` as ``distinct_lines`` gives them, stored."""
-    keyed = lines.select("id", F.explode("keys").alias("key"))
+    keyed = lines.select("id", "size", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("held")).filter("held > 1")
-    members = stage(keyed.join(buckets, "key").select("key", "id", "pivot", "held"), "members")
+    members = stage(keyed.join(buckets, "key").select("key", "id", "size", "pivot", "held"), "members")
 
     ids = stage(members.select("id").distinct(), "candidates")
     picked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -93,9 +94,10 @@ def line_classes(lines: DataFrame, similarity: float, size: int) -> DataFrame:
     # Members of a bucket that the pivot left in different components, unless their distances to it part them.
     wide = members.filter("held > 2 AND id != pivot").withColumnsRenamed({"pivot": "a", "id": "b"}).join(judged, ["a", "b"])
     placed = wide.join(first.withColumnRenamed("node", "b"), "b", "left")
-    placed = stage(placed.select("key", "b", "j", F.coalesce("root", "b").alias("root")), "placed")
-    other = placed.select("key", F.col("b").alias("a"), F.col("j").alias("i"), F.col("root").alias("top"))
+    placed = stage(placed.select("key", "b", "size", "j", F.coalesce("root", "b").alias("root")), "placed")
+    other = placed.select("key", F.col("b").alias("a"), F.col("size").alias("sized"), F.col("j").alias("i"), F.col("root").alias("top"))
     apart = placed.join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("top")))
+    apart = apart.filter(F.least("size", "sized") >= similarity * F.greatest("size", "sized"))
     apart = apart.filter(F.abs(F.col("i") - F.col("j")) <= 1 - similarity + 1e-9).select("a", "b").distinct()
     more = stage(_similar(apart, sets).filter(F.col("j") >= similarity).select("a", "b"), "more")
     if more.isEmpty():
@@ -123,8 +125,11 @@ def dropped_lines(
     return late.groupBy("document").agg(F.sort_array(F.collect_list("place")).alias("drop"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with only the first line of each class; documents that lose every line with a word go."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length_col: str | None = None, **options) -> DataFrame:
+    """``docs`` with only the first line of each class; documents that lose every line with a word go.
+
+    ``length_col`` names a column of text lengths to keep in step.
+    """
     key, lines, kept = (fresh(docs, f"_{x}") for x in ("document", "lines", "kept"))
     drops = dropped_lines(docs, id_col, text, **options).withColumnRenamed("document", key)
     drop = fresh(docs, "drop")
@@ -134,5 +139,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options
     joined = joined.withColumn(kept, F.transform(places, lambda i: F.get(F.col(lines), i)))
     worded = F.exists(F.col(kept), _has_word)
     whole = F.when(F.col(drop).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    columns = [whole.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    new = {text: whole}
+    if length_col in docs.columns:
+        length = F.when(F.col(drop).isNull(), F.col(length_col)).otherwise(F.length(whole))
+        new[length_col] = length.cast(docs.schema[length_col].dataType)
+    columns = [new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns]
     return joined.filter(F.col(drop).isNull() | worded).select(*columns)
