@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.session import stage
 
-from .common import SPACES, fresh, text_or_empty, without
+from .common import SPACES, fresh, let, text_or_empty, without
 from .components import components
 
 SIZE = 12
@@ -130,13 +130,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length_co
 
     ``length_col`` names a column of text lengths to keep in step.
     """
-    key, lines, kept = (fresh(docs, f"_{x}") for x in ("document", "lines", "kept"))
+    key, kept = (fresh(docs, f"_{x}") for x in ("document", "kept"))
     drops = dropped_lines(docs, id_col, text, **options).withColumnRenamed("document", key)
     drop = fresh(docs, "drop")
     joined = docs.withColumn(key, document(id_col, text)).join(drops.withColumnRenamed("drop", drop), key, "left")
-    joined = joined.withColumn(lines, F.when(F.col(drop).isNotNull(), _lines_of(F.col(text))))
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))
-    joined = joined.withColumn(kept, F.transform(places, lambda i: F.get(F.col(lines), i)))
+    left = lambda split: F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(drop)), lambda i: F.get(split, i)
+    )
+    joined = joined.withColumn(kept, F.when(F.col(drop).isNotNull(), let(_lines_of(F.col(text)), left)))
     worded = F.exists(F.col(kept), _has_word)
     whole = F.when(F.col(drop).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     new = {text: whole}
