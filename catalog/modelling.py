@@ -164,7 +164,7 @@ def stream_drift(spark, d):
     reference, _ = halves(spark, d)
     path = staged_path(spark, "stream-drift")
     events = _event_stream(spark, d).select("value", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
-    query = jobs.stream_drift(events, reference, ["value", "k", "event_type"], f"{path}/data", f"{path}/checkpoint", p_method="series")
+    query = jobs.stream_drift(events, reference, ["value", "k", "event_type"], f"{path}/data", f"{path}/checkpoint")
     query.awaitTermination()
     out = spark.read.parquet(f"{path}/data")
     return rounded(out.select("feature", "psi", "ks_statistic", "ks_pvalue", "has_alert"), ["psi", "ks_statistic", "ks_pvalue"], 7)

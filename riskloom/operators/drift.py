@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.bands import edges_at_or_below
 from ..functions.scalars import alert_list, alert_text
@@ -19,8 +17,6 @@ PSI_THRESHOLD = 0.2
 P_VALUE_THRESHOLD = 0.05
 METRIC_TOLERANCE = 0.02
 EPSILON = 1e-6
-# Fixed value: up to this many values a side the KS p-value is exact.
-EXACT_LIMIT = 10_000
 SERIES_TERMS = 100
 
 SIDE = "__side"
@@ -144,39 +140,16 @@ def ks_p_value(d: Column, n: Column, m: Column) -> Column:
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
 
 
-def _exact_tail(d: float, n: int, m: int) -> float:
-    """P(D >= d) for samples of n and m values without ties, by counting paths from (0, 0) to (n, m).
-
-    Paths that keep ``|i/n - j/m|`` below ``d`` are counted row by row; each row is a running sum over
-    the allowed columns, scaled so that the last number is a probability.
-    """
-    limit = (0.5 + np.floor(d * n * m - 1e-7)) / (n * m)
-    j = np.arange(m + 1) / m
-    paths = np.where(j > limit, 0.0, 1.0)
-    for i in range(1, n + 1):
-        allowed = np.abs(i / n - j) <= limit
-        paths = np.where(allowed, np.cumsum(np.where(allowed, paths * (i / (i + m)), 0.0)), 0.0)
-    return float(min(1.0, max(0.0, 1.0 - paths[-1])))
-
-
-@F.pandas_udf(T.DoubleType())
-def _exact_p_value(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    """Exact p-value of one row per feature; missing for larger samples."""
-    small = (n <= EXACT_LIMIT) & (m <= EXACT_LIMIT)
-    return pd.Series([_exact_tail(x, int(min(a, b)), int(max(a, b))) if ok else None for x, a, b, ok in zip(d, n, m, small)], dtype="float64")
-
-
 def ks_two_sample(
     reference: DataFrame,
     current: DataFrame,
     features: Sequence[str],
     cuts: Mapping[str, Sequence[float]] | None = None,
-    p_method: str = "auto",
 ) -> DataFrame:
     """Largest distance of the two distribution functions and its p-value, per feature.
 
-    Null when a side is empty, or when both sides are constant. ``p_method`` ``auto`` is exact up to
-    10,000 values a side and the limit series beyond; ``series`` always takes the series.
+    Null when a side is empty, or when both sides are constant. The p-value is the Kolmogorov series
+    for samples of any size.
     """
     features = list(features)
     tagged = both_sides(reference, current, features)
@@ -194,10 +167,6 @@ def ks_two_sample(
     )
     usable = (F.col("n") > 0) & (F.col("m") > 0) & (F.col("varies_r") | F.col("varies_c"))
     p_value = ks_p_value(F.col("d"), F.col("n").cast("double"), F.col("m").cast("double"))
-    if p_method == "auto":
-        p_value = F.coalesce(F.nanvl(_exact_p_value("d", "n", "m"), F.lit(None).cast("double")), p_value)
-    elif p_method != "series":
-        raise ValueError(f"unknown p-value method: {p_method}")
     name = F.element_at(F.array(*[F.lit(f) for f in cuts]), F.col("feature") + 1)
     found = by_feature.where(usable).select(name.alias("feature"), F.col("d").alias("ks_statistic"), p_value.alias("ks_pvalue"))
     names = reference.sparkSession.createDataFrame([(f,) for f in features], "feature string")
@@ -210,7 +179,6 @@ def feature_drift(
     features: Sequence[str] | None = None,
     psi_threshold: float = PSI_THRESHOLD,
     p_threshold: float = P_VALUE_THRESHOLD,
-    p_method: str = "auto",
 ) -> DataFrame:
     """One row per feature: PSI, KS distance and p-value, alerts."""
     names = require_inputs(reference, current, features or common_columns(reference, current))
@@ -221,7 +189,7 @@ def feature_drift(
     cuts = ordered.cut_points(both_sides(reference, current, numeric), numeric) if numeric else {}
     result = psi(reference, current, numeric, categorical, cuts=cuts)
     if numeric:
-        result = result.join(F.broadcast(ks_two_sample(reference, current, numeric, cuts, p_method)), "feature", "left")
+        result = result.join(F.broadcast(ks_two_sample(reference, current, numeric, cuts)), "feature", "left")
     else:
         result = result.withColumns({c: F.lit(None).cast("double") for c in ("ks_statistic", "ks_pvalue")})
     result = result.withColumn("alerts", alert_list(F.col("psi"), F.col("ks_pvalue"), psi_threshold, p_threshold))

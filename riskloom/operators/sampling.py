@@ -5,13 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import HASH_BITS, HASH_SPAN, key_hash
 from .ordered import hash_thresholds
 
-SORTED_SAMPLE_LIMIT = 10_000
-
 
 def _allocate(counts: dict[tuple, int], test_size: float) -> dict[tuple, int]:
     """Validation rows per label: the whole share is rounded up, training shares by largest remainder."""
@@ -55,18 +53,22 @@ def sample_n(
 ) -> DataFrame:
     """Exactly ``n`` rows by smallest hash (all rows when there are fewer, or an error if ``strict``).
 
-    Rows are compared with the hash of rank n, so about n rows are left before anything is sorted,
-    whatever the number of tasks. A small sample is then cut to the row; in a large one rows of equal
-    key stay together, and with unique keys its size is exact too.
+    Rows are compared with the hash of rank n. Only rows that tie at that hash (copies of its key) are
+    put in order, by keys and content, to fill the sample to the row.
     """
     if strict:
         have = df.count()
         if have < n:
             raise ValueError(f"sample size {n} exceeds table size {have}")
     hashed = key_hash(keys, seed, method)
-    limit = hash_thresholds(df, [], hashed, HASH_BITS, {(): n})[()]
-    rows = df.where(hashed <= F.lit(limit))
-    return rows.orderBy(hashed, *keys).limit(n) if n <= SORTED_SAMPLE_LIMIT else rows
+    return _first_by_hash(df, hashed, n, keys)
+
+
+def _first_by_hash(df: DataFrame, hashed: Column, n: int, keys: Sequence[str]) -> DataFrame:
+    limit = F.lit(hash_thresholds(df, [], hashed, HASH_BITS, {(): n})[()])
+    below = df.where(hashed < limit)
+    need = max(0, n - below.count())
+    return below.unionAll(df.where(hashed == limit).orderBy(*keys, F.xxhash64(*df.columns)).limit(need))
 
 
 def sample_fraction(
@@ -75,8 +77,7 @@ def sample_fraction(
     """Rows whose hash lies below ``fraction``; ``exact`` gives ``round(fraction * rows)`` of them."""
     hashed = key_hash(keys, seed, method)
     if exact:
-        limit = hash_thresholds(df, [], hashed, HASH_BITS, {(): round(fraction * df.count())})[()]
-        return df.where(hashed <= F.lit(limit))
+        return _first_by_hash(df, hashed, round(fraction * df.count()), keys)
     return df.where(hashed < F.lit(int(fraction * HASH_SPAN)))
 
 

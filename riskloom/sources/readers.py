@@ -24,9 +24,14 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | None =
 
 
 def read_feature_store(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
-    """The feature store; naming a data set reads only its partition. A missing path is an error."""
+    """The feature store; naming a data set reads only its partition, with the schema of its own files.
+
+    A missing path is an error. Features that are typed differ by data set, so name one to read them.
+    """
     _require(spark, path)
-    store = spark.read.parquet(path)
+    own = f"{path.rstrip('/')}/dataset={dataset}"
+    named = dataset is not None and path_exists(spark, own)
+    store = spark.read.option("basePath", path).parquet(own) if named else spark.read.parquet(path)
     columns = [c for c in FEATURE_STORE.names if c in store.columns] + [c for c in store.columns if c not in FEATURE_STORE.names]
     store = store.select(*columns)
     return select_dataset(store, dataset) if dataset else store
@@ -70,5 +75,5 @@ def read_documents(spark: SparkSession, *paths: str, pattern: str = "*.md") -> D
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(present)
     )
-    text = F.col("content").cast("string")
+    text = F.regexp_replace(F.col("content").cast("string"), "\\r\\n?", "\n")
     return files.where(F.is_valid_utf8(text)).select(F.col("path").alias("source"), text.alias("text"))

@@ -14,8 +14,8 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
 
 
 def write_json_report(df: DataFrame, path: str) -> None:
-    """Replace a report, one JSON object per row."""
-    df.write.mode("overwrite").json(path)
+    """Replace a report, one JSON object per row; missing values are written as null."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def write_csv_table(df: DataFrame, path: str) -> None:

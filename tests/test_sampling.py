@@ -41,17 +41,22 @@ def test_null_label_and_empty_table(spark):
     assert sa.stratified_split(df.limit(0)).count() == 0
 
 
-def test_samples(rows, monkeypatch):
+def test_samples(rows):
     small = sa.sample_n(rows, 100, ["id"])
-    assert small.count() == 100 and "TakeOrderedAndProject" in plan_of(small)
-    monkeypatch.setattr(sa, "SORTED_SAMPLE_LIMIT", 10)
-    large = sa.sample_n(rows, 100, ["id"])
-    assert large.exceptAll(small).isEmpty() and large.count() == 100
+    assert small.count() == 100 and small.exceptAll(rows).isEmpty()
     assert sa.sample_n(rows, 10_000, ["id"]).count() == 5003
     with pytest.raises(ValueError):
         sa.sample_n(rows, 10_000, ["id"], strict=True)
 
 
+def test_repeated_keys_give_exactly_n(spark):
+    rows = spark.range(0, 20_000).selectExpr("id % 3 AS k", "id AS v")
+    for n in (1, 9_999, 12_001):
+        got = sa.sample_n(rows, n, ["k"])
+        assert got.count() == n == got.distinct().count()
+    assert sa.sample_fraction(rows, 0.333, ["k"], exact=True).count() == 6660
+
+
 def test_fractions_and_complement(rows):
     assert sa.sample_fraction(rows, 0.3, ["id"], exact=True).count() == round(0.3 * 5003)
     assert abs(sa.sample_fraction(rows, 0.3, ["id"]).count() / 5003 - 0.3) < 0.03
