@@ -70,6 +70,10 @@ def test_typed_store_prunes_fields(spark, raw_dir, tmp_path):
     wide = ft.unpack_features(fraud, FRAUD_FEATURES)
     assert wide.count() == 41 and wide.where("time_hours = 1").count() == 2
     assert "features:struct<Amount:double>" in plan_of(wide.select("Amount"))
+    for dataset, column in (("fraud", "Amount"), ("churn", "Geography")):
+        store = readers.read_feature_store(spark, paths.store, dataset)
+        assert column in store.schema["features"].dataType.names and store.select("dataset").distinct().first()[0] == dataset
+
 
 
 def test_missing_store_and_dataset(spark, built):
