@@ -1,13 +1,14 @@
 """Fuzzy line dedup by MinHash, on SQL functions alone.
 
 A line's shingles are the ``SIZE`` characters that start at each of its words (fewer at the end of the line, so a short
-line has shingles, too). Equal lines are one row before anything else. The signature is the least of the shingles'
-hashes under ``bands * rows`` seeds, and lines that agree in all rows of a band
-are candidates. Similarity is the exact Jaccard coefficient of the shingle sets.
-
-A bucket is not expanded into all pairs. Its least line is the pivot and is compared with every member. Members found in
-one component need no more; two members of different components are compared unless their sizes part them, or the triangle
-inequality of the Jaccard distance over their distances to the pivot. So every link between components is found.
+line has shingles, too). Equal lines are one row before anything else. The signature has ``bands`` permutations of the
+shingles' 64-bit hashes and the ``rows`` least hashes under each; lines that agree in all rows of a band are candidates.
+Similarity is the exact Jaccard coefficient of the sets of hashes.
+
+A bucket is not expanded into all pairs. Its most frequent line is the pivot and is compared with every member. Members
+found in one component need no more; two members of different components are compared unless an exact bound parts them:
+their sizes, the triangle inequality of the Jaccard distance over their distances to the pivot, or the parities of their
+sets. So every link between components of one bucket is found.
 Components are closed by contraction (``components``); of each, the first line (least document id, then place) stays.
 
 Lines without a word always stay and are never compared. Null and empty texts have no lines to drop. Documents that share
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.session import stage
 
-from .common import SPACES, fresh, let, text_or_empty, without
+from .common import SPACES, fresh, let, text_or_empty
 from .components import components
 
 SIZE = 12
@@ -35,8 +36,12 @@ def shingles(line: Column, size: int = SIZE) -> Column:
     return F.regexp_extract_all(flat, F.lit(_PATTERN.format(size - 1)), F.lit(1))
 
 
+def _document(id_: Column, text_hash: Column) -> Column:
+    return F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("")), F.hex(text_hash))
+
+
 def document(id_col: str, text: str) -> Column:
-    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.hex(F.xxhash64(text)))
+    return _document(F.col(id_col), F.xxhash64(text))
 
 
 def _lines_of(text: Column) -> Column:
@@ -49,22 +54,51 @@ def n_lines(text: str) -> Column:
 
 
 def _has_word(line: Column) -> Column:
-    return F.length(without(line, SPACES)) > 0
+    return line.rlike(f"[^{SPACES}]")
+
+
+def _name(line: Column) -> list[Column]:
+    """128 bits of a line, in two columns."""
+    return [F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("g")]
+
+
+def _hashes(line: Column, size: int) -> Column:
+    """The set of a line's shingles, as sorted 64-bit hashes."""
+    return F.sort_array(F.array_distinct(F.transform(shingles(line, size), lambda s: F.xxhash64(s))))
+
+
+def _band_keys(lines: DataFrame, bands: int, rows: int) -> DataFrame:
+    """``lines`` with ``keys`` in place of their sorted ``set``: band k holds the ``rows`` least hashes under its permutation.
+
+    The permutation subtracts the band's offset modulo 2 ** 64, so its least hashes are those that follow the offset in
+    order, around the end. One sort serves all bands; a set smaller than ``rows`` goes around more than once.
+    """
+    offsets = [(k << 64) // bands - (1 << 63) for k in range(bands)]
+    placed = F.sort_array(F.concat("set", F.array(*[F.lit(o).cast("long") for o in offsets])))
+    around = F.when(F.size("set") >= rows, F.concat("set", F.slice("set", 1, rows))).otherwise(F.concat(*["set"] * (rows + 1)))
+    other = [c for c in lines.columns if c != "set"]
+    ready = lines.select(*other, F.size("set").alias("size"), placed.alias("placed"), around.alias("around"))
+    # The place of an offset less the offsets before it is the number of hashes below it.
+    below = [F.array_position("placed", F.lit(o).cast("long")).cast("int") - k for k, o in enumerate(offsets)]
+    keys = [F.xxhash64(F.lit(k), F.slice("around", start, rows)) for k, start in enumerate(below)]
+    return ready.select(*other, "size", F.array(*keys).alias("keys"))
 
 
 def distinct_lines(docs: DataFrame, text: str, bands: int, rows: int, size: int) -> DataFrame:
-    """Distinct lines: ``id``, ``h`` (128 bits of the text), ``n`` occurrences, ``size`` in shingles, ``keys`` of the bands, ``line``.
+    """Distinct lines: ``id``, ``h`` and ``g`` (128 bits of the text), ``n`` occurrences, ``size`` in shingles, ``keys`` of the bands, ``line``.
 
-    One exchange: lines are counted before it, and their shingles are hashed and reduced where they arrive.
+    One exchange: lines are counted before it, and their shingles are hashed where they arrive.
     """
     each = docs.select(F.explode(_lines_of(F.col(text))).alias("line")).filter(_has_word(F.col("line")))
     counted = each.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
-    hashed = counted.select("line", "n", F.explode(shingles(F.col("line"), size)).alias("s")).select("line", "n", F.xxhash64("s").alias("x"))
-    orders = [F.min(F.xxhash64(F.lit(k), F.col("x"))).alias(f"m{k}") for k in range(bands * rows)]
-    signed = hashed.groupBy("line", "n").agg(*orders)
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])
-    held = F.size(F.array_distinct(shingles(F.col("line"), size))).alias("size")
-    return signed.select(F.monotonically_increasing_id().alias("id"), F.unhex(F.md5("line")).alias("h"), "n", held, keys.alias("keys"), "line")
+    signed = _band_keys(counted.select("line", "n", _hashes(F.col("line"), size).alias("set")), bands, rows)
+    return signed.select(F.monotonically_increasing_id().alias("id"), *_name(F.col("line")), "n", "size", "keys", "line")
+
+
+def _parity(set_: str, words: int = 4) -> list[Column]:
+    """64 bits each: whether an odd number of the hashes fall on the bit. Sets that differ in d hashes differ in at most d bits."""
+    fold = "aggregate(filter({0}, x -> (shiftright(x, 6) & {2}) = {1}), 0L, (p, x) -> p ^ shiftleft(1L, CAST(x & 63 AS INT)))"
+    return [F.expr(fold.format(set_, k, words - 1)).alias(f"p{k}") for k in range(words)]
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -77,32 +111,39 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def line_classes(lines: DataFrame, similarity: float, size: int) -> DataFrame:
     """``id`` and ``root`` of the lines that are near another line; ``lines`` as ``distinct_lines`` gives them, stored."""
-    keyed = lines.select("id", "size", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+    keyed = lines.select("id", "n", "size", F.explode("keys").alias("key"))
+    pivot = F.min(F.struct(-F.col("n"), "id"))["id"]
+    buckets = keyed.groupBy("key").agg(pivot.alias("pivot"), F.count(F.lit(1)).alias("held")).filter("held > 1")
     members = stage(keyed.join(buckets, "key").select("key", "id", "size", "pivot", "held"), "members")
 
     ids = stage(members.select("id").distinct(), "candidates")
     picked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = lines.select("id", "line").join(picked, "id").select("id", F.array_distinct(shingles(F.col("line"), size)).alias("set"))
-    sets = stage(sets, "shingles")
+    sets = stage(lines.select("id", "line").join(picked, "id").select("id", _hashes(F.col("line"), size).alias("set")), "shingles")
 
     stars = members.filter("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     judged = stage(_similar(stars, sets), "stars")
     links = judged.filter(F.col("j") >= similarity).select("a", "b")
     first = components(links)
 
-    # Members of a bucket that the pivot left in different components, unless their distances to it part them.
+    # Members of a bucket that the pivot left in different components, unless a bound parts them: their sizes, their
+    # distances to the pivot, or the bits in which their parities differ (each takes a shingle that only one of them has).
     wide = members.filter("held > 2 AND id != pivot").withColumnsRenamed({"pivot": "a", "id": "b"}).join(judged, ["a", "b"])
     placed = wide.join(first.withColumnRenamed("node", "b"), "b", "left")
-    placed = stage(placed.select("key", "b", "size", "j", F.coalesce("root", "b").alias("root")), "placed")
-    other = placed.select("key", F.col("b").alias("a"), F.col("size").alias("sized"), F.col("j").alias("i"), F.col("root").alias("top"))
-    apart = placed.join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("top")))
+    placed = placed.select("key", "b", "size", "j", F.coalesce("root", "b").alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    bits = _parity("set")
+    placed = placed.join(mixed, "key").join(sets.select(F.col("id").alias("b"), *bits), "b")
+    placed = stage(placed, "placed")
+    again = {"b": "a", "size": "sized", "j": "i", "root": "top"} | {f"p{k}": f"q{k}" for k in range(len(bits))}
+    apart = placed.join(placed.withColumnsRenamed(again), "key").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("top")))
     apart = apart.filter(F.least("size", "sized") >= similarity * F.greatest("size", "sized"))
-    apart = apart.filter(F.abs(F.col("i") - F.col("j")) <= 1 - similarity + 1e-9).select("a", "b").distinct()
-    more = stage(_similar(apart, sets).filter(F.col("j") >= similarity).select("a", "b"), "more")
+    apart = apart.filter(F.abs(F.col("i") - F.col("j")) <= 1 - similarity + 1e-9)
+    differ = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}"))) for k in range(1, len(bits))), F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))))
+    apart = apart.filter(differ <= (F.col("size") + F.col("sized")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
+    more = stage(_similar(apart.select("a", "b").distinct(), sets).filter(F.col("j") >= similarity).select("a", "b"), "more")
     if more.isEmpty():
         return first
-    return components(links.union(more))
+    return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 
 def dropped_lines(
@@ -111,18 +152,19 @@ def dropped_lines(
     """``document`` (id and text hash) and ``drop``: the places, from 0, of lines whose class has an earlier line."""
     lines = stage(distinct_lines(docs, text, bands, rows, size), "lines")
     classes = line_classes(lines, similarity, size).withColumnRenamed("node", "id")
-    joined = lines.select("id", "h", "n").join(classes, "id", "left")
-    repeated = joined.filter("n > 1 OR root IS NOT NULL").select("h", F.coalesce("root", "id").alias("root"))
+    joined = lines.select("id", "h", "g", "n").join(classes, "id", "left")
+    repeated = joined.filter("n > 1 OR root IS NOT NULL").select("h", "g", F.coalesce("root", "id").alias("root"))
 
     each = docs.select(
-        F.col(id_col).alias("id"), document(id_col, text).alias("document"), F.posexplode(_lines_of(F.col(text))).alias("place", "line")
+        F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), F.posexplode(_lines_of(F.col(text))).alias("place", "line")
     )
-    each = each.filter(_has_word(F.col("line"))).select("id", "document", "place", F.unhex(F.md5("line")).alias("h"))
-    found = stage(each.join(repeated, "h").select("id", "document", "place", "root").distinct(), "occurrences")
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "document", "place")
+    each = each.filter(_has_word(F.col("line"))).select("id", "t", "place", *_name(F.col("line")))
+    found = stage(each.join(repeated, ["h", "g"]).select("id", "t", "place", "root").distinct(), "occurrences")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "t", "place")
     first = found.groupBy("root").agg(F.min(order).alias("first"))
-    late = found.join(first, "root").filter((F.col("document") != F.col("first.document")) | (F.col("place") != F.col("first.place")))
-    return late.groupBy("document").agg(F.sort_array(F.collect_list("place")).alias("drop"))
+    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("t") == F.col("first.t")) & (F.col("place") == F.col("first.place"))
+    late = found.join(first, "root").filter(~same)
+    return late.groupBy(_document(F.col("id"), F.col("t")).alias("document")).agg(F.sort_array(F.collect_list("place")).alias("drop"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length_col: str | None = None, **options) -> DataFrame:
