@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -60,19 +61,24 @@ def staged_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage and survives the loss of executors.
 
-    Used where a costly table is read several times. Files stay until ``drop_staged`` is called
-    or the cluster expires its checkpoint folder.
+    Used where a costly table is read several times. The shuffle files of the write go when it has ended. The table
+    stays until ``drop_staged`` is called or the cluster expires its checkpoint folder.
     """
     spark = df.sparkSession
     path = staged_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP_CONF, None)
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP_CONF) if before is None else spark.conf.set(CLEANUP_CONF, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> bool:
-    """Delete the tables staged by this application."""
-    path = f"{shared_dir(spark)}/riskloom/{spark.sparkContext.applicationId}"
+def drop_staged(spark: SparkSession, *tables: DataFrame) -> bool:
+    """Delete the given staged tables, or all that this application has staged. Nothing may read them any more."""
+    root = f"{shared_dir(spark)}/riskloom/{spark.sparkContext.applicationId}"
+    paths = [f"{root}/{t.inputFiles()[0].split('/')[-2]}" for t in tables] if tables else [root]
     jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.delete(target, True)
+    targets = [jvm.org.apache.hadoop.fs.Path(path) for path in paths]
+    return all([t.getFileSystem(spark._jsc.hadoopConfiguration()).delete(t, True) for t in targets])
