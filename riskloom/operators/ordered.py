@@ -24,7 +24,6 @@ MAX_DIGEST_GROUPS = 512
 # Quantiles look into few buckets, so few are made; a wanted bucket above the limit is cut again.
 QUANTILE_BUCKETS = 256
 REFINED_BUCKETS = 128
-MAX_REFINEMENTS = 3
 SORTED_VALUES = 5_000_000
 HASH_BITS_PER_ROUND = 12
 SORTED_HASHES = 1_000_000
@@ -230,9 +229,7 @@ def _values_at_ranks(part: DataFrame, targets: list[tuple], largest: int) -> dic
     if largest > SORTED_VALUES:
         counts = stage(counts, "rank-buckets")
         largest = counts.groupBy("feature", "bucket").count().agg(F.max("count")).first()[0]
-        for _ in range(MAX_REFINEMENTS):
-            if largest <= SORTED_VALUES:
-                break
+        while largest > max(1, SORTED_VALUES):
             finer = stage(_refine(counts), "rank-buckets")
             wanted: dict[tuple, list[tuple[int, int]]] = {}
             for feature, bucket, rank, inner in targets:
@@ -405,3 +402,28 @@ def hash_thresholds(
     )
     out.update({tuple(r)[:-1]: r["h"] for r in cut if r["h"] is not None})
     return out
+
+
+def hash_limits(df: DataFrame, label: str, hash_value: Column, hash_bits: int, wanted: DataFrame) -> DataFrame:
+    """``hash_thresholds`` for any number of labels, which stay in tables: ``(__label, __limit)`` for ``(__label, want)``.
+
+    A round counts by the next bits and keeps the bucket of the wanted rank per label. Rows meet a bucket by label
+    and leading bits, so a label that holds a third of the rows is spread over its buckets.
+    """
+    hashed = df.select(F.col(label).alias("label"), hash_value.alias("h"))
+    state = wanted.where("want > 0").select("__label", F.col("want").alias("rest"))
+    same = F.col("label").eqNullSafe(F.col("__label"))
+    rows, shift, largest = hashed, hash_bits, SORTED_HASHES + 1
+    while shift > 0 and largest > SORTED_HASHES:
+        shift = max(0, shift - HASH_BITS_PER_ROUND)
+        upto = W.partitionBy("label").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
+        counts = rows.groupBy("label", F.shiftright("h", shift).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+        placed = counts.withColumn("before", F.sum("n").over(upto) - F.col("n")).join(state.select("__label", "rest"), same)
+        holding = placed.where("before < rest AND rest <= before + n")
+        state = stage(holding.select("__label", F.col("bucket").alias("__bucket"), (F.col("rest") - F.col("before")).alias("rest"), "n"), "hash-buckets")
+        largest = state.agg(F.max("n")).first()[0] or 0
+        rows = hashed.join(state, same & (F.shiftright("h", shift) == F.col("__bucket"))).select("label", "h")
+    upto = W.partitionBy("label").orderBy("h").rowsBetween(W.unboundedPreceding, 0)
+    last = rows.groupBy("label", "h").count().withColumn("run", F.sum("count").over(upto))
+    found = last.join(state.select("__label", "rest"), same).where("run >= rest").groupBy("__label").agg(F.min("h").alias("__limit"))
+    return found.union(wanted.where("want <= 0").select("__label", F.lit(-1).cast("long")))

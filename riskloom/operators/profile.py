@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import stage
 from . import ordered
 
 ID_COLUMNS = ("entity_id", "dataset", "label")
-PAIRS_PER_PASS = 200
 MAX_CLASS_ROWS = 100_000
 
 
@@ -95,35 +96,49 @@ def missing_share(df: DataFrame, columns: Sequence[str] | None = None, only_posi
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair ``(a, b, r)``, both orders and the diagonal.
 
-    A pair uses the rows where both values are present. Pairs are aggregates of one scan; many
-    columns are spread over several scans, each reading only what its pairs need.
+    A pair uses the rows where both values are present. One scan: each task multiplies its Arrow batches and hands on
+    one row of sums per pair. The means are read before, since sums about them lose no digits. A pair with a constant
+    or an infinite value has no correlation.
     """
-    pairs = list(combinations(columns, 2))
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start : start + PAIRS_PER_PASS]
-        row = df.agg(*[_pair_corr(a, b).alias(f"r_{i}") for i, (a, b) in enumerate(chunk)])
-        entries = [
-            F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"r_{i}").alias("r"))
-            for i, (a, b) in enumerate(chunk)
-            for x, y in ((a, b), (b, a))
-        ]
-        parts.append(row.select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
-    spread = df.agg(*[(F.min(_number(c)) < F.max(_number(c))).alias(f"r_{i}") for i, c in enumerate(columns)])
-    own = [
-        F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"), F.when(F.col(f"r_{i}"), F.lit(1.0)).alias("r"))
-        for i, c in enumerate(columns)
-    ]
-    out = spread.select(F.explode(F.array(*own)).alias("e")).select("e.*")
-    for part in parts:
-        out = out.unionByName(part)
-    return out
-
-
-def _pair_corr(a: str, b: str) -> Column:
-    x, y = _number(a), _number(b)
-    r = F.corr(x, y)
-    return F.when(~F.isnan(r), r)
+    columns = list(columns)
+    means = df.agg(*[F.avg(_number(c)).alias(f"m_{i}") for i, c in enumerate(columns)]).first()
+    centre = np.array([m if m is not None and math.isfinite(m) else 0.0 for m in means])
+    size = len(columns)
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy", "bad"]
+    ends = ["low", "high", "low_b", "high_b"]
+    kinds = ", ".join(f"{n} double" for n in [*names, *ends])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(names), size, size))
+        low, high = np.full((size, size), np.inf), np.full((size, size), -np.inf)
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns]) - centre
+            present, bad = (~np.isnan(x)).astype(np.float64), np.isinf(x)
+            z = np.where(bad | np.isnan(x), 0.0, x)
+            sx, sxx = z.T @ present, (z * z).T @ present
+            infinite = bad.astype(np.float64).T @ present
+            total += np.stack([present.T @ present, sx, sx.T, sxx, sxx.T, z.T @ z, infinite + infinite.T])
+            for j in range(size):
+                held = x[present[:, j] > 0]
+                if len(held):
+                    low[:, j] = np.fmin(low[:, j], np.fmin.reduce(held, axis=0))
+                    high[:, j] = np.fmax(high[:, j], np.fmax.reduce(held, axis=0))
+        place = np.indices((size, size)).reshape(2, -1)
+        arrays = [*place, *total.reshape(len(names), -1), *[v.reshape(-1) for v in (low, high, low.T, high.T)]]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in arrays], names=["i", "j", *names, *ends])
+
+    parts = df.select(*[_number(c).alias(f"c_{i}") for i, c in enumerate(columns)]).mapInArrow(sums, f"i long, j long, {kinds}")
+    outer = [F.min(e).alias(e) if e.startswith("low") else F.max(e).alias(e) for e in ends]
+    pairs = parts.groupBy("i", "j").agg(*[F.sum(n).alias(n) for n in names], *outer)
+    named = df.sparkSession.createDataFrame(
+        [(i, j, a, b) for i, a in enumerate(columns) for j, b in enumerate(columns)], "i long, j long, a string, b string"
+    )
+    r = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(
+        (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy"))
+    )
+    known = (F.col("low") < F.col("high")) & (F.col("low_b") < F.col("high_b")) & (F.col("bad") == 0)
+    value = F.when(known, F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(r))
+    return named.join(pairs, ["i", "j"], "left").select("a", "b", value.alias("r"))
 
 
 def density_by_class(

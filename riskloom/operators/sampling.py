@@ -8,19 +8,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import HASH_BITS, HASH_SPAN, key_hash
-from .ordered import hash_thresholds
+from ..session import stage
+from .ordered import hash_limits, hash_thresholds
 
+LISTED_LABELS = 100
+SENT_LABELS = 100_000
+SALTS = 64
 
-def _allocate(counts: dict[tuple, int], test_size: float) -> dict[tuple, int]:
-    """Validation rows per label: the whole share is rounded up, training shares by largest remainder."""
-    total = sum(counts.values())
+
+def _allocate(labels: DataFrame, test_size: float) -> DataFrame:
+    """``(__label, want)``: validation rows per label of ``(__label, n)``.
+
+    The whole share is rounded up, training shares go by largest remainder. All work is on one row per label.
+    """
+    total = labels.agg(F.sum("n")).first()[0] or 0
     train = total - math.ceil(total * test_size)
-    shares = {k: n * train / total for k, n in counts.items()}
-    given = {k: math.floor(s) for k, s in shares.items()}
-    order = sorted(shares, key=lambda k: (-(shares[k] - given[k]), str(k)))
-    for k in order[: train - sum(given.values())]:
-        given[k] += 1
-    return {k: counts[k] - given[k] for k in counts}
+    product = F.col("n").cast("decimal(19,0)") * F.lit(train).cast("decimal(19,0)")
+    shares = labels.withColumn("product", product).withColumn("total", F.lit(max(total, 1)).cast("decimal(19,0)"))
+    shares = shares.select("__label", "n", F.expr("product div total").alias("given"), F.expr("product % total").alias("rest"))
+    extra = train - (shares.agg(F.sum("given")).first()[0] or 0)
+    up = shares.orderBy(F.desc("rest"), F.col("__label").cast("string")).limit(extra).select(F.col("__label").alias("__up"))
+    joined = shares.join(up.withColumn("one", F.lit(1)), F.col("__label").eqNullSafe(F.col("__up")), "left")
+    return joined.select("__label", (F.col("n") - F.col("given") - F.coalesce("one", F.lit(0))).alias("want"))
 
 
 def stratified_split(
@@ -33,19 +42,26 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split`` = ``train`` or ``valid`` so that each label keeps its share, to the row.
 
-    The rows of smallest hash within a label are the validation rows. Rows of equal key stay
-    together; with unique keys the counts are exact. No row moves: the split is a comparison with
-    one constant per label.
+    The rows of smallest hash within a label are the validation rows. Rows of equal key stay together; with unique
+    keys the counts are exact. A row is compared with the limit of its label. Up to ``LISTED_LABELS`` limits are
+    constants of the plan and up to ``SENT_LABELS`` are broadcast, so no row moves; more are joined by label and salt.
     """
     hashed = key_hash(keys, seed, method)
-    counts = {(r[0],): r["count"] for r in df.groupBy(label).count().collect()}
-    if not counts:
-        return df.withColumn("split", F.lit("train"))
-    limits = hash_thresholds(df, [label], hashed, HASH_BITS, _allocate(counts, test_size))
-    limit = F.lit(-1).cast("long")
-    for (value,), h in limits.items():
-        limit = F.when(F.col(label).eqNullSafe(F.lit(value)), F.lit(h)).otherwise(limit)
-    return df.withColumn("split", F.when(hashed <= limit, F.lit("valid")).otherwise(F.lit("train")))
+    labels = stage(df.groupBy(F.col(label).alias("__label")).agg(F.count(F.lit(1)).alias("n")), "labels")
+    limits = stage(hash_limits(df, label, hashed, HASH_BITS, stage(_allocate(labels, test_size), "wanted")), "label-limits")
+    split = F.when(hashed <= F.col("__limit"), F.lit("valid")).otherwise(F.lit("train"))
+    listed = limits.limit(LISTED_LABELS + 1).collect()
+    if len(listed) <= LISTED_LABELS:
+        limit = F.lit(-1).cast("long")
+        for r in listed:
+            limit = F.when(F.col(label).eqNullSafe(F.lit(r["__label"])), F.lit(r["__limit"])).otherwise(limit)
+        return df.withColumn("split", F.when(hashed <= limit, F.lit("valid")).otherwise(F.lit("train")))
+    same = F.col(label).eqNullSafe(F.col("__label"))
+    if limits.limit(SENT_LABELS + 1).count() <= SENT_LABELS:
+        return df.join(F.broadcast(limits), same, "left").select(*[df[c] for c in df.columns], split.alias("split"))
+    salted = limits.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = df.join(salted, same & (F.pmod(hashed, F.lit(SALTS)) == F.col("__salt")), "left")
+    return joined.select(*[df[c] for c in df.columns], split.alias("split"))
 
 
 def sample_n(

@@ -26,11 +26,10 @@ def test_exact_quantiles_equal_numpy(sample, buckets):
         np.testing.assert_allclose(found[c], np.quantile([r[i] for r in rows], PROBS), rtol=0, atol=1e-12)
 
 
-@pytest.mark.parametrize("limit, rounds", [(100, 3), (100, 1), (0, 2)])
-def test_large_buckets_are_cut_again(sample, monkeypatch, limit, rounds):
+@pytest.mark.parametrize("limit", [100, 1, 0])
+def test_large_buckets_are_cut_again(sample, monkeypatch, limit):
     rows, df = sample
     monkeypatch.setattr(ordered, "SORTED_VALUES", limit)
-    monkeypatch.setattr(ordered, "MAX_REFINEMENTS", rounds)
     monkeypatch.setattr(ordered, "QUANTILE_BUCKETS", 3)
     monkeypatch.setattr(ordered, "REFINED_BUCKETS", 4)
     found = ordered.exact_quantiles(df, ["a", "b"], PROBS, cuts={"a": ordered.cut_points(df, ["a"], 50)["a"]})

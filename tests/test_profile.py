@@ -56,9 +56,7 @@ def test_missing_share(df, pdf):
     assert pr.missing_share(df, only_positive=False).count() == 5
 
 
-@pytest.mark.parametrize("per_pass", [200, 1])
-def test_correlation(df, pdf, monkeypatch, per_pass):
-    monkeypatch.setattr(pr, "PAIRS_PER_PASS", per_pass)
+def test_correlation(df, pdf):
     expected = pdf[["a", "b", "c"]].corr()
     rows = pr.correlation_matrix(df, ["a", "b", "c"]).collect()
     assert len(rows) == 9
@@ -66,6 +64,22 @@ def test_correlation(df, pdf, monkeypatch, per_pass):
         assert r["r"] == pytest.approx(expected.loc[r["a"], r["b"]])
 
 
+def test_correlation_of_many_gapped_constant_and_infinite_columns(spark):
+    rng = np.random.default_rng(4)
+    table = pd.DataFrame(rng.normal(1e6, 1.0, (300, 30)), columns=[f"c{k}" for k in range(30)])
+    table.loc[rng.random(300) < 0.3, "c3"] = np.nan
+    table["c4"], table["c5"] = 0.1, table["c6"].where(table["c3"].isna(), 7.5)
+    df = spark.createDataFrame(table).withColumn("inf", F.when(F.col("c3") > 1e6, float("inf")).otherwise(F.col("c0")))
+    out = pr.correlation_matrix(df, [*table.columns, "inf"])
+    assert sum("MapInArrow (" in line for line in plan_of(out).split("\n\n")[0].splitlines()) == 1
+    expected = table.corr()
+    for r in out.where("a != 'inf' AND b != 'inf'").collect():
+        want = expected.loc[r["a"], r["b"]]
+        assert r["r"] is None if np.isnan(want) or {r["a"], r["b"]} == {"c3", "c5"} else r["r"] == pytest.approx(want, abs=1e-9)
+    assert out.where("a = 'inf' AND r IS NOT NULL").where("b != 'inf'").count() == 0
+    assert pr.correlation_matrix(df.limit(0), ["c0", "c1"]).where("r IS NULL").count() == 4
+
+
 def test_profile_any(df, pdf):
     rows = {r["feature"]: r for r in pr.profile_any(df, ["a", "s"]).collect()}
     counts = pdf["s"].value_counts()

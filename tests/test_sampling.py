@@ -41,6 +41,16 @@ def test_null_label_and_empty_table(spark):
     assert sa.stratified_split(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sent", [100_000, 10])
+def test_split_of_thousands_of_labels(spark, monkeypatch, sent):
+    monkeypatch.setattr(sa, "SENT_LABELS", sent)
+    df = spark.range(12_000).select(F.col("id").alias("entity_id"), F.when(F.col("id") % 3 > 0, F.col("id") % 3000).alias("label"))
+    out = sa.stratified_split(df)
+    counts = {r["label"]: (r["n"], r["v"]) for r in out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "valid").alias("v")).collect()}
+    assert len(counts) == 2001 and sum(n for n, _ in counts.values()) == 12_000 and sum(v for _, v in counts.values()) == 2400
+    assert counts[None] == (4000, 800) and {v for n, v in counts.values() if n == 4} == {0, 1} and out.columns == [*df.columns, "split"]
+
+
 def test_samples(rows):
     small = sa.sample_n(rows, 100, ["id"])
     assert small.count() == 100 and small.exceptAll(rows).isEmpty()
