@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from riskloom.session import stage
+from riskloom.session import drop_staged, stage
 
 LENGTH = 400
 WINDOW = 200
@@ -148,16 +148,18 @@ def _strings(docs: DataFrame, length: int) -> DataFrame:
 def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
     """``id``, ``t`` and ``spans`` (first and last start) of the strings that occur elsewhere; ``docs`` has id, t, text."""
     places = stage(sampled(docs, length, window), "places")
-    named = places.groupBy("core", "run").agg(F.count(F.lit(1)).alias("copies"))
-    cores = named.groupBy("core").agg(F.sum("copies").alias("held"), F.count(F.lit(1)).alias("runs")).filter("held > 1")
-    live = stage(places.join(cores, "core").select("id", "t", "first", "last", "core", "run", "runs"), "live")
+    held = places.groupBy("core").agg(F.count(F.lit(1)).alias("held"), F.min("run").alias("low"), F.max("run").alias("high"))
+    cores = held.filter("held > 1").select("core", (F.col("low") != F.col("high")).alias("mixed"))
+    live = stage(places.join(cores, "core").select("id", "t", "first", "last", "core", "run", "mixed"), "live")
+    drop_staged(docs.sparkSession, places)
     twice = live.groupBy("core", "run").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "t", "first")).alias("one"))
     marked = stage(live.join(twice, ["core", "run"]), "marked")
+    drop_staged(docs.sparkSession, live)
     whole = marked.filter("copies > 1").select("id", "t", F.struct("first", "last").alias("span"))
 
     # Strings of the runs left, and of one run of each name that shares a core with another name.
     lone = (F.col("id").eqNullSafe(F.col("one.id"))) & (F.col("t") == F.col("one.t")) & (F.col("first") == F.col("one.first"))
-    wanted = marked.filter((F.col("runs") > 1) & lone).dropDuplicates(["core", "run"])
+    wanted = marked.filter(F.col("mixed") & lone).dropDuplicates(["core", "run"])
     listed = wanted.groupBy("id", "t").agg(
         F.collect_list(F.struct("first", "last", "core", (F.col("copies") == 1).alias("own"))).alias("wanted")
     )
