@@ -164,9 +164,10 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW)
         F.collect_list(F.struct("first", "last", "core", (F.col("copies") == 1).alias("own"))).alias("wanted")
     )
     joined = docs.join(listed, docs["id"].eqNullSafe(listed["id"]) & (docs["t"] == listed["t"]))
-    # Hashed once for the counts and once for the strings looked up, so that no table of them is written.
+    # Hashed once for the counts and once for the strings looked up, so that no table of them is written and the two
+    # shuffles are not on disk together.
     each = _strings(joined.select(docs["id"], docs["t"], "text", "wanted"), length)
-    met = each.groupBy("core", "s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = stage(each.groupBy("core", "s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core", "s"), "met")
     single = each.filter("own").join(met, ["core", "s"]).select("id", "t", F.struct(F.col("start").alias("first"), F.col("start").alias("last")).alias("span"))
     return whole.union(single).groupBy("id", "t").agg(F.collect_list("span").alias("spans"))
 
