@@ -1,7 +1,7 @@
 """Fuzzy line dedup by MinHash, on SQL functions alone.
 
-A line's shingles are the ``SIZE`` characters that start at each of its words (fewer at the end of the line, so a short
-line has shingles, too). Equal lines are one row before anything else. The signature has ``bands`` permutations of the
+A line's shingles are all its runs of ``SIZE`` characters, one from each character on; a line of no more characters is its
+own shingle. Equal lines are one row before anything else. The signature has ``bands`` permutations of the
 shingles' 64-bit hashes and the ``rows`` least hashes under each; lines that agree in all rows of a band are candidates.
 Similarity is the exact Jaccard coefficient of the sets of hashes.
 
@@ -27,13 +27,20 @@ from .components import components
 SIZE = 12
 #: Ids of candidate lines that are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_IDS = 500_000
-#: Shingles at the start of a word; other white space counts as a space.
-_PATTERN = "(?s)(?<![^ ])(?=([^ ].{{0,{}}}))"
 
 
-def shingles(line: Column, size: int = SIZE) -> Column:
+def _shingle_hashes(line: Column, size: int) -> Column:
+    """Hashes of the runs of ``size`` characters; white space of any kind counts as a space.
+
+    Four bytes a character, so that a run is cut out of a line without a walk over the characters before it.
+    """
     flat = F.translate(line, SPACES[1:], " " * (len(SPACES) - 1))
-    return F.regexp_extract_all(flat, F.lit(_PATTERN.format(size - 1)), F.lit(1))
+
+    def runs(wide: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(wide) - (4 * size - 1), F.lit(1)), F.lit(4))
+        return F.transform(starts, lambda at: F.xxhash64(F.substring(wide, at, F.lit(4 * size))))
+
+    return let(F.encode(flat, "UTF-32"), runs)
 
 
 def _document(id_: Column, text_hash: Column) -> Column:
@@ -64,7 +71,7 @@ def _name(line: Column) -> list[Column]:
 
 def _hashes(line: Column, size: int) -> Column:
     """The set of a line's shingles, as sorted 64-bit hashes."""
-    return F.sort_array(F.array_distinct(F.transform(shingles(line, size), lambda s: F.xxhash64(s))))
+    return F.sort_array(F.array_distinct(_shingle_hashes(line, size)))
 
 
 def _band_keys(lines: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -101,10 +108,11 @@ def _parity(set_: str, words: int = 4) -> list[Column]:
     return [F.expr(fold.format(set_, k, words - 1)).alias(f"p{k}") for k in range(words)]
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a``, ``b`` and their Jaccard coefficient ``j``."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-    both = both.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+def _similar(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``a``, ``b`` and their Jaccard coefficient ``j``. Lines travel, not their sets, which are several times as long."""
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
+    both = both.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    both = both.select("a", "b", _hashes(F.col("x"), size).alias("x"), _hashes(F.col("y"), size).alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("j"))
 
@@ -118,10 +126,10 @@ def line_classes(lines: DataFrame, similarity: float, size: int) -> DataFrame:
 
     ids = stage(members.select("id").distinct(), "candidates")
     picked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = stage(lines.select("id", "line").join(picked, "id").select("id", _hashes(F.col("line"), size).alias("set")), "shingles")
+    texts = stage(lines.select("id", "line").join(picked, "id"), "texts")
 
     stars = members.filter("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    judged = stage(_similar(stars, sets), "stars")
+    judged = stage(_similar(stars, texts, size), "stars")
     links = judged.filter(F.col("j") >= similarity).select("a", "b")
     first = components(links)
 
@@ -131,16 +139,17 @@ def line_classes(lines: DataFrame, similarity: float, size: int) -> DataFrame:
     placed = wide.join(first.withColumnRenamed("node", "b"), "b", "left")
     placed = placed.select("key", "b", "size", "j", F.coalesce("root", "b").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    placed = stage(placed.join(mixed, "key"), "mixed")
+    sets = texts.join(placed.select(F.col("b").alias("id")).distinct(), "id").select("id", _hashes(F.col("line"), size).alias("set"))
     bits = _parity("set")
-    placed = placed.join(mixed, "key").join(sets.select(F.col("id").alias("b"), *bits), "b")
-    placed = stage(placed, "placed")
+    placed = stage(placed.join(sets.select(F.col("id").alias("b"), *bits), "b"), "placed")
     again = {"b": "a", "size": "sized", "j": "i", "root": "top"} | {f"p{k}": f"q{k}" for k in range(len(bits))}
     apart = placed.join(placed.withColumnsRenamed(again), "key").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("top")))
     apart = apart.filter(F.least("size", "sized") >= similarity * F.greatest("size", "sized"))
     apart = apart.filter(F.abs(F.col("i") - F.col("j")) <= 1 - similarity + 1e-9)
     differ = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}"))) for k in range(1, len(bits))), F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))))
     apart = apart.filter(differ <= (F.col("size") + F.col("sized")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
-    more = stage(_similar(apart.select("a", "b").distinct(), sets).filter(F.col("j") >= similarity).select("a", "b"), "more")
+    more = stage(_similar(apart.select("a", "b").distinct(), texts, size), "more").filter(F.col("j") >= similarity).select("a", "b")
     if more.isEmpty():
         return first
     return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))

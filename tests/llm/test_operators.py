@@ -204,3 +204,38 @@ def test_hash_of_the_rest(spark, sf_dir):
     out = queries.op6_repeats(spark, sf_dir).filter("n_removed = 0").limit(3).collect()
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     assert all(r.kept_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest() for r in out)
+
+
+def test_line_dedup_sees_every_character(spark):
+    urls = ["https://www.example.org/a", "https://www.other.net/b", "今日は天気がとても良いので公園まで歩いて行きます", "今日は天気がとても良いので図書館で本を読みました"]
+    key = "AbCdEfGhIjKlMnOpQrStUvWxYz0123456789"
+    texts = [*urls, f"{key}aaaaaaaaaaaaaaaaaaaa", f"{key[:12]}bbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbbb", "short", "shore"]
+    out = [r.text for r in lines.dedup(spark.createDataFrame(rows(*texts), SCHEMA)).orderBy("doc_id").collect()]
+    assert out == texts
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefghij é\t") for _ in range(rng.randrange(1, 400))).strip() or "a" for _ in range(40)]
+    every = []
+    for line in base:
+        for edits in (0, 0, 1, 2, 6):
+            at = [rng.randrange(len(line)) for _ in range(edits)]
+            every.append("".join("Z" if k in at else c for k, c in enumerate(line)))
+    rng.shuffle(every)
+    texts = ["\n".join(every[k : k + 5]) for k in range(0, len(every), 5)]
+
+    def shingled(line):
+        flat = line.replace("\t", " ")
+        return {flat[k : k + lines.SIZE] for k in range(max(len(flat) - lines.SIZE + 1, 1))}
+
+    sets = [shingled(line) for line in every]
+    root = list(range(len(every)))
+    for b in range(len(every)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    expected = {(k // 5 + 1, k % 5) for k, r in enumerate(root) if r != k}
+    drops = lines.dropped_lines(spark.createDataFrame(rows(*texts), SCHEMA)).collect()
+    assert {(int(r.document.split(":")[0]), p) for r in drops for p in r.drop} == expected
