@@ -1,10 +1,11 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one per block element. Parts that are never article text (scripts, styles, menus, forms,
-adverts, notices, reader comments and the like) leave empty lines; inside an article they leave one, elsewhere as many
-as a window has. Text lengths are summed over sliding windows of lines: where the sum leaves zero is a surge, where it
-falls back to zero a dive. The stretch between a surge and its dive that holds the most text is the article, and every
-line in it is kept, however short. Where a page marks its article, lines outside the mark count as empty.
+adverts, notices, reader comments and the like) leave no lines. Where a page marks its articles, all lines inside the
+marks are the text. Elsewhere text lengths are summed over sliding windows of lines, and lines that are mostly link text
+count as empty: where the sum leaves zero is a surge, where it falls back to zero a dive. Every stretch from a surge to
+its dive with a sum of ``LEAST`` characters is text, or the longest stretch if none has so many; each line in it is kept,
+however short, also those that are mostly link text.
 
 Each page is read whole in its own row. Null or empty pages give empty text; unclosed tags end with their parent.
 """
@@ -17,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 WINDOW = 3
+#: Characters that a window of a text stretch sums up to.
+LEAST = 80
 #: Elements without article text.
 SKIPPED = frozenset(
     "script style noscript template svg math iframe object canvas nav menu aside form button select textarea dialog footer head title".split()
@@ -45,7 +48,7 @@ def _named(attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Lines of a page as (text, letters in links); ``None`` is an empty line left by a part that was skipped."""
+    """Lines of a page as (text, characters in links, whether inside a marked article)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -62,9 +65,6 @@ class _Lines(HTMLParser):
             self.lines.append((text, self._linked, self.articles > 0))
         self._text, self._linked = [], 0
 
-    def gap(self) -> None:
-        self.lines += [("", 0, self.articles > 0)] * (1 if self.articles else WINDOW)
-
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ARTICLE and self.skipped and not any(t in ARTICLE for t, _ in self.open):
             # An article is no part of a menu or notice that was never closed.
@@ -76,13 +76,10 @@ class _Lines(HTMLParser):
             self.end_line()
         if tag in VOID:
             return
-        if skip and not self.skipped:
-            self.gap()
         self.open.append((tag, skip))
         self.skipped += skip
         if not self.skipped:
             if tag in ARTICLE:
-                self.lines += [("", 0, False)] * (0 if self.articles else WINDOW)
                 self.articles += 1
                 self.marked = True
             self.links += tag == "a"
@@ -103,7 +100,6 @@ class _Lines(HTMLParser):
                     self.end_line()
                 if t in ARTICLE:
                     self.articles -= 1
-                    self.lines += [("", 0, False)] * (0 if self.articles else WINDOW)
                 self.links -= t == "a"
             self.skipped -= skip
             if t == tag:
@@ -116,26 +112,34 @@ class _Lines(HTMLParser):
                 self._linked += len(data.strip())
 
 
-def main_text(html: str | None, window: int = WINDOW) -> str:
-    """Text between the surge and the dive that enclose the most text."""
+def _stretches(lengths: list[int], window: int, least: int) -> list[tuple[int, int]]:
+    """First and end line of the stretches whose windows reach ``least``, or of the longest one."""
+    found: list[tuple[int, int, int, int]] = []
+    block, surge, end, size, most = 0, 0, 0, 0, 0
+    for at, length in enumerate([*lengths, *[0] * window]):
+        block += length - (lengths[at - window] if at >= window else 0)
+        if length and not size:
+            surge = at
+        if length:
+            end = at + 1
+        size, most = size + length, max(most, block)
+        if block == 0 and size:  # a dive
+            found.append((surge, end, size, most))
+            size, most = 0, 0
+    reached = [(surge, end) for surge, end, _, most in found if most >= least]
+    return reached or [x[:2] for x in sorted(found, key=lambda x: -x[2])[:1]]
+
+
+def main_text(html: str | None, window: int = WINDOW, least: int = LEAST) -> str:
+    """Text inside the marked articles, or else of all stretches between a surge and a dive."""
     page = _Lines()
     page.feed(html or "")
     page.close()
     page.end_line()
-    texts = [
-        text if (inside or not page.marked) and (inside or 2 * linked <= len(text)) else "" for text, linked, inside in page.lines
-    ]
-    lengths = [len(t) for t in texts]
-    best, best_size = (0, 0), 0
-    block, surge, size = 0, 0, 0
-    for at, length in enumerate(lengths):
-        block += length - (lengths[at - window] if at >= window else 0)
-        if block == 0 or size == 0:  # a dive was passed, or nothing has risen yet
-            surge, size = at, 0
-        size += length
-        if size > best_size:
-            best, best_size = (surge, at + 1), size
-    return "\n".join(t for t in texts[best[0] : best[1]] if t)
+    if page.marked:
+        return "\n".join(text for text, _, inside in page.lines if inside)
+    lengths = [len(text) if 2 * linked <= len(text) else 0 for text, linked, _ in page.lines]
+    return "\n".join(text for a, b in _stretches(lengths, window, least) for text, _, _ in page.lines[a:b])
 
 
 def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:

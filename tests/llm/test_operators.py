@@ -239,3 +239,16 @@ def test_line_dedup_against_brute_force(spark):
     expected = {(k // 5 + 1, k % 5) for k, r in enumerate(root) if r != k}
     drops = lines.dropped_lines(spark.createDataFrame(rows(*texts), SCHEMA)).collect()
     assert {(int(r.document.split(":")[0]), p) for r in drops for p in r.drop} == expected
+
+
+def test_main_text_keeps_both_sides_of_skipped_parts():
+    first, second = ("First half of the text. " * 9).strip(), ("And the second half of it. " * 3).strip()
+    for part in ("<div class=ad>Buy</div>", "<form>Mail</form>", "<script>x</script>", "<iframe></iframe>", "<button>a</button>" * 3):
+        page = f"<body><nav>Menu</nav><h1>Head</h1>{part}<p>{first}</p>{part}<p>{second}</p>{part}<p>End.</p><footer>foot</footer>"
+        assert extract.main_text(page) == f"Head\n{first}\n{second}\nEnd."
+        assert extract.main_text(page.replace("<h1>", "<article><h1>").replace("<footer>", "</article><footer>")) == f"Head\n{first}\n{second}\nEnd."
+    assert extract.main_text("<article><p>One</p></article><p>no</p><article><p>Other one</p></article>") == "One\nOther one"
+    menu = "<ul>" + "<li><a href=a>one more link</a>" * 4 + "</ul>"
+    linked = "<p><a href=b>mostly link text</a> here</p>"
+    page = f"<body>{menu}<p>{first}</p>{linked}<p>{second}</p>{menu}<p>{first}</p>{menu}<p>Legal</p>"
+    assert extract.main_text(page) == f"{first}\nmostly link text here\n{second}\n{first}"
