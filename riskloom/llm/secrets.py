@@ -3,7 +3,8 @@
 Known kinds are found by pattern, leftmost and non-overlapping per kind. Candidate strings of one character class are
 then scanned by a sliding window whose Shannon entropy is kept up by counts: a character enters, another leaves, and the
 sum of ``c * log2(c)`` changes by those two terms alone. Windows at or above the class's threshold are joined into one
-span. Candidates on the allow-list are suppressed; the known kinds never are.
+span. Placeholders of the allow-list cut a candidate: no window holds a character of them, and what is left on either side
+is a candidate of its own. Hexadecimal runs are candidates also inside longer ones. The known kinds are never suppressed.
 
 Spans are ``struct(kind, start, end)`` in code points, end exclusive. Every document is scanned in its own row over its
 whole text, by SQL functions only. Null or empty text has no spans, repeated rows have equal spans, and other columns
@@ -53,7 +54,10 @@ KNOWN = (
 
 @dataclass(frozen=True)
 class CharClass:
-    """Candidates ``pattern`` that hold ``needs``; a window of ``window`` characters is random from ``threshold`` bits on."""
+    """Candidates ``pattern`` that hold ``needs``; a window of ``window`` characters is random from ``threshold`` bits on.
+
+    With ``run``, the runs of that pattern in such strings are the candidates.
+    """
 
     kind: str
     pattern: str
@@ -61,13 +65,14 @@ class CharClass:
     excludes: str
     window: int
     threshold: float
+    run: str | None = None
 
 
 CLASSES = (
-    CharClass("entropy_hex", "[0-9A-Za-z+/_-]{20,}", ("[0-9]", "[A-Fa-f]"), "[^0-9A-Fa-f]", 20, 2.75),
+    CharClass("entropy_hex", "[0-9A-Za-z+/_-]{20,}", ("[0-9]", "[A-Fa-f]"), "[^0-9A-Fa-f]", 20, 2.75, "[0-9A-Fa-f]{20,}"),
     CharClass("entropy_base64", "[0-9A-Za-z+/_-]{20,}", ("[0-9]", "[A-Za-z]"), "^[0-9A-Fa-f]+$", 20, 3.71),
 )
-#: Candidates that hold one of these are no secrets: alphabets, counted digits, placeholders, one character repeated.
+#: Parts of candidates that are no secrets: alphabets, counted digits, placeholders, one character repeated.
 ALLOWED = ("(?i)abcdefghij", "0123456789", "(?i)example", "(?i)placeholder", "(?i)xxxxxxxx", "00000000")
 
 _FIRST, _SLOTS = ord("+"), ord("z") - ord("+") + 1
@@ -132,16 +137,43 @@ def _random_part(candidate: Column, window: int, threshold: float) -> Column:
     return let(F.transform(letters, lambda c: F.ascii(c) - _FIRST), scanned)
 
 
+def _inside(x: Column, match: Column, start: Column) -> Column:
+    """A part of the candidate ``x``, placed in the text."""
+    return F.struct(match.alias("match"), (x["start"] + start).alias("start"), (x["start"] + start + F.length(match)).alias("end"))
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    return _located(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1))
+
+
+def _cut(located: Column, allowed: tuple[str, ...]) -> Column:
+    """The parts of candidates between placeholders."""
+    if not allowed:
+        return located
+    any_ = "|".join(f"(?:{p})" for p in allowed)
+
+    def between(x: Column) -> Column:
+        def parts(held: Column) -> Column:
+            after = lambda k: F.when(k > 0, F.get(held, k - 1)["end"]).otherwise(0)
+            return F.transform(F.split(x["match"], any_, -1), lambda p, k: _inside(x, p, after(k)))
+
+        return let(_matches(x["match"], any_), parts)
+
+    return F.flatten(F.transform(located, between))
+
+
 def _candidates(located: Column, group: CharClass, allowed: tuple[str, ...]) -> Column:
     def wanted(x: Column) -> Column:
-        ok = ~x["match"].rlike(group.excludes)
+        ok = (F.length(x["match"]) >= group.window) & ~x["match"].rlike(group.excludes)
         for pattern in group.needs:
             ok = ok & x["match"].rlike(pattern)
-        for pattern in allowed:
-            ok = ok & ~x["match"].rlike(pattern)
         return ok
 
-    return F.filter(located, wanted)
+    parts = _cut(located, allowed)
+    if group.run:
+        runs = lambda x: F.transform(_matches(x["match"], group.run), lambda r: _inside(x, r["match"], r["start"]))
+        parts = F.flatten(F.transform(parts, runs))
+    return F.filter(parts, wanted)
 
 
 def _by_entropy(candidates: Column, group: CharClass) -> Column:

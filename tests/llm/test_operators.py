@@ -252,3 +252,20 @@ def test_main_text_keeps_both_sides_of_skipped_parts():
     linked = "<p><a href=b>mostly link text</a> here</p>"
     page = f"<body>{menu}<p>{first}</p>{linked}<p>{second}</p>{menu}<p>{first}</p>{menu}<p>Legal</p>"
     assert extract.main_text(page) == f"{first}\nmostly link text here\n{second}\n{first}"
+
+
+def test_secrets_inside_longer_candidates(spark):
+    rng = random.Random(2)
+    hexes = ["".join(rng.choice("0123456789ABCDEF") for _ in range(n)) for n in (32, 40, 64) for _ in range(10)]
+    texts = [f"{before}{h}" for h in hexes for before in ("", "0x", "key-", "id_", "path/to/")]
+    texts += ["config/example/Zx81kQp0Lm3Vt7Bn5Rc2", "Zx81kQp0Lm3Vt7Bn5Rc200000000Yw92jRq1Kn4Us8Cm6Td3"]
+    texts += ["abcdefghijklmnopqrstuvwxyz0123456789", "placeholder/xxxxxxxxxxxxxxxx1", "EXAMPLE0123456789example"]
+    found = secrets.scan(spark.createDataFrame(rows(*texts), SCHEMA))
+    got = [r.d for r in found.orderBy("doc_id").select(secrets.digest(F.col("secrets.spans")).alias("d")).collect()]
+    for text, spans in zip(texts, got[: 5 * len(hexes)]):
+        h = text.rsplit("0x", 1)[-1].rsplit("-", 1)[-1].rsplit("_", 1)[-1].rsplit("/", 1)[-1]
+        alone = got[texts.index(h)]
+        (whole,) = [x for x in alone.split(",") if x.startswith("entropy_hex")]
+        low, high = (int(x) + len(text) - len(h) for x in whole.split(":")[1:])
+        assert f"entropy_hex:{low}:{high}" in spans.split(",")
+    assert got[-5:] == ["entropy_base64:14:35", "entropy_base64:0:20,entropy_base64:28:48", "", "", ""]
