@@ -269,3 +269,21 @@ def test_secrets_inside_longer_candidates(spark):
         low, high = (int(x) + len(text) - len(h) for x in whole.split(":")[1:])
         assert f"entropy_hex:{low}:{high}" in spans.split(",")
     assert got[-5:] == ["entropy_base64:14:35", "entropy_base64:0:20,entropy_base64:28:48", "", "", ""]
+
+
+def test_licences_of_one_family():
+    made, where = licences.index_templates(licences.TEMPLATES)
+    lines_ = {
+        "This work is licensed under the GNU General Public License, version 2": "GPL-2.0",
+        "This work is licensed under the GNU Lesser General Public License, version 3": "LGPL-3.0",
+        "This work is licensed under the GNU Affero General Public License, version 3": "AGPL-3.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "CC-BY-SA-4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License": "CC-BY-NC-3.0",
+    }
+    for text, name in lines_.items():
+        assert [x[0] for x in licences.find(f"before it {text} and after it", made, where, 0.8)] == [name]
+    # Every template is known as what it is, also with words around it, and the terms alone as well as the whole text.
+    for name, texts in licences.TEMPLATES.items():
+        for text in texts:
+            got = {x[0] for x in licences.find(f"Copyright 2020 A. Author\n{text}\nprint one more line", made, where, 0.8)}
+            assert name in got and (len(text) > 9000 or got == {name}), (name, got, text[:60])
