@@ -64,8 +64,12 @@ def churn_model(spark, d):
     return mo.score_batch(mo.train_churn(train, CHURN_NUMERIC, CHURN_NOMINAL, **ROUNDS), valid)
 
 
+#: Length of the vectors in ``embeddings``.
+ENTRIES = 64
+
+
 def _vectors(spark, d):
-    names = [f"V{i}" for i in range(1, 29)]
+    names = [f"V{i}" for i in range(1, ENTRIES + 1)]
     rows = table(spark, d, "embeddings").select(
         F.col("vec_id").alias("entity_id"),
         (F.col("label") == 0).cast("int").alias("label"),

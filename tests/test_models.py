@@ -154,3 +154,12 @@ def test_shapley_table_equals_brute_force():
     for pattern in range(16):
         met = [(pattern >> j) & 1 for j in range(4)]
         np.testing.assert_allclose(table[pattern], shapley_by_orders(value, keep, met), atol=1e-12)
+
+
+def test_anomaly_query_takes_whole_vectors(spark, sf_dir):
+    from catalog import modelling
+
+    rows, names = modelling._vectors(spark, sf_dir)
+    vectors = {r.vec_id: list(r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").limit(20).collect()}
+    got = {r.entity_id: [r[n] for n in names] for r in rows.where(rows.entity_id.isin(*vectors)).collect()}
+    assert got == vectors
