@@ -75,5 +75,7 @@ def read_documents(spark: SparkSession, *paths: str, pattern: str = "*.md") -> D
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(present)
     )
-    text = F.regexp_replace(F.col("content").cast("string"), "\\r\\n?", "\n")
-    return files.where(F.is_valid_utf8(text)).select(F.col("path").alias("source"), text.alias("text"))
+    raw = F.col("content").cast("string")
+    # Judged before line ends are changed: regexp_replace turns bad bytes into valid replacement characters.
+    decoded = files.where(F.is_valid_utf8(raw))
+    return decoded.select(F.col("path").alias("source"), F.regexp_replace(raw, "\\r\\n?", "\n").alias("text"))
