@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, extract, language, licences, lines, mixing, quality, repeats, secrets, simhash
+from . import decontaminate, extract, language, licences, lines, mixing, quality, repeats, secrets, simhash, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -209,6 +209,52 @@ SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM t LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""
 )
 
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return vector_codes.with_label_error(coded).select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(vector_codes.books_sha256(books)).alias("codebooks_sha256")
+    )
+
+
+def _nearest_sql(step: int) -> str:
+    """Distance and entry of each part's nearest entry, in one number."""
+    return f"""
+a{step} AS MATERIALIZED (
+  SELECT vec_id, p.part, min(256 * list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT + b.entry) AS m
+  FROM p JOIN b{step} b ON p.part = b.part GROUP BY ALL)"""
+
+
+def _books_sql(step: int) -> str:
+    """The entries after a round; unused ones stay."""
+    return f"""
+b{step + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(n.x, b.x) AS x FROM b{step} b LEFT JOIN (
+    SELECT part, entry, list((s - ((s % c) + c) % c) // c ORDER BY place) AS x FROM (
+      SELECT part, entry, place, sum(y)::BIGINT AS s, count(*) AS c FROM (
+        SELECT p.part, m % 256 AS entry, unnest(x) AS y, generate_subscripts(x, 1) AS place FROM p JOIN a{step} USING (vec_id, part))
+      GROUP BY ALL) GROUP BY ALL) n ON b.part = n.part AND b.entry = n.entry)"""
+
+
+OP13_SQL = f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (
+  SELECT vec_id, part, v[part * len(v) // 4 + 1:(part + 1) * len(v) // 4] AS x FROM k, (SELECT unnest(range(4)) AS part)),
+b0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM p
+  WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 256)),
+{",".join(_nearest_sql(r) + "," + _books_sql(r) for r in range(4))},
+{_nearest_sql(4)},
+books AS (SELECT sha256(string_agg(y, ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM (
+  SELECT part, entry, unnest(x)::VARCHAR AS y, generate_subscripts(x, 1) AS place FROM b4)),
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', m % 256), '' ORDER BY part) AS code, sum(m // 256)::BIGINT AS error FROM a4 GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN k USING (vec_id), books
+"""
+
 QUERIES = {
     "op1_mixture": op1_mixture,
     "op2_quality_rules": op2_quality_rules,
@@ -220,5 +266,6 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_licences": op9_licences,
     "op10_secret_scan": op10_secret_scan,
+    "op13_vector_codes": op13_vector_codes,
 }
-SQL = {"op1_mixture": OP1_SQL, "op2_quality_rules": OP2_SQL, "op10_secret_scan": OP10_SQL}
+SQL = {"op1_mixture": OP1_SQL, "op2_quality_rules": OP2_SQL, "op10_secret_scan": OP10_SQL, "op13_vector_codes": OP13_SQL}
