@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, extract, language, licences, lines, mixing, quality, repeats, secrets, simhash, vector_codes
+from . import conversations, decontaminate, extract, language, licences, lines, mixing, quality, repeats, secrets, simhash, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -210,6 +210,42 @@ FROM t LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""
 )
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.prefix_trie(conversations.with_shared_heads(conversations.sequences(turns)))
+
+
+#: crc32 of the decimal id, bit by bit.
+_CRC_SQL = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                             lambda x, z: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))))"""
+OP12_SQL = f"""
+WITH t AS (
+  SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS said,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC_SQL} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS own, pos, said FROM c JOIN t ON t.conv_id = base WHERE pos <= h
+      UNION ALL SELECT conv_id, 1, pos, said FROM c JOIN t USING (conv_id) WHERE pos > h),
+s AS MATERIALIZED (SELECT conv_id, coalesce(seq, []) AS seq
+      FROM c LEFT JOIN (SELECT conv_id, list(said ORDER BY own, pos) AS seq FROM r GROUP BY conv_id) USING (conv_id)),
+n AS MATERIALIZED (
+  SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM (SELECT conv_id, seq[1:depth] AS k, depth, len(seq) = depth AS ends
+        FROM (SELECT conv_id, seq, unnest(range(len(seq) + 1)) AS depth FROM s)) GROUP BY ALL),
+kids AS (SELECT k[1:depth - 1] AS k, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+m AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (k, depth)),
+below AS (
+  SELECT k[1:a] AS k, a AS depth, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves,
+         sum(CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(k[depth].text) END)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS a FROM m) GROUP BY ALL)
+SELECT m.conv_id, m.depth, p.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256
+FROM m JOIN below USING (k, depth) LEFT JOIN n p ON m.depth > 0 AND p.depth = m.depth - 1 AND p.k = m.k[1:m.depth - 1]
+"""
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
     return vector_codes.with_label_error(coded).select(
@@ -266,6 +302,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_licences": op9_licences,
     "op10_secret_scan": op10_secret_scan,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_vector_codes": op13_vector_codes,
 }
-SQL = {"op1_mixture": OP1_SQL, "op2_quality_rules": OP2_SQL, "op10_secret_scan": OP10_SQL, "op13_vector_codes": OP13_SQL}
+SQL = {"op1_mixture": OP1_SQL, "op2_quality_rules": OP2_SQL, "op10_secret_scan": OP10_SQL, "op12_conversation_trie": OP12_SQL, "op13_vector_codes": OP13_SQL}
