@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import conversations, decontaminate, extract, language, licences, lines, mixing, quality, repeats, secrets, simhash, vector_codes
+from . import conversations, decontaminate, extract, factors, language, licences, lines, mixing, quality, repeats, secrets, simhash, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -210,6 +210,24 @@ FROM t LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""
 )
 
 
+def op11_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factors.remove_factors(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+OP11_SQL = rf"""
+WITH w AS (SELECT doc_id, {_WORDS_SQL} AS ws FROM documents),
+x AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS nth FROM x) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS words
+         FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(words, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return conversations.prefix_trie(conversations.with_shared_heads(conversations.sequences(turns)))
@@ -302,7 +320,8 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_licences": op9_licences,
     "op10_secret_scan": op10_secret_scan,
+    "op11_factors": op11_factors,
     "op12_conversation_trie": op12_conversation_trie,
     "op13_vector_codes": op13_vector_codes,
 }
-SQL = {"op1_mixture": OP1_SQL, "op2_quality_rules": OP2_SQL, "op10_secret_scan": OP10_SQL, "op12_conversation_trie": OP12_SQL, "op13_vector_codes": OP13_SQL}
+SQL = {"op1_mixture": OP1_SQL, "op2_quality_rules": OP2_SQL, "op10_secret_scan": OP10_SQL, "op11_factors": OP11_SQL, "op12_conversation_trie": OP12_SQL, "op13_vector_codes": OP13_SQL}
