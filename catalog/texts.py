@@ -20,7 +20,10 @@ def _documents(spark, d):
 
 
 def _chunks(spark, d):
-    return tx.or_placeholder(tx.chunk_documents(_documents(spark, d), "text", "doc_id"))
+    documents = _documents(spark, d)
+    # A table of one row group is read by one task; the texts are spread before they are cut.
+    found = tx.chunk_documents(documents.repartition("doc_id", "text"), "text", "doc_id")
+    return tx.or_placeholder(found) if tx.chunk_documents(documents, "text", "doc_id").isEmpty() else found
 
 
 def _questions(spark, d):

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.stopwords import ENGLISH
 from ..session import stage
@@ -20,8 +22,19 @@ FREQUENT_LIMIT = 300_000
 QUERY_TERM_LIMIT = 300_000
 # Sums of doubles depend on their order; rounded scores let equal chunks tie in every run.
 SCORE_DIGITS = 10
-# Queries scored together; larger query tables are worked off in blocks of this size.
+# Neighbouring chunks that share one maximum per term.
+BLOCK_CHUNKS = 64
+# Blocks scored per query in the first round, and how much more each later round may take.
+FIRST_BLOCKS = 4
+ROUND_GROWTH = 16
+# Bounds and scores are sums in different orders, and scores are rounded.
+BOUND_SLACK = 1e-9
+# Queries that go to every task; more than that meet the vectors in cells.
 QUERY_BLOCK = 2048
+# Vectors of one cell, and how many queries and vectors are multiplied at a time.
+CELL_ROWS = 1 << 17
+QUERY_SLICE = 256
+VECTOR_SLICE = 8192
 
 
 def bounded_k(k: int) -> int:
@@ -42,17 +55,24 @@ def top_k_per_query(scored: DataFrame, query: Sequence[str], k: int, order: Sequ
 
 
 class TermIndex:
-    """Term statistics of chunks, staged because every search reads them.
+    """Postings of chunks with their impacts and the largest impact of each block, staged because every search reads them.
 
-    ``postings (source, chunk_no, term, tf)``, ``idf (term, df, idf)`` with
-    ``idf = ln((1 + n) / (1 + df)) + 1`` for ``n`` chunks, and ``norms (source, chunk_no, norm)``, the
-    length of a chunk's vector ``tf * idf``. Terms in ``cutoff`` chunks or more are the frequent ones.
+    ``chunks`` has the texts and ``block``, the number of ``BLOCK_CHUNKS`` neighbours; ``idf (term, df, idf)`` has
+    ``idf = ln((1 + n) / (1 + df)) + 1`` for ``n`` chunks. ``impacts (block, source, chunk_no, term, impact)`` are the
+    entries of unit-length vectors ``tf * idf``, ``maxima (block, term, top)`` their maxima. Terms in ``cutoff``
+    chunks or more are the frequent ones.
     """
 
     def __init__(self, chunks: DataFrame, postings: DataFrame, idf: DataFrame, n: int, cutoff: float, stop_words: Sequence[str]):
-        self.chunks, self.postings, self.idf = chunks, postings, idf
+        self.chunks, self.idf = chunks, idf
         self.n, self.cutoff, self.stop_words = n, cutoff, stop_words
-        self.norms = stage(vector_lengths(self.weigh(postings), CHUNK), "norms")
+        # A chunk's terms are gathered for its length and unfolded again: one exchange, no join with the lengths.
+        one = self.weigh(postings).groupBy("block", *CHUNK).agg(
+            F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("terms")
+        )
+        rows = one.select("block", *CHUNK, "norm", F.inline("terms"))
+        self.impacts = stage(rows.select("block", *CHUNK, "term", (F.col("w") / F.col("norm")).alias("impact")), "impacts")
+        self.maxima = stage(self.impacts.groupBy("block", "term").agg(F.max("impact").alias("top")), "maxima")
 
     @property
     def frequent(self) -> DataFrame:
@@ -76,8 +96,7 @@ class TermIndex:
 
     def weights(self) -> DataFrame:
         """Unit-length weights ``(source, chunk_no, term, weight)``."""
-        rows = self.weigh(self.postings).join(self.norms, CHUNK)
-        return rows.select(*CHUNK, "term", (F.col("w") / F.col("norm")).alias("weight"))
+        return self.impacts.select(*CHUNK, "term", F.col("impact").alias("weight"))
 
 
 def vector_lengths(weighed: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -99,11 +118,11 @@ def frequency_cutoff(idf: DataFrame) -> float:
 def build_term_index(chunks: DataFrame, stop_words: Sequence[str] = ENGLISH) -> TermIndex:
     """Index ``chunks (source, chunk_no, text)``.
 
-    Chunks are spread by their key first: one shuffle of the texts, after which a chunk's terms are
-    counted where they are.
+    Blocks are neighbours in the order in which the chunks are written. Whole blocks are spread then: one shuffle of the
+    texts, after which a chunk's terms are counted where they are.
     """
-    chunks = stage(chunks, "chunks")
-    postings = stage(term_counts(chunks.repartition(*CHUNK), CHUNK, "text", stop_words), "postings")
+    chunks = stage(chunks.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK_CHUNKS)), "chunks")
+    postings = stage(term_counts(chunks.repartition("block"), ["block", *CHUNK], "text", stop_words), "postings")
     n = chunks.count()
     idf = stage(
         postings.groupBy("term")
@@ -114,33 +133,75 @@ def build_term_index(chunks: DataFrame, stop_words: Sequence[str] = ENGLISH) ->
     return TermIndex(chunks, postings, idf, n, frequency_cutoff(idf), stop_words)
 
 
-def tfidf_scores(index: TermIndex, queries: DataFrame, query: str, text: str) -> DataFrame:
-    """Cosine of every query and chunk that share a term ``(query, source, chunk_no, score)``."""
+def query_terms(index: TermIndex, queries: DataFrame, query: str, text: str) -> DataFrame:
+    """Unit-length weights of the queries' known terms ``(query, term, factor)``, staged."""
     weighed = index.weigh(term_counts(queries, [query], text, index.stop_words))
-    # tf of the chunk is in the postings and its idf is the term's, so both idf factors go to the query.
-    factor = F.col("w") * F.col("idf") / F.col("norm")
-    wanted = stage(weighed.join(vector_lengths(weighed, [query]), query).select(query, "term", factor.alias("factor")), "query-terms")
+    unit = weighed.join(vector_lengths(weighed, [query]), query)
+    return stage(unit.select(query, "term", (F.col("w") / F.col("norm")).alias("factor")), "query-terms")
+
+
+def _with_queries(rows: DataFrame, wanted: DataFrame, spread: Sequence[str]) -> DataFrame:
+    """``rows`` with every query that has their term; a checked number of query terms goes to all tasks."""
     if wanted.limit(QUERY_TERM_LIMIT + 1).count() <= QUERY_TERM_LIMIT:
-        # Only postings of wanted terms move, once, to their chunk's task; queries multiply them there,
-        # so pairs of query and chunk are summed and ranked without another shuffle.
-        hits = index.postings.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
-        pairs = hits.repartition(*CHUNK).join(F.broadcast(wanted), "term")
-    else:
-        pairs = _salted_join(index.postings, wanted)
-    sums = pairs.groupBy(query, *CHUNK).agg(F.sum(F.col("tf") * F.col("factor")).alias("s"))
-    score = F.round(F.col("s") / F.col("norm"), SCORE_DIGITS)
-    return sums.join(index.norms, CHUNK).select(query, *CHUNK, score.alias("score"))
+        return rows.join(F.broadcast(wanted), "term")
+    return _salted_join(rows, wanted, spread)
+
+
+def tfidf_scores(index: TermIndex, queries: DataFrame, query: str, text: str) -> DataFrame:
+    """Cosine of every query and chunk that share a term ``(query, source, chunk_no, score)``.
+
+    As many rows as there are such pairs: ``tfidf_search`` finds the best of them without building the rest.
+    """
+    pairs = _with_queries(index.impacts, query_terms(index, queries, query, text), CHUNK)
+    return _summed(pairs, query)
+
+
+def _summed(pairs: DataFrame, query: str) -> DataFrame:
+    sums = pairs.groupBy(query, *CHUNK).agg(F.sum(F.col("impact") * F.col("factor")).alias("s"))
+    return sums.select(query, *CHUNK, F.round("s", SCORE_DIGITS).alias("score"))
+
+
+def block_bounds(index: TermIndex, wanted: DataFrame, query: str) -> DataFrame:
+    """``(query, block, bound)``: no chunk of the block can score higher with the query."""
+    pairs = _with_queries(index.maxima, wanted, ["block"])
+    return pairs.groupBy(query, "block").agg(F.sum(F.col("top") * F.col("factor")).alias("bound"))
+
+
+def block_scores(index: TermIndex, wanted: DataFrame, picks: DataFrame, query: str) -> DataFrame:
+    """Scores of all chunks of the picked blocks ``(query, block)`` that share a term with the query."""
+    needs = picks.select(query, "block").join(wanted, query)
+    return _summed(index.impacts.join(needs, ["block", "term"]), query)
+
+
+def _order() -> list[Column]:
+    return [F.desc("score"), F.desc("source"), F.desc("chunk_no")]
+
+
+def best_chunks(index: TermIndex, wanted: DataFrame, query: str, k: int) -> DataFrame:
+    """The ``k`` best scored chunks of each query, by block maxima and a threshold that rises.
+
+    Blocks are scored in rounds, those of the highest bounds first. The k-th score found so far is a query's threshold;
+    blocks whose bound stays below it are dropped unscored, and the rounds end when no query has a block left.
+    """
+    left, best, take = stage(block_bounds(index, wanted, query), "bounds"), None, FIRST_BLOCKS
+    while best is None or not left.isEmpty():
+        picks = stage(top_k_per_query(left, [query], take, [F.desc("bound"), F.asc("block")]).select(query, "block"), "picks")
+        scores = block_scores(index, wanted, picks, query)
+        best = stage(top_k_per_query(scores if best is None else best.unionByName(scores), [query], k, _order()).drop("rank"), "best")
+        low = best.groupBy(query).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("low"))
+        rest = left.join(picks, [query, "block"], "left_anti").join(low, query, "left")
+        left = stage(rest.where(F.col("low").isNull() | (F.col("bound") + BOUND_SLACK >= F.col("low"))).drop("low"), "bounds")
+        take *= ROUND_GROWTH
+    return best
 
 
 def tfidf_search(index: TermIndex, queries: DataFrame, query: str, text: str, k: int = DEFAULT_K) -> DataFrame:
     """The ``k`` chunks most similar to each query ``(query, rank, source, chunk_no, score)``.
 
-    Only chunks that share a term are scored. Of equal scores the later chunk comes first; a query
-    with fewer than ``k`` scored chunks is filled with the last chunks at score 0.
+    Only chunks that share a term are scored, and of these only blocks that can reach the best ``k``. Of equal scores the
+    later chunk comes first; a query with fewer than ``k`` scored chunks is filled with the last chunks at score 0.
     """
-    order = [F.desc("score"), F.desc("source"), F.desc("chunk_no")]
-    # The best few per query are read twice below, so they are written once.
-    found = stage(top_k_per_query(tfidf_scores(index, queries, query, text), [query], k, order).drop("rank"), "hits")
+    found = best_chunks(index, query_terms(index, queries, query, text), query, k)
     # At most k - 1 of the last 2k chunks can be scored already when a query needs filling.
     last = index.chunks.select(*CHUNK).orderBy(F.desc("source"), F.desc("chunk_no")).limit(2 * k)
     filler = (
@@ -149,12 +210,12 @@ def tfidf_search(index: TermIndex, queries: DataFrame, query: str, text: str, k:
         .select(query, "c.*", F.lit(0.0).alias("score"))
         .join(found.select(query, *CHUNK), [query, *CHUNK], "left_anti")
     )
-    return top_k_per_query(found.unionByName(filler), [query], k, order).select(query, "rank", *CHUNK, "score")
+    return top_k_per_query(found.unionByName(filler), [query], k, _order()).select(query, "rank", *CHUNK, "score")
 
 
-def _salted_join(postings: DataFrame, wanted: DataFrame, salts: int = 64) -> DataFrame:
-    """Join on term with each posting list spread over ``salts`` tasks."""
-    spread = postings.withColumn("salt", F.pmod(F.xxhash64(*CHUNK), F.lit(salts)))
+def _salted_join(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], salts: int = 64) -> DataFrame:
+    """Join on term with the rows of each term spread over ``salts`` tasks by their keys."""
+    spread = rows.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(salts)))
     copies = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return spread.join(copies, ["term", "salt"]).drop("salt")
 
@@ -170,33 +231,100 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _unit_rows(vectors: list) -> np.ndarray:
-    m = np.asarray(vectors, dtype=np.float64)
+def _unit_rows(m: np.ndarray) -> np.ndarray:
     length = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return m / np.where(length > 0, length, 1.0)
 
 
-def _block_top_k(ids: list, matrix: np.ndarray, vec_id: str, vec: str, query: str, k: int):
-    """A task's share: the best ``k`` rows of each batch for every query of the block."""
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Unit-length rows of an Arrow list column."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return _unit_rows(flat.reshape(len(lists), -1))
+
+
+def _best_places(queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, vector and score of the ``k`` best vectors per query; of equal scores the earlier vector comes first.
+
+    Products are made in slices, and only a slice's best ``k`` with their ties are looked at again.
+    """
+    rows, places, scores = [], [], []
+    for at in range(0, len(vectors), VECTOR_SLICE):
+        part = np.round(queries @ vectors[at : at + VECTOR_SLICE].T, SCORE_DIGITS)
+        few = min(k, part.shape[1])
+        low = np.partition(part, part.shape[1] - few, axis=1)[:, part.shape[1] - few]
+        row, col = np.nonzero(part >= low[:, None])
+        rows.append(row)
+        places.append(col + at)
+        scores.append(part[row, col])
+    row, place, score = np.concatenate(rows), np.concatenate(places), np.concatenate(scores)
+    order = np.lexsort((place, -score, row))
+    row, place, score = row[order], place[order], score[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[rank < k], place[rank < k], score[rank < k]
+
+
+def _found(names: Sequence[str], qids: pa.Array, queries: np.ndarray, ids: pa.Array, vectors: np.ndarray, k: int) -> pa.RecordBatch:
+    row, place, score = _best_places(queries, vectors, k)
+    return pa.RecordBatch.from_arrays([qids.take(pa.array(row)), ids.take(pa.array(place)), pa.array(score)], names=list(names))
+
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _later_first(ids: pa.Array) -> pa.Array:
+    return pc.array_sort_indices(ids, order="descending")
+
+
+def _few_queries(vectors: DataFrame, queries: list, names: Sequence[str], schema: T.StructType, k: int) -> DataFrame:
+    """The best ``k`` of each batch of vectors for a bounded list of queries, which goes to every task."""
+    matrix = _unit_rows(np.asarray([q[1] for q in queries], dtype=np.float64))
+    qids = [q[0] for q in queries]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                order = _later_first(batch[0])
+                asked = pa.array(qids, to_arrow_type(schema[0].dataType))
+                yield _found(names, asked, matrix, batch[0].take(order), _matrix(batch[1].take(order)), k)
+
+    return vectors.mapInArrow(of, schema)
+
+
+def _many_queries(vectors: DataFrame, queries: DataFrame, names: Sequence[str], schema: T.StructType, k: int) -> DataFrame:
+    """The best ``k`` per query of every cell, a bounded share of the vectors.
+
+    Vectors are written once with a number and dealt to cells by it; every query goes to every cell. A task holds one
+    cell at a time, which comes before its queries, and lets them pass in batches.
+    """
+    numbered = stage(vectors.toDF("vid", "v").withColumn("n", F.monotonically_increasing_id()), "vectors")
+    width = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = max(width, -(-numbered.count() // CELL_ROWS))
+    none = lambda field: F.lit(None).cast(field.dataType)
+    held = numbered.select(F.pmod(F.xxhash64("n"), F.lit(cells)).alias("cell"), F.lit(0).alias("side"), none(schema[0]).alias("qid"), "vid", "v")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long")))
+    asked = queries.toDF("qid", "v").select(every.alias("cell"), F.lit(1).alias("side"), "qid", none(schema[1]).alias("vid"), "v")
+    dealt = held.unionByName(asked).repartition(cells, "cell").sortWithinPartitions("cell", "side")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, waiting, ids, matrix = None, [], None, None
         for batch in batches:
-            if batch.empty:
-                continue
-            # Later rows come first among equals: order by id downwards, then a stable sort by score.
-            by_id = np.argsort(batch[vec_id].to_numpy(), kind="stable")[::-1]
-            names = batch[vec_id].to_numpy()[by_id]
-            scores = np.round(_unit_rows(batch[vec].tolist())[by_id] @ matrix.T, SCORE_DIGITS)
-            top = np.argsort(-scores, axis=0, kind="stable")[:k]
-            yield pd.DataFrame(
-                {
-                    query: np.repeat(np.asarray(ids), top.shape[0]),
-                    vec_id: names[top.T.ravel()],
-                    "score": np.take_along_axis(scores, top, axis=0).T.ravel(),
-                }
-            )
-
-    return score
+            cells_, sides = batch["cell"].to_numpy(), batch["side"].to_numpy()
+            edges = np.flatnonzero((cells_[1:] != cells_[:-1]) | (sides[1:] != sides[:-1])) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(cells_)]):
+                piece = batch.slice(a, b - a)
+                if cells_[a] != cell:
+                    cell, waiting, ids, matrix = cells_[a], [], None, None
+                if sides[a] == 0:
+                    waiting.append((piece["vid"], _matrix(piece["v"])))
+                    continue
+                if waiting:
+                    ids = pa.concat_arrays([w[0] for w in waiting])
+                    order = _later_first(ids)
+                    ids, matrix, waiting = ids.take(order), np.concatenate([w[1] for w in waiting])[order.to_numpy()], []
+                if matrix is None:
+                    continue
+                wanted = _matrix(piece["v"])
+                for at in range(0, len(wanted), QUERY_SLICE):
+                    yield _found(names, piece["qid"].slice(at, QUERY_SLICE), wanted[at : at + QUERY_SLICE], ids, matrix, k)
+
+    return dealt.mapInArrow(of, schema)
 
 
 def vector_search(
@@ -204,29 +332,18 @@ def vector_search(
 ) -> DataFrame:
     """The ``k`` vectors of largest inner product per query, all vectors scaled to unit length.
 
-    Exact: each task multiplies its batches by a block of queries and hands on only its best ``k``
-    per query, so pairs never leave the task. Any number of queries is worked off block by block.
+    Exact: products are made in blocks of queries and vectors inside the tasks, which hand on only the best ``k`` per
+    query. Up to ``QUERY_BLOCK`` queries go to the vectors; more than that are a table which meets the vectors in cells.
+    The vectors are read once for any number of queries. Rows without a vector are left out; of equal scores the
+    vector of the larger id comes first.
     """
-    query_type, id_type = dict(queries.dtypes)[query], dict(vectors.dtypes)[vec_id]
-    schema = f"`{query}` {query_type}, `{vec_id}` {id_type}, score double"
-
-    def best_of(block: list) -> DataFrame:
-        ids, matrix = [q[0] for q in block], _unit_rows([q[1] for q in block])
-        return vectors.select(vec_id, vec).mapInPandas(_block_top_k(ids, matrix, vec_id, vec, query, k), schema)
-
-    parts: list[DataFrame] = []
-    block: list = []
-    for row in queries.select(query, query_vec).toLocalIterator():
-        if len(block) == QUERY_BLOCK:
-            # The driver holds one block: the results of a full one are written before the next.
-            parts.append(stage(best_of(block), "vector-block"))
-            block = []
-        block.append((row[0], row[1]))
-    if block:
-        parts.append(best_of(block))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], f"`{query}` {query_type}, rank int, `{vec_id}` {id_type}, score double")
-    best = parts[0]
-    for part in parts[1:]:
-        best = best.unionByName(part)
+    ours = vectors.where(F.col(vec).isNotNull()).select(vec_id, F.col(vec).cast("array<double>"))
+    asked = queries.where(F.col(query_vec).isNotNull()).select(query, F.col(query_vec).cast("array<double>"))
+    fields = [queries.schema[query], vectors.schema[vec_id]]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + [T.StructField("score", T.DoubleType())])
+    names = schema.names
+    few = asked.limit(QUERY_BLOCK + 1).collect()
+    if not few:
+        return vectors.sparkSession.createDataFrame([], schema).select(query, F.lit(1).alias("rank"), vec_id, "score")
+    best = _few_queries(ours, few, names, schema, k) if len(few) <= QUERY_BLOCK else _many_queries(ours, asked, names, schema, k)
     return top_k_per_query(best, [query], k, [F.desc("score"), F.desc(vec_id)]).select(query, "rank", vec_id, "score")

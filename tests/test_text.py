@@ -164,6 +164,52 @@ def test_top_k_is_limited_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
+def test_blocks_below_the_threshold_are_not_scored(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [f"word{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words[40 * (i // 60) % 360 :][:60], 12)) for i in range(600)]
+    corpus = [("d", i, t) for i, t in enumerate(texts)]
+    index = se.build_term_index(spark.createDataFrame(corpus, "source string, chunk_no int, text string").coalesce(1))
+    asked = spark.createDataFrame([(i, texts[37 * i]) for i in range(15)], "query_id int, question string")
+    scored = []
+    whole = se.block_scores
+
+    def counted(*args):
+        found = se.stage(whole(*args), "counted")
+        scored.append(found.count())
+        return found
+
+    monkeypatch.setattr(se, "BLOCK_CHUNKS", 8)
+    monkeypatch.setattr(se, "block_scores", counted)
+    monkeypatch.setattr(se, "ROUND_GROWTH", 2)
+    for first, k in ((1, 3), (4, 1)):
+        scored.clear()
+        monkeypatch.setattr(se, "FIRST_BLOCKS", first)
+        small = se.build_term_index(spark.createDataFrame(corpus, "source string, chunk_no int, text string").coalesce(1))
+        got = sorted(map(tuple, se.tfidf_search(small, asked, "query_id", "question", k).collect()))
+        order = [F.desc("score"), F.desc("source"), F.desc("chunk_no")]
+        full = se.tfidf_scores(index, asked, "query_id", "question")
+        expected = se.top_k_per_query(full, ["query_id"], k, order).select("query_id", "rank", "source", "chunk_no", "score")
+        assert got == sorted(map(tuple, expected.collect()))
+        assert len(scored) > 1 if k == 3 else sum(scored) < full.count() / 2
+
+
+def test_vector_search_with_many_queries(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    vectors, queries = rng.integers(-3, 4, (400, 6)).astype(float), rng.integers(-3, 4, (5000, 6)).astype(float)
+    v = spark.createDataFrame([(f"v{i:03d}", r.tolist()) for i, r in enumerate(vectors)], "name string, v array<double>").repartition(3)
+    q = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(queries)], "qid int, qv array<double>")
+    monkeypatch.setattr(se, "CELL_ROWS", 60)
+    found = se.vector_search(v, "name", "v", q, "qid", "qv", 3)
+    assert "MapInArrow" in plan_of(found, "simple") and "Join" not in plan_of(found, "simple")
+    got = {(r["qid"], r["rank"]): r["name"] for r in found.collect()}
+    unit = lambda m: m / np.where(np.linalg.norm(m, axis=1, keepdims=True) > 0, np.linalg.norm(m, axis=1, keepdims=True), 1)
+    scores = np.round(unit(queries) @ unit(vectors).T, 10)
+    order = np.argsort(-scores[:, ::-1], axis=1, kind="stable")[:, :3]
+    assert len(got) == 15000
+    assert all(got[i, r + 1] == f"v{399 - order[i, r]:03d}" for i in range(5000) for r in range(3))
+
+
 def test_vector_search(spark, monkeypatch):
     rng = np.random.default_rng(8)
     vectors = rng.normal(size=(300, 8)).astype(np.float32)
@@ -174,8 +220,10 @@ def test_vector_search(spark, monkeypatch):
     q = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(queries)], "qid int, qv array<double>")
     unit = lambda m: m / np.where(np.linalg.norm(m, axis=1, keepdims=True) > 0, np.linalg.norm(m, axis=1, keepdims=True), 1)
     scores = np.round(unit(vectors.astype(float)) @ unit(queries).T, 10)
-    for block in (2048, 3):
+    monkeypatch.setattr(se, "VECTOR_SLICE", 16)
+    for block, cell in ((2048, 1), (3, 1 << 17), (3, 7)):
         monkeypatch.setattr(se, "QUERY_BLOCK", block)
+        monkeypatch.setattr(se, "CELL_ROWS", cell)
         got = {}
         for r in se.vector_search(v, "vec_id", "v", q, "qid", "qv", 5).collect():
             got.setdefault(r["qid"], []).append((r["rank"], r["vec_id"], r["score"]))
@@ -184,6 +232,9 @@ def test_vector_search(spark, monkeypatch):
             assert [g[1] for g in sorted(got[i])] == expected
     assert [g[1] for g in sorted(got[6])][:2] == [200, 10]
     assert se.vector_search(v, "vec_id", "v", q.limit(0), "qid", "qv").count() == 0
+    # A zero vector scores 0 with all, and rows without a vector are left out.
+    gone = v.union(spark.createDataFrame([(999, None)], v.schema))
+    assert se.vector_search(gone, "vec_id", "v", q.where("qid = 0"), "qid", "qv", 400).count() == 300
     a, b = F.array(*[F.lit(float(x)) for x in (3, 4)]), se.normalise(F.array(F.lit(0.0), F.lit(2.0)))
     assert spark.range(1).select(se.dot(se.normalise(a), b)).first()[0] == pytest.approx(0.8)
 
