@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from riskloom.session import drop_staged, stage
@@ -39,19 +39,19 @@ WINDOW = 20
 GRAM = 6
 #: Names in a reference block that one task goes through in order.
 BLOCK = 10_000
+#: Text hashed at a time.
+PIECE_BYTES = 1 << 20
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-class _Hashes(dict):
-    """Hash of each word met; emptied when it has grown large."""
+def _powers(n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, _BASE, np.uint64)]))
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 1 << 18:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+
+_POWERS = _powers(1 << 12)
 
 
 def words(text: str | None) -> list[str]:
@@ -92,75 +92,117 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - reach)], values[width - reach :]) if width > reach else values
 
 
-def fragments(hashed: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """``first`` window, number of windows, place of the anchor, ``core`` and ``run`` of every fragment of a text."""
-    if len(hashed) < window:
-        return (np.zeros(0, np.int64),) * 5
+def fragments(hashed: np.ndarray, counts: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Every fragment of the texts whose words' hashes stand one after the other, ``counts`` words each.
+
+    The text's row, ``first`` window, number of windows and place of the anchor in the text, ``core`` and ``run``.
+    """
+    rows = np.repeat(np.arange(len(counts)), counts)
+    if len(hashed) < window or not (whole_text := rows[: len(rows) - window + 1] == rows[window - 1 :]).any():
+        return (np.zeros(0, np.int64),) * 6
     small = grams(hashed, gram)
     ranked = (_joined(small, small) & _HIGH) | np.arange(len(small), dtype=np.uint64)
     place = (_least(ranked, window - gram + 1) & ~_HIGH).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    n = np.diff(np.concatenate([first, [len(place)]]))
+    # A window of one text starts a fragment where the anchor changes; anchors of two texts differ.
+    starts = whole_text.copy()
+    starts[1:] &= (place[1:] != place[:-1]) | ~whole_text[:-1]
+    first = np.flatnonzero(starts)
+    n = np.add.reduceat(whole_text, first, dtype=np.int64)
     at = place[first]
     whole = grams(hashed, window)
     # The first and the last window cover the fragment, so their hashes and its shape name it.
-    shape = (n * 64 + at - first).astype(np.uint64)
-    run = _joined(_joined(whole[first], whole[first + n - 1]), shape)
-    return first, n, at, small[at].view(np.int64), run.view(np.int64)
-
-
-def _hashed(text: str | None, known: _Hashes) -> np.ndarray:
-    found = words(text)
-    return np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found))
+    run = _joined(_joined(whole[first], whole[first + n - 1]), (n * 64 + at - first).astype(np.uint64))
+    begin = (np.cumsum(counts) - counts)[rows[first]]
+    return rows[first], first - begin, n, at - begin, small[at].view(np.int64), run.view(np.int64)
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``PIECE_BYTES`` of text; a longer text is a piece of its own."""
+    sizes = pc.binary_length(batch["text"]).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    number = (np.cumsum(sizes) - sizes) // PIECE_BYTES
+    edges = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(sizes)]
+    for a, b in zip(edges, edges[1:]):
+        yield batch.slice(a, b - a)
+
+
+def _hashed_words(data: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of every word of some bytes in which texts start at the given places."""
+    letter = ~_SPACE[data]
+    opens = np.ones(len(data), bool)
+    opens[1:] = ~letter[:-1]
+    opens[texts] = True
+    starts = np.flatnonzero(letter & opens)
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    kept = data[letter].astype(np.uint64) + np.uint64(1)
+    first = (np.cumsum(letter) - 1)[starts]
+    sizes = np.diff(np.append(first, len(kept)))
+    powers = _POWERS if sizes.max() <= len(_POWERS) else _powers(int(sizes.max()))
+    kept *= powers[np.arange(len(kept)) - np.repeat(first, sizes)]
+    return starts, _joined(np.add.reduceat(kept, first), sizes.astype(np.uint64))
+
+
+def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one text after the other, and the number of words of each.
+
+    Words are found in the bytes of the Arrow column: the six blanks are single bytes in UTF-8.
+    """
+    texts = texts.fill_null("").cast(pa.large_string())
+    _, offsets, values = texts.buffers()
+    edges = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(values, np.uint8)[edges[0] : edges[-1]] if values else np.zeros(0, np.uint8)
+    edges = edges - edges[0]
+    starts, hashes, at = [], [], 0
+    while at < len(data):
+        end = at + PIECE_BYTES
+        while end < len(data) and not _SPACE[data[end]]:  # a cut goes between words
+            end += 1
+        end = min(end, len(data))
+        inside = edges[np.searchsorted(edges, at) : np.searchsorted(edges, end)] - at
+        found, hashed = _hashed_words(data[at:end], inside)
+        starts.append(found + at)
+        hashes.append(hashed)
+        at = end
+    if not starts:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), edges))
 
 
 def _cut(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """Every fragment of every document (``id``, ``t``, ``text``)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
         for batch in batches:
-            ids, ts = batch["id"].to_pylist(), batch["t"].to_pylist()
-            for k in range(batch.num_rows):
-                first, n, at, core, run = fragments(_hashed(batch["text"][k].as_py(), known), window, gram)
-                if len(first):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([ids[k]] * len(first), pa.int64()), pa.array([ts[k]] * len(first), pa.int32()), pa.array(first.astype(np.int32)),
-                            pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(core), pa.array(run),
-                        ],
-                        names=["id", "t", "first", "n", "at", "core", "run"],
-                    )
+            for piece in _pieces(batch):
+                row, first, n, at, core, run = fragments(*_word_hashes(piece["text"]), window, gram)
+                if len(row):
+                    row, whole = pa.array(row), pa.int32()
+                    columns = [piece["id"].take(row), piece["t"].take(row), pa.array(first, whole), pa.array(n, whole), pa.array(at, whole), pa.array(core), pa.array(run)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "t", "first", "n", "at", "core", "run"])
 
     return docs.mapInArrow(of, "id long, t int, first int, n int, at int, core long, run long")
 
 
-_PLACE = "none boolean, id long, at int"
-
-
 def _windows(docs: DataFrame, window: int) -> DataFrame:
     """The hashed windows of the fragments listed in ``wanted``, with the fragment's place."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
         for batch in batches:
-            for k in range(batch.num_rows):
-                whole = grams(_hashed(batch["text"][k].as_py(), known), window).view(np.int64)
-                wanted, id_, t = batch["wanted"][k].as_py(), batch["id"][k].as_py(), batch["t"][k].as_py()
-                n = len(wanted)
-                lists = [whole[w["first"] : w["first"] + w["n"]] for w in wanted]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([id_ is None] * n), pa.array([id_] * n, pa.int64()), pa.array([w["at"] for w in wanted], pa.int32()),
-                        pa.array([t] * n, pa.int32()), pa.array([w["first"] for w in wanted], pa.int32()),
-                        pa.array([w["core"] for w in wanted], pa.int64()), pa.array([w["large"] for w in wanted], pa.bool_()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists))),
-                    ],
-                    names=["none", "id", "at", "t", "first", "core", "large", "windows"],
-                )
-
-    return docs.mapInArrow(of, f"{_PLACE}, t int, first int, core long, large boolean, windows array<long>")
+            for piece in _pieces(batch):
+                hashed, counts = _word_hashes(piece["text"])
+                whole = grams(hashed, window).view(np.int64)
+                wanted = piece["wanted"].flatten()
+                row = pc.list_parent_indices(piece["wanted"])
+                first, n = (wanted.field(c).to_numpy().astype(np.int64) for c in ("first", "n"))
+                ends = np.cumsum(n)
+                start = (np.cumsum(counts) - counts)[row.to_numpy()] + first
+                windows = whole[np.repeat(start - (ends - n), n) + np.arange(ends[-1])]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(windows))
+                ids = piece["id"].take(row)
+                columns = [ids.is_null(), ids, wanted.field("at"), piece["t"].take(row), wanted.field("first"), wanted.field("core"), wanted.field("large"), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["none", "id", "at", "t", "first", "core", "large", "windows"])
+
+    return docs.mapInArrow(of, "none boolean, id long, at int, t int, first int, core long, large boolean, windows array<long>")
 
 
 def _parsed(blocks: DataFrame) -> DataFrame:

@@ -70,10 +70,16 @@ def test_empty_table(spark):
 
 def test_fragments_hold_every_window_once():
     rng = np.random.default_rng(2)
-    for n in (0, 19, 20, 21, 400):
-        hashed = rng.integers(0, 5, n).astype(np.uint64)
-        first, size, at, _, _ = factors.fragments(hashed, 20, 6)
-        assert size.sum() == max(0, n - 19) and (at >= first + size - 1).all() and (at + 6 <= first + 20).all()
+    counts = np.array([0, 19, 20, 0, 21, 400, 3, 33, 0])
+    texts = [rng.integers(0, 5, n).astype(np.uint64) for n in counts]
+    row, first, n, at, core, run = factors.fragments(np.concatenate(texts), counts, 20, 6)
+    assert [int(n[row == k].sum()) for k in range(9)] == [max(0, c - 19) for c in counts]
+    assert (at >= first + n - 1).all() and (at + 6 <= first + 20).all() and (first + n + 19 <= counts[row]).all()
+    # A text is cut alike alone and among others.
+    for k, text in enumerate(texts):
+        alone = factors.fragments(text, counts[k : k + 1], 20, 6)
+        for a, b in zip(alone[1:], (first, n, at, core, run)):
+            assert (a == b[row == k]).all()
 
 
 def test_query_against_its_sql(spark, sf_dir):
