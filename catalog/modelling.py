@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import seconds_since
 from riskloom.operators import attribution as at
+from riskloom.operators import autoencoder as ae
 from riskloom.operators import models as mo
 from riskloom.operators.sampling import stratified_split
 from riskloom.plans.feature_store import CHURN_FILE, FRAUD_FILE, build_feature_store
@@ -87,6 +88,47 @@ def anomaly_model(spark, d):
     return mo.AnomalyModel.load(spark, path).score(valid)
 
 
+def _neural(spark, d):
+    rows, names = _vectors(spark, d)
+    train, valid = _parts(rows)
+    return ae.train_autoencoder(train, names), valid
+
+
+def neural_anomaly_model(spark, d):
+    model, valid = _neural(spark, d)
+    return model.score(valid)
+
+
+def neural_anomaly_history(spark, d):
+    return mo.training_history(_neural(spark, d)[0])
+
+
+def saved_models(spark, d):
+    """Rows per label, and how many of them get the same score from the model that was saved and loaded again."""
+    rows, names = _vectors(spark, d)
+    items = _items(spark, d)
+    trees = mo.train_fraud(items, LINE_COLUMNS, **ROUNDS)
+    linear, neural = mo.train_anomaly(rows, names, components=10), ae.train_autoencoder(rows, names, epochs=1)
+    root = staged_path(spark, "models")
+    mo.save_model(trees, f"{root}/trees")
+    linear.save(f"{root}/linear")
+    neural.save(f"{root}/neural")
+    pairs = {
+        "trees": [mo.score_batch(m, items) for m in (trees, mo.load_model(f"{root}/trees"))],
+        "linear": [m.score(rows) for m in (linear, mo.AnomalyModel.load(spark, f"{root}/linear"))],
+        "neural": [m.score(rows) for m in (neural, ae.Autoencoder.load(spark, f"{root}/neural"))],
+    }
+    tables = []
+    for name, (before, after) in pairs.items():
+        sides = [t.toDF("entity_id", "label", "score", "prediction").withColumn("side", F.lit(k)) for k, t in enumerate((before, after))]
+        counts = sides[0].union(sides[1]).groupBy("entity_id", "label", "score", "prediction").agg(
+            F.count_if(F.col("side") == 0).alias("n"), F.count_if(F.col("side") == 1).alias("again")
+        )
+        met = counts.groupBy("label").agg(F.sum("n").alias("n"), F.sum(F.least("n", "again")).alias("same"))
+        tables.append(met.select(F.lit(name).alias("model"), "label", "n", "same"))
+    return tables[0].union(tables[1]).union(tables[2])
+
+
 def tree_attribution(spark, d):
     rows = _items(spark, d)
     train, _ = _parts(rows)
@@ -180,6 +222,9 @@ QUERIES = {
     "training_history": training_history,
     "churn_model": churn_model,
     "anomaly_model": anomaly_model,
+    "neural_anomaly_model": neural_anomaly_model,
+    "neural_anomaly_history": neural_anomaly_history,
+    "saved_models": saved_models,
     "tree_attribution": tree_attribution,
     "linear_attribution": linear_attribution,
     "mean_abs_attribution": mean_abs,
@@ -197,7 +242,14 @@ ATTRIBUTION_SQL = (
 # The first half of the month against all of it.
 BOTH_SQL = f"SELECT * FROM ({HALVES_SQL}) WHERE side = 0 UNION ALL SELECT * REPLACE (1 AS side) FROM ({HALVES_SQL})"
 
+_LABELS_SQL = """
+        SELECT '{0}' AS model, CAST({1} AS INTEGER) AS label, count(*) AS n, count(*) AS same FROM {2} GROUP BY 2"""
+
 SQL = {
+    "saved_models": " UNION ALL ".join([
+        _LABELS_SQL.format("trees", "l_extendedprice > 60000 AND l_discount > 0.05", "lineitem"),
+        _LABELS_SQL.format("linear", "label = 0", "embeddings"), _LABELS_SQL.format("neural", "label = 0", "embeddings"),
+    ]),
     "feature_store_build": f"""
         SELECT 'churn' AS dataset, "Exited" AS label, count(*) AS n, count(*) AS entities FROM ({CUSTOMERS_SQL}) GROUP BY 2
         UNION ALL

@@ -22,11 +22,8 @@ FREQUENT_LIMIT = 300_000
 QUERY_TERM_LIMIT = 300_000
 # Sums of doubles depend on their order; rounded scores let equal chunks tie in every run.
 SCORE_DIGITS = 10
-# Neighbouring chunks that share one maximum per term.
-BLOCK_CHUNKS = 64
-# Blocks scored per query in the first round, and how much more each later round may take.
-FIRST_BLOCKS = 4
-ROUND_GROWTH = 16
+# Neighbouring chunks that are scored together and share one maximum per term.
+BLOCK_CHUNKS = 1024
 # Bounds and scores are sums in different orders, and scores are rounded.
 BOUND_SLACK = 1e-9
 # Queries that go to every task; more than that meet the vectors in cells.
@@ -55,24 +52,18 @@ def top_k_per_query(scored: DataFrame, query: Sequence[str], k: int, order: Sequ
 
 
 class TermIndex:
-    """Postings of chunks with their impacts and the largest impact of each block, staged because every search reads them.
+    """Term statistics of chunks, staged because every search reads them.
 
-    ``chunks`` has the texts and ``block``, the number of ``BLOCK_CHUNKS`` neighbours; ``idf (term, df, idf)`` has
-    ``idf = ln((1 + n) / (1 + df)) + 1`` for ``n`` chunks. ``impacts (block, source, chunk_no, term, impact)`` are the
-    entries of unit-length vectors ``tf * idf``, ``maxima (block, term, top)`` their maxima. Terms in ``cutoff``
-    chunks or more are the frequent ones.
+    ``chunks`` has the texts and ``block``, the number of ``BLOCK_CHUNKS`` neighbours; ``postings (block, source, chunk_no,
+    term, tf)``, ``idf (term, df, idf)`` with ``idf = ln((1 + n) / (1 + df)) + 1`` for ``n`` chunks, and ``norms (block,
+    source, chunk_no, norm)``, the length of a chunk's vector ``tf * idf``. Terms in ``cutoff`` chunks or more are the
+    frequent ones.
     """
 
     def __init__(self, chunks: DataFrame, postings: DataFrame, idf: DataFrame, n: int, cutoff: float, stop_words: Sequence[str]):
-        self.chunks, self.idf = chunks, idf
+        self.chunks, self.postings, self.idf = chunks, postings, idf
         self.n, self.cutoff, self.stop_words = n, cutoff, stop_words
-        # A chunk's terms are gathered for its length and unfolded again: one exchange, no join with the lengths.
-        one = self.weigh(postings).groupBy("block", *CHUNK).agg(
-            F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("terms")
-        )
-        rows = one.select("block", *CHUNK, "norm", F.inline("terms"))
-        self.impacts = stage(rows.select("block", *CHUNK, "term", (F.col("w") / F.col("norm")).alias("impact")), "impacts")
-        self.maxima = stage(self.impacts.groupBy("block", "term").agg(F.max("impact").alias("top")), "maxima")
+        self.norms = stage(vector_lengths(self.weigh(postings), ["block", *CHUNK]), "norms")
 
     @property
     def frequent(self) -> DataFrame:
@@ -96,7 +87,8 @@ class TermIndex:
 
     def weights(self) -> DataFrame:
         """Unit-length weights ``(source, chunk_no, term, weight)``."""
-        return self.impacts.select(*CHUNK, "term", F.col("impact").alias("weight"))
+        rows = self.weigh(self.postings).join(self.norms, ["block", *CHUNK])
+        return rows.select(*CHUNK, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def vector_lengths(weighed: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -134,17 +126,14 @@ def build_term_index(chunks: DataFrame, stop_words: Sequence[str] = ENGLISH) ->
 
 
 def query_terms(index: TermIndex, queries: DataFrame, query: str, text: str) -> DataFrame:
-    """Unit-length weights of the queries' known terms ``(query, term, factor)``, staged."""
+    """Unit-length weights of the queries' known terms ``(query, term, idf, factor)``, staged."""
     weighed = index.weigh(term_counts(queries, [query], text, index.stop_words))
     unit = weighed.join(vector_lengths(weighed, [query]), query)
-    return stage(unit.select(query, "term", (F.col("w") / F.col("norm")).alias("factor")), "query-terms")
+    return stage(unit.select(query, "term", "idf", (F.col("w") / F.col("norm")).alias("factor")), "query-terms")
 
 
-def _with_queries(rows: DataFrame, wanted: DataFrame, spread: Sequence[str]) -> DataFrame:
-    """``rows`` with every query that has their term; a checked number of query terms goes to all tasks."""
-    if wanted.limit(QUERY_TERM_LIMIT + 1).count() <= QUERY_TERM_LIMIT:
-        return rows.join(F.broadcast(wanted), "term")
-    return _salted_join(rows, wanted, spread)
+def _few(wanted: DataFrame) -> bool:
+    return wanted.limit(QUERY_TERM_LIMIT + 1).count() <= QUERY_TERM_LIMIT
 
 
 def tfidf_scores(index: TermIndex, queries: DataFrame, query: str, text: str) -> DataFrame:
@@ -152,47 +141,129 @@ def tfidf_scores(index: TermIndex, queries: DataFrame, query: str, text: str) ->
 
     As many rows as there are such pairs: ``tfidf_search`` finds the best of them without building the rest.
     """
-    pairs = _with_queries(index.impacts, query_terms(index, queries, query, text), CHUNK)
-    return _summed(pairs, query)
+    return _pair_scores(index, query_terms(index, queries, query, text), query)
 
 
-def _summed(pairs: DataFrame, query: str) -> DataFrame:
-    sums = pairs.groupBy(query, *CHUNK).agg(F.sum(F.col("impact") * F.col("factor")).alias("s"))
-    return sums.select(query, *CHUNK, F.round("s", SCORE_DIGITS).alias("score"))
+def _pair_scores(index: TermIndex, wanted: DataFrame, query: str) -> DataFrame:
+    pairs = index.postings.join(F.broadcast(wanted), "term") if _few(wanted) else _salted_join(index.postings, wanted)
+    sums = pairs.groupBy(query, *CHUNK).agg(F.sum(F.col("tf") * F.col("idf") * F.col("factor")).alias("s"))
+    return sums.join(index.norms, CHUNK).select(query, *CHUNK, F.round(F.col("s") / F.col("norm"), SCORE_DIGITS).alias("score"))
 
 
-def block_bounds(index: TermIndex, wanted: DataFrame, query: str) -> DataFrame:
-    """``(query, block, bound)``: no chunk of the block can score higher with the query."""
-    pairs = _with_queries(index.maxima, wanted, ["block"])
-    return pairs.groupBy(query, "block").agg(F.sum(F.col("top") * F.col("factor")).alias("bound"))
-
-
-def block_scores(index: TermIndex, wanted: DataFrame, picks: DataFrame, query: str) -> DataFrame:
-    """Scores of all chunks of the picked blocks ``(query, block)`` that share a term with the query."""
-    needs = picks.select(query, "block").join(wanted, query)
-    return _summed(index.impacts.join(needs, ["block", "term"]), query)
+class BlockSearch:
+    """A task's share of a search: blocks of chunks against a bounded set of queries.
 
+    A block's postings lie by term, with the largest impact of each. The highest score a block can give a query is the
+    sum of its terms' maxima; a block below the query's threshold is passed over, and inside a block terms are added in
+    the order of their maxima until no chunk can reach the threshold any more. The threshold is the ``k``-th score found so
+    far and rises from block to block. ``pairs`` counts the sums that were built, ``skipped`` the blocks passed over.
+    """
 
-def _order() -> list[Column]:
-    return [F.desc("score"), F.desc("source"), F.desc("chunk_no")]
+    def __init__(self, starts: np.ndarray, terms: np.ndarray, factors: np.ndarray, k: int):
+        self.starts, self.terms, self.factors, self.k = starts, terms, factors, k
+        self.best = np.full((len(starts) - 1, k), -np.inf)
+        self.pairs = self.skipped = 0
+
+    def block(self, place: np.ndarray, term: np.ndarray, impact: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, place and score of the chunks that may be among the best; earlier places win ties."""
+        order = np.argsort(term, kind="stable")
+        place, term, impact = place[order], term[order], impact[order]
+        held, first = np.unique(term, return_index=True)
+        last = np.append(first[1:], len(term))
+        top = np.maximum.reduceat(impact, first)
+        at = np.searchsorted(held, self.terms)
+        known = held[np.minimum(at, len(held) - 1)] == self.terms
+        bounds = np.where(known, top[np.minimum(at, len(held) - 1)] * self.factors, 0.0)
+        total = np.add.reduceat(np.append(bounds, 0.0), self.starts[:-1]) * (np.diff(self.starts) > 0)
+        open_ = (total > 0) & (total + BOUND_SLACK >= self.best[:, -1])
+        self.skipped += int((~open_ & (total > 0)).sum())
+        found: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for q in np.flatnonzero(open_).tolist():
+            a, b = self.starts[q], self.starts[q + 1]
+            mine = a + np.argsort(-bounds[a:b], kind="stable")
+            low, rest, sums = self.best[q, -1], total[q], np.zeros(n)
+            for j in mine[bounds[mine] > 0].tolist():
+                if rest + BOUND_SLACK < low and sums.max() + rest + BOUND_SLACK < low:
+                    break
+                x, y = first[at[j]], last[at[j]]
+                sums[place[x:y]] += impact[x:y] * self.factors[j]
+                self.pairs += int(y - x)
+                rest -= bounds[j]
+            scores = np.round(sums, SCORE_DIGITS)
+            few = min(self.k, n)
+            limit = max(np.partition(scores, n - few)[n - few], low, 0.0)
+            hits = np.flatnonzero((scores >= limit) & (sums > 0))
+            hits = hits[np.argsort(-scores[hits], kind="stable")][: self.k]
+            if len(hits):
+                found.append((q, hits, scores[hits]))
+                self.best[q] = -np.sort(-np.concatenate([self.best[q], scores[hits]]))[: self.k]
+        if not found:
+            none = np.zeros(0, np.int64)
+            return none, none, none.astype(np.float64)
+        return np.repeat([f[0] for f in found], [len(f[1]) for f in found]), np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
 
 
 def best_chunks(index: TermIndex, wanted: DataFrame, query: str, k: int) -> DataFrame:
-    """The ``k`` best scored chunks of each query, by block maxima and a threshold that rises.
+    """At least the ``k`` best scored chunks of each query ``(query, source, chunk_no, score)``.
 
-    Blocks are scored in rounds, those of the highest bounds first. The k-th score found so far is a query's threshold;
-    blocks whose bound stays below it are dropped unscored, and the rounds end when no query has a block left.
+    The postings of wanted terms move once, to their block's task, where queries are scored against whole blocks: pairs of
+    query and chunk are never rows. More query terms than may go to every task are joined and summed instead.
     """
-    left, best, take = stage(block_bounds(index, wanted, query), "bounds"), None, FIRST_BLOCKS
-    while best is None or not left.isEmpty():
-        picks = stage(top_k_per_query(left, [query], take, [F.desc("bound"), F.asc("block")]).select(query, "block"), "picks")
-        scores = block_scores(index, wanted, picks, query)
-        best = stage(top_k_per_query(scores if best is None else best.unionByName(scores), [query], k, _order()).drop("rank"), "best")
-        low = best.groupBy(query).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("low"))
-        rest = left.join(picks, [query, "block"], "left_anti").join(low, query, "left")
-        left = stage(rest.where(F.col("low").isNull() | (F.col("bound") + BOUND_SLACK >= F.col("low"))).drop("low"), "bounds")
-        take *= ROUND_GROWTH
-    return best
+    asked = wanted.limit(QUERY_TERM_LIMIT + 1).toArrow()
+    if asked.num_rows > QUERY_TERM_LIMIT:
+        return top_k_per_query(_pair_scores(index, wanted, query), [query], k, _order()).drop("rank")
+    asked = asked.sort_by(query).combine_chunks()
+    ids, starts = _runs(asked[query].combine_chunks())
+    coded = asked["term"].combine_chunks().dictionary_encode()
+    factors, terms = asked["factor"].to_numpy(), coded.indices.to_numpy()
+    _, one = np.unique(terms, return_index=True)
+    names = pa.table({"term": coded.dictionary, "tid": pa.array(np.arange(len(coded.dictionary)), pa.int32()), "idf": asked["idf"].take(pa.array(one))})
+    kinds = [index.norms.schema[c] for c in CHUNK]
+    schema = T.StructType([wanted.schema[query], *kinds, T.StructField("score", T.DoubleType())])
+
+    # A chunk's length comes as a row of its own before its terms.
+    hits = index.postings.join(F.broadcast(wanted.sparkSession.createDataFrame(names)), "term").select("block", *CHUNK, "tid", (F.col("tf") * F.col("idf")).alias("w"))
+    rows = hits.union(index.norms.select("block", *CHUNK, F.lit(-1), "norm"))
+    blocks = rows.repartition("block").sortWithinPartitions("block", F.desc("source"), F.desc("chunk_no"), "tid")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search, held, block = BlockSearch(starts, terms, factors, k), [], None
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            own = pa.Table.from_batches(held).combine_chunks()
+            tid, w = own["tid"].to_numpy(), own["w"].to_numpy()
+            place = np.cumsum(tid < 0) - 1
+            heads = np.flatnonzero(tid < 0)
+            posting = tid >= 0
+            if posting.any():
+                q, at, score = search.block(place[posting], tid[posting], w[posting] / w[heads][place[posting]], len(heads))
+                chunk = pa.array(heads[at])
+                keys = [own[c].combine_chunks().take(chunk) for c in CHUNK]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), *keys, pa.array(score)], names=schema.names)
+
+        for batch in batches:
+            numbers = batch["block"].to_numpy()
+            edges = np.flatnonzero(numbers[1:] != numbers[:-1]) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(numbers)]):
+                if held and numbers[a] != block:
+                    yield from scored()
+                    held = []
+                block = numbers[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from scored()
+
+    return blocks.mapInArrow(of, schema)
+
+
+def _runs(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The values of a sorted column once each, and where their runs start and the last one ends."""
+    runs = pc.run_end_encode(values)
+    return runs.values, np.concatenate([[0], runs.run_ends.to_numpy()]).astype(np.int64)
+
+
+def _order() -> list[Column]:
+    return [F.desc("score"), F.desc("source"), F.desc("chunk_no")]
 
 
 def tfidf_search(index: TermIndex, queries: DataFrame, query: str, text: str, k: int = DEFAULT_K) -> DataFrame:
@@ -201,7 +272,9 @@ def tfidf_search(index: TermIndex, queries: DataFrame, query: str, text: str, k:
     Only chunks that share a term are scored, and of these only blocks that can reach the best ``k``. Of equal scores the
     later chunk comes first; a query with fewer than ``k`` scored chunks is filled with the last chunks at score 0.
     """
-    found = best_chunks(index, query_terms(index, queries, query, text), query, k)
+    best = best_chunks(index, query_terms(index, queries, query, text), query, k)
+    # The best few per query are read twice below, so they are written once.
+    found = stage(top_k_per_query(best, [query], k, _order()).drop("rank"), "hits")
     # At most k - 1 of the last 2k chunks can be scored already when a query needs filling.
     last = index.chunks.select(*CHUNK).orderBy(F.desc("source"), F.desc("chunk_no")).limit(2 * k)
     filler = (
@@ -213,9 +286,9 @@ def tfidf_search(index: TermIndex, queries: DataFrame, query: str, text: str, k:
     return top_k_per_query(found.unionByName(filler), [query], k, _order()).select(query, "rank", *CHUNK, "score")
 
 
-def _salted_join(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], salts: int = 64) -> DataFrame:
-    """Join on term with the rows of each term spread over ``salts`` tasks by their keys."""
-    spread = rows.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(salts)))
+def _salted_join(postings: DataFrame, wanted: DataFrame, salts: int = 64) -> DataFrame:
+    """Join on term with each posting list spread over ``salts`` tasks."""
+    spread = postings.withColumn("salt", F.pmod(F.xxhash64(*CHUNK), F.lit(salts)))
     copies = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return spread.join(copies, ["term", "salt"]).drop("salt")
 

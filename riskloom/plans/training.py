@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import evaluate as ev
 from ..operators.attribution import mean_abs_attribution, tree_attribution
+from ..operators.autoencoder import Autoencoder, train_autoencoder
 from ..operators.features import unpack_features
 from ..operators.models import (
     AnomalyModel,
@@ -20,6 +21,7 @@ from ..operators.models import (
     train_anomaly,
     train_churn,
     train_fraud,
+    training_history,
 )
 from ..operators.profile import split_by_type
 from ..operators.sampling import sample_n, stratified_split
@@ -38,7 +40,7 @@ class Step:
     metrics: dict
     paths: dict
     extra: dict = field(default_factory=dict)
-    model: PipelineModel | AnomalyModel | None = None
+    model: PipelineModel | AnomalyModel | Autoencoder | None = None
 
 
 def _metrics(scored: DataFrame, score: str, threshold: float, out: str) -> tuple[dict, DataFrame]:
@@ -71,13 +73,18 @@ def supervised_step(model: PipelineModel, valid: DataFrame, out: str, threshold:
     return Step(metrics, {n: f"{out}/{n}" for n in names}, model=model)
 
 
-def anomaly_step(train: DataFrame, valid: DataFrame, columns: list[str], out: str, **options) -> Step:
-    model = train_anomaly(train, columns, **options)
+def anomaly_step(train: DataFrame, valid: DataFrame, columns: list[str], out: str, linear: bool = False, **options) -> Step:
+    """The neural autoencoder with its loss by epoch, or the linear one."""
+    model = (train_anomaly if linear else train_autoencoder)(train, columns, **options)
     scored = stage(model.score(valid), "anomaly-scores")
     metrics, _ = _metrics(scored, "reconstruction_error", model.threshold, out)
     write_csv_table(scored, f"{out}/validation_scores")
     model.save(f"{out}/model")
-    return Step(metrics, {n: f"{out}/{n}" for n in ("metrics", "validation_scores", "model")}, {"threshold": model.threshold}, model)
+    names = ["metrics", "validation_scores", "model"]
+    if not linear:
+        write_csv_table(training_history(model), f"{out}/training_history")
+        names.append("training_history")
+    return Step(metrics, {n: f"{out}/{n}" for n in names}, {"threshold": model.threshold}, model)
 
 
 def attribution_step(model: PipelineModel, table: DataFrame, out: str, sample: int = 5000) -> Step:
@@ -99,6 +106,7 @@ def run_training_pipeline(
     run_name: str = "fraud-train-pipeline",
     fraud_options: dict | None = None,
     churn_options: dict | None = None,
+    anomaly_options: dict | None = None,
     sample: int = 5000,
 ) -> dict[str, Step | None]:
     """(Refresh), validate, train fraud, anomaly and churn models, attribute, log, summarise.
@@ -119,7 +127,7 @@ def run_training_pipeline(
     steps: dict[str, Step | None] = {}
     model = train_fraud(train, columns, **(fraud_options or {}))
     steps["fraud"] = supervised_step(model, valid, f"{output_dir}/fraud/trees")
-    steps["anomaly"] = anomaly_step(train, valid, columns, f"{output_dir}/fraud/anomaly")
+    steps["anomaly"] = anomaly_step(train, valid, columns, f"{output_dir}/fraud/anomaly", **(anomaly_options or {}))
     steps["churn"] = None
     if not skip_churn:
         churn_train, churn_valid = _split(store, CHURN_FEATURES, "churn")

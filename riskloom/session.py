@@ -58,9 +58,10 @@ def staged_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/riskloom/{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage and survives the loss of executors.
 
+    With ``by`` there is a folder for each value of that column, so that a filter on it reads no others.
     Used where a costly table is read several times. The shuffle files of the write go when it has ended. The table
     stays until ``drop_staged`` is called or the cluster expires its checkpoint folder.
     """
@@ -69,7 +70,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEANUP_CONF, None)
     spark.conf.set(CLEANUP_CONF, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.unset(CLEANUP_CONF) if before is None else spark.conf.set(CLEANUP_CONF, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -78,7 +79,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def drop_staged(spark: SparkSession, *tables: DataFrame) -> bool:
     """Delete the given staged tables, or all that this application has staged. Nothing may read them any more."""
     root = f"{shared_dir(spark)}/riskloom/{spark.sparkContext.applicationId}"
-    paths = [f"{root}/{t.inputFiles()[0].split('/')[-2]}" for t in tables] if tables else [root]
+    paths = [f"{root}/{t.inputFiles()[0].split(root.split('/')[-1] + '/')[-1].split('/')[0]}" for t in tables] if tables else [root]
     jvm = spark._jvm
     targets = [jvm.org.apache.hadoop.fs.Path(path) for path in paths]
     return all([t.getFileSystem(spark._jsc.hadoopConfiguration()).delete(t, True) for t in targets])

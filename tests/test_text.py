@@ -164,34 +164,43 @@ def test_top_k_is_limited_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
-def test_blocks_below_the_threshold_are_not_scored(spark, monkeypatch):
+@pytest.mark.parametrize("size,k", [(8, 3), (8, 1), (64, 3), (1024, 5)])
+def test_pruned_search_equals_all_pairs(spark, monkeypatch, size, k):
     rng = np.random.default_rng(3)
     words = [f"word{i}" for i in range(400)]
     texts = [" ".join(rng.choice(words[40 * (i // 60) % 360 :][:60], 12)) for i in range(600)]
-    corpus = [("d", i, t) for i, t in enumerate(texts)]
-    index = se.build_term_index(spark.createDataFrame(corpus, "source string, chunk_no int, text string").coalesce(1))
-    asked = spark.createDataFrame([(i, texts[37 * i]) for i in range(15)], "query_id int, question string")
-    scored = []
-    whole = se.block_scores
-
-    def counted(*args):
-        found = se.stage(whole(*args), "counted")
-        scored.append(found.count())
-        return found
-
-    monkeypatch.setattr(se, "BLOCK_CHUNKS", 8)
-    monkeypatch.setattr(se, "block_scores", counted)
-    monkeypatch.setattr(se, "ROUND_GROWTH", 2)
-    for first, k in ((1, 3), (4, 1)):
-        scored.clear()
-        monkeypatch.setattr(se, "FIRST_BLOCKS", first)
-        small = se.build_term_index(spark.createDataFrame(corpus, "source string, chunk_no int, text string").coalesce(1))
-        got = sorted(map(tuple, se.tfidf_search(small, asked, "query_id", "question", k).collect()))
-        order = [F.desc("score"), F.desc("source"), F.desc("chunk_no")]
-        full = se.tfidf_scores(index, asked, "query_id", "question")
-        expected = se.top_k_per_query(full, ["query_id"], k, order).select("query_id", "rank", "source", "chunk_no", "score")
-        assert got == sorted(map(tuple, expected.collect()))
-        assert len(scored) > 1 if k == 3 else sum(scored) < full.count() / 2
+    texts[100:140] = [texts[100]] * 40
+    corpus = [(f"d{i % 7}", i, t) for i, t in enumerate(texts)]
+    monkeypatch.setattr(se, "BLOCK_CHUNKS", size)
+    index = se.build_term_index(spark.createDataFrame(corpus, "source string, chunk_no int, text string").coalesce(2))
+    asked = spark.createDataFrame([(i, texts[37 * i][:50]) for i in range(15)] + [(99, "unknown")], "query_id int, question string")
+    full = se.tfidf_scores(index, asked, "query_id", "question")
+    order = [F.desc("score"), F.desc("source"), F.desc("chunk_no")]
+    expected = se.top_k_per_query(full, ["query_id"], k, order).select("query_id", "rank", "source", "chunk_no", "score")
+    got = se.tfidf_search(index, asked, "query_id", "question", k)
+    assert sorted(map(tuple, got.where("score > 0").collect())) == sorted(map(tuple, expected.collect()))
+    assert got.where("query_id = 99").count() == k
+
+
+def test_blocks_below_the_threshold_are_passed_over():
+    rng = np.random.default_rng(4)
+    search = se.BlockSearch(np.array([0, 3, 3, 5]), np.array([0, 1, 2, 1, 7]), np.array([0.5, 0.4, 0.3, 0.9, 0.2]), 2)
+    sums, seen = np.zeros((3, 400)), []
+    for b in range(40):
+        strong = 1.0 if b in (3, 30) else 0.1
+        place, term = np.repeat(np.arange(10), 3), np.tile([0, 1, 7], 10)
+        impact = np.round(rng.uniform(0, strong, 30), 3)
+        for p, t, w in zip(place, term, impact):
+            for q in range(3):
+                for j in range(search.starts[q], search.starts[q + 1]):
+                    sums[q, 10 * b + p] += w * search.factors[j] * (search.terms[j] == t)
+        q, at, score = search.block(place, term, impact, 10)
+        seen += [(int(a), int(10 * b + c), float(s)) for a, c, s in zip(q, at, score)]
+    for q in (0, 2):
+        want = sorted(((-round(s, 10), i) for i, s in enumerate(sums[q])))[:2]
+        assert sorted((-s, i) for a, i, s in seen if a == q)[:2] == want
+    assert not [x for x in seen if x[0] == 1]
+    assert search.skipped > 60 and search.pairs < 0.3 * 40 * 10 * 4
 
 
 def test_vector_search_with_many_queries(spark, monkeypatch):
