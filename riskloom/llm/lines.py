@@ -24,7 +24,7 @@ from riskloom.session import stage
 from .common import SPACES, fresh, let, text_or_empty
 from .components import components
 
-SIZE = 12
+SIZE = 5
 #: Ids of candidate lines that are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -156,7 +156,7 @@ def line_classes(lines: DataFrame, similarity: float, size: int) -> DataFrame:
 
 
 def dropped_lines(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, bands: int = 8, rows: int = 3, size: int = SIZE
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, bands: int = 9, rows: int = 5, size: int = SIZE
 ) -> DataFrame:
     """``document`` (id and text hash) and ``drop``: the places, from 0, of lines whose class has an earlier line."""
     lines = stage(distinct_lines(docs, text, bands, rows, size), "lines")
