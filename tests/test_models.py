@@ -148,12 +148,47 @@ def shapley_by_orders(value, keep, met):
     return out / len(orders)
 
 
-def test_shapley_table_equals_brute_force():
-    keep, value = [0.3, 0.9, 0.05, 0.6], 1.7
-    table = at._shapley_table(value, keep)
-    for pattern in range(16):
-        met = [(pattern >> j) & 1 for j in range(4)]
-        np.testing.assert_allclose(table[pattern], shapley_by_orders(value, keep, met), atol=1e-12)
+def meets(x, kind, limit):
+    if kind == "le":
+        return bool(x <= limit)
+    return not x <= limit if kind == "gt" else (x in limit) == (kind == "in")
+
+
+@pytest.mark.parametrize("features", [1, 2, 5, 6])
+def test_path_attributions_equal_brute_force(features, monkeypatch):
+    rng = np.random.default_rng(features)
+    leaves = []
+    for _ in range(23):
+        tests = []
+        for f in [*rng.permutation(features)[: rng.integers(0, features + 1)], *rng.integers(0, features, 2)]:
+            kind = str(rng.choice(["le", "gt", "in", "out"]))
+            limit = rng.choice(4, rng.integers(1, 3), replace=False).astype(float).tolist() if kind in ("in", "out") else float(rng.integers(0, 4))
+            tests.append((int(f), float(rng.choice([0.0, 0.2, 0.7, 1.0])), (kind, limit)))
+        leaves.append((float(rng.normal()), tests))
+    x = rng.integers(0, 5, (40, features)).astype(float)
+    x[3, 0], x[4, 0], x[5, 0] = np.nan, -np.inf, np.inf
+    monkeypatch.setattr(at, "PATH_CELLS", 500)
+    out = np.zeros_like(x)
+    for paths in at.packed_paths(leaves):
+        paths.add(x, out)
+    for row in range(40):
+        expected = np.zeros(features)
+        for value, tests in leaves:
+            names = sorted({f for f, _, _ in tests})
+            if names:
+                keep = [np.prod([s for g, s, _ in tests if g == f]) for f in names]
+                met = [all(meets(x[row, g], *t) for g, _, t in tests if g == f) for f in names]
+                expected[names] += shapley_by_orders(value, keep, met)
+        np.testing.assert_allclose(out[row], expected, atol=1e-12)
+
+
+def test_paths_of_600_deep_trees_are_small():
+    import pickle
+
+    rng = np.random.default_rng(0)
+    tests = lambda: [(int(f), 0.5, ("le", float(rng.normal()))) for f in rng.integers(0, 30, 6)]
+    packed = at.packed_paths([(0.1, tests()) for _ in range(600 * 64)])
+    assert len(pickle.dumps(packed)) < 20e6
 
 
 def test_anomaly_query_takes_whole_vectors(spark, sf_dir):
