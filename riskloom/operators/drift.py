@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.bands import edges_at_or_below
 from ..functions.scalars import alert_list, alert_text
@@ -123,11 +124,14 @@ def psi(
     features = [*numeric, *categorical]
     edges = ordered.exact_quantiles(reference, numeric, linspace(0.0, 1.0, bins + 1), cuts=cuts) if numeric else {}
     tagged = both_sides(reference, current, features)
-    counts = _bin_counts(tagged, numeric_bins(edges), categorical)
+    return _psi_by_feature(_bin_counts(tagged, numeric_bins(edges), categorical), edges, features)
+
+
+def _psi_by_feature(counts: DataFrame, edges: Mapping[str, Sequence[float | None]], features: Sequence[str]) -> DataFrame:
     # Without an inner edge everything lies in one bin, and nothing can differ.
     flat = [f for f, q in edges.items() if not {e for e in q[1:-1] if e is not None}]
     value = F.when(F.col("feature").isin(flat) & F.col("psi").isNotNull(), F.lit(0.0)).otherwise(F.col("psi"))
-    names = reference.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    names = counts.sparkSession.createDataFrame([(f,) for f in features], "feature string")
     return names.join(_psi_sum(counts).withColumn("psi", value), "feature", "left")
 
 
@@ -155,7 +159,14 @@ def ks_two_sample(
     tagged = both_sides(reference, current, features)
     cuts = {f: cuts[f] for f in features} if cuts else ordered.cut_points(tagged, features)
     long = ordered.long_values(tagged, cuts, carry=[SIDE], numbered=True)
-    run = ordered.running_sums(long, {"r": F.count_if(F.col(SIDE) == REFERENCE), "c": F.count_if(F.col(SIDE) == CURRENT)}, by=["feature"])
+    found = _ks_by_feature(long, {"r": F.count_if(F.col(SIDE) == REFERENCE), "c": F.count_if(F.col(SIDE) == CURRENT)}, list(cuts))
+    names = reference.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    return names.join(found, "feature", "left")
+
+
+def _ks_by_feature(long: DataFrame, sums: Mapping[str, Column], features: Sequence[str]) -> DataFrame:
+    """Distance and p-value of numbered features from rows ``(feature, bucket, value)`` with the counts ``r`` and ``c``."""
+    run = ordered.running_sums(long, sums, by=["feature"])
     gap = F.abs(F.try_divide(F.col("run_r"), F.col("all_r")) - F.try_divide(F.col("run_c"), F.col("all_c")))
     varies = lambda side: F.min(F.when(F.col(side) > 0, F.col("value"))) < F.max(F.when(F.col(side) > 0, F.col("value")))
     by_feature = run.groupBy("feature").agg(
@@ -167,10 +178,8 @@ def ks_two_sample(
     )
     usable = (F.col("n") > 0) & (F.col("m") > 0) & (F.col("varies_r") | F.col("varies_c"))
     p_value = ks_p_value(F.col("d"), F.col("n").cast("double"), F.col("m").cast("double"))
-    name = F.element_at(F.array(*[F.lit(f) for f in cuts]), F.col("feature") + 1)
-    found = by_feature.where(usable).select(name.alias("feature"), F.col("d").alias("ks_statistic"), p_value.alias("ks_pvalue"))
-    names = reference.sparkSession.createDataFrame([(f,) for f in features], "feature string")
-    return names.join(found, "feature", "left")
+    name = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("feature") + 1)
+    return by_feature.where(usable).select(name.alias("feature"), F.col("d").alias("ks_statistic"), p_value.alias("ks_pvalue"))
 
 
 def feature_drift(
@@ -192,6 +201,10 @@ def feature_drift(
         result = result.join(F.broadcast(ks_two_sample(reference, current, numeric, cuts)), "feature", "left")
     else:
         result = result.withColumns({c: F.lit(None).cast("double") for c in ("ks_statistic", "ks_pvalue")})
+    return _with_alerts(result, psi_threshold, p_threshold)
+
+
+def _with_alerts(result: DataFrame, psi_threshold: float, p_threshold: float) -> DataFrame:
     result = result.withColumn("alerts", alert_list(F.col("psi"), F.col("ks_pvalue"), psi_threshold, p_threshold))
     return result.select(
         "feature", "psi", "ks_statistic", "ks_pvalue", "alerts",
@@ -199,6 +212,88 @@ def feature_drift(
     )
 
 
+@dataclass
+class StoredReference:
+    """What drift needs of a reference: its counts per distinct value and per bin, its edges, rows and times.
+
+    ``values (feature, bucket, value, n)`` are the numeric features by position with the buckets between ``cuts``; ``bins
+    (feature, bin, category, reference)`` are counts between the quantile ``edges`` and of the categories.
+    """
+
+    numeric: list[str]
+    categorical: list[str]
+    edges: dict[str, list[float | None]]
+    cuts: dict[str, list[float]]
+    metadata: DataFrame
+    values: DataFrame
+    bins: DataFrame
+
+    @property
+    def features(self) -> list[str]:
+        return [*self.numeric, *self.categorical]
+
+
+def store_reference(
+    reference: DataFrame, features: Sequence[str] | None, path: str, bins: int = 10, time_column: str = "event_time"
+) -> StoredReference:
+    """Write the counts of a reference once; ``load_reference`` gives them back, and the reference is not read again."""
+    names = list(features or reference.columns)
+    if reference.isEmpty():
+        raise ValueError("reference table is empty")
+    spark = reference.sparkSession
+    numeric = [f for f in names if f in split_by_type(reference.select(*names), exclude=())[0]]
+    categorical = [f for f in names if f not in numeric]
+    cuts = ordered.cut_points(reference, numeric) if numeric else {}
+    edges = ordered.exact_quantiles(reference, numeric, linspace(0.0, 1.0, bins + 1), cuts=cuts) if numeric else {}
+    if numeric:
+        values = ordered.long_values(reference.select(*numeric), cuts, numbered=True).groupBy("feature", "bucket", "value").agg(F.count(F.lit(1)).alias("n"))
+        values.write.mode("overwrite").parquet(f"{path}/values")
+    tagged = reference.select(*names, F.lit(REFERENCE).alias(SIDE))
+    _bin_counts(tagged, numeric_bins(edges), categorical).drop("current").write.mode("overwrite").parquet(f"{path}/bins")
+    side_metadata(reference, reference, time_column).where("side = 'reference'").write.mode("overwrite").parquet(f"{path}/metadata")
+    kinds = "numeric array<string>, categorical array<string>, edges map<string, array<double>>, cuts map<string, array<double>>"
+    spark.createDataFrame([(numeric, categorical, edges, cuts)], kinds).write.mode("overwrite").parquet(f"{path}/settings")
+    return load_reference(spark, path)
+
+
+def load_reference(spark: SparkSession, path: str) -> StoredReference:
+    kept = spark.read.parquet(f"{path}/settings").first()
+    none = "feature int, bucket int, value double, n long"
+    values = spark.read.parquet(f"{path}/values") if kept["numeric"] else spark.createDataFrame([], none)
+    return StoredReference(
+        list(kept["numeric"]), list(kept["categorical"]), dict(kept["edges"]), dict(kept["cuts"]),
+        spark.read.parquet(f"{path}/metadata"), values, spark.read.parquet(f"{path}/bins"),
+    )
+
+
+def drift_from_reference(
+    stored: StoredReference, current: DataFrame, psi_threshold: float = PSI_THRESHOLD, p_threshold: float = P_VALUE_THRESHOLD
+) -> DataFrame:
+    """``feature_drift`` against stored counts: the same rows, without reading the reference."""
+    missing = [f for f in stored.features if f not in current.columns]
+    if missing:
+        raise KeyError(f"features not present on both sides: {missing}")
+    if current.isEmpty():
+        raise ValueError("current table is empty")
+    changed = set(stored.numeric) - set(split_by_type(current.select(*stored.features), exclude=())[0])
+    if changed:
+        raise ValueError(f"numeric in the reference only: {sorted(changed)}")
+    tagged = current.select(*stored.features, F.lit(CURRENT).alias(SIDE))
+    now = _bin_counts(tagged, numeric_bins(stored.edges), stored.categorical)
+    zero = F.lit(0).cast("long")
+    both = stored.bins.withColumn("current", zero).unionByName(now.withColumn("reference", zero))
+    both = both.groupBy("feature", "bin", "category").agg(F.sum("reference").alias("reference"), F.sum("current").alias("current"))
+    result = _psi_by_feature(both, stored.edges, stored.features)
+    if stored.numeric:
+        mine = ordered.long_values(current.select(*stored.numeric), stored.cuts, numbered=True).select("feature", "bucket", "value", zero.alias("r"), F.lit(1).cast("long").alias("c"))
+        theirs = stored.values.select("feature", "bucket", "value", F.col("n").alias("r"), zero.alias("c"))
+        found = _ks_by_feature(theirs.unionByName(mine), {"r": F.sum("r"), "c": F.sum("c")}, stored.numeric)
+        result = result.join(F.broadcast(found), "feature", "left")
+    else:
+        result = result.withColumns({c: F.lit(None).cast("double") for c in ("ks_statistic", "ks_pvalue")})
+    return _with_alerts(result, psi_threshold, p_threshold)
+
+
 def performance_drift(
     baseline: DataFrame, current: DataFrame, tolerances: DataFrame | None = None, default: float = METRIC_TOLERANCE
 ) -> DataFrame:

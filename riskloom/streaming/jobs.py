@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import is_night, log_amount, time_hours
-from ..operators.drift import P_VALUE_THRESHOLD, PSI_THRESHOLD, feature_drift
+from ..operators.drift import P_VALUE_THRESHOLD, PSI_THRESHOLD, StoredReference, drift_from_reference, store_reference
 
 
 def class_rate(events: DataFrame, ts: str, positive: Column, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Positive rate per tumbling window; rows later than ``delay`` are dropped.
 
     Zone-free timestamps are cast, as a watermark needs an instant. In append mode a window appears
-    once the watermark has passed its end.
+    once the watermark has passed its end; ``write_windows`` gives the open ones as well.
     """
     return (
         events.withColumn("__ts", F.col(ts).cast("timestamp"))
@@ -29,6 +29,19 @@ def class_rate(events: DataFrame, ts: str, positive: Column, window: str = "1 da
     )
 
 
+def write_windows(rates: DataFrame, path: str, checkpoint: str, window: str = "window_start") -> StreamingQuery:
+    """Run windowed totals over what is there now; every window is there once, the last and still open ones too.
+
+    Windows that a batch has changed are written to a folder of their own start, in place of what was there, so that a
+    batch that is run again changes nothing.
+    """
+
+    def replace(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(window).parquet(path)
+
+    return rates.writeStream.foreachBatch(replace).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_features(events: DataFrame, amount: str, seconds: str) -> DataFrame:
     """Transaction features of each event, without state."""
     return events.withColumns({"amount_log": log_amount(amount), "time_hours": time_hours(seconds)}).withColumn(
@@ -46,7 +59,7 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
 
 def stream_drift(
     events: DataFrame,
-    reference: DataFrame,
+    reference: DataFrame | StoredReference,
     features: Sequence[str],
     path: str,
     checkpoint: str,
@@ -55,13 +68,15 @@ def stream_drift(
 ) -> StreamingQuery:
     """Drift of every micro-batch against a stored reference.
 
-    A batch writes to a folder of its own number, so a batch that is run again replaces its result.
+    The counts of a reference that is given as a table are written once, beside the stream's own checkpoint; no batch reads the
+    table. A batch writes to a folder of its own number, so a batch that is run again replaces its result.
     """
+    stored = reference if isinstance(reference, StoredReference) else store_reference(reference, features, f"{checkpoint}-reference")
 
     def report(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        feature_drift(reference, batch, features, psi_threshold, p_threshold).write.mode("overwrite").parquet(
+        drift_from_reference(stored, batch, psi_threshold, p_threshold).write.mode("overwrite").parquet(
             f"{path}/batch_id={batch_id}"
         )
 

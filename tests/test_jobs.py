@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom import __main__ as cli, session
+from riskloom.operators import drift
 from riskloom.operators.drift import feature_drift
 from riskloom.plans.training import run_training_pipeline
 from riskloom.sources import sinks
@@ -97,6 +98,43 @@ def test_class_rate(spark, stream):
     assert rows[0]["rate"] == 0.3
 
 
+def test_every_window_once(spark, stream, tmp_path):
+    _, df, path = stream
+    for i, day in enumerate((1, 2, 3)):
+        df.where(F.dayofmonth("ts") == day).coalesce(1).write.parquet(f"{path}/parts/{i}")
+    events = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{path}/parts")
+    rates = jobs.class_rate(events, "ts", F.col("kind") == "error", delay="10 days")
+    jobs.write_windows(rates, f"{path}/out", f"{path}/cp").awaitTermination()
+    rows = spark.read.parquet(f"{path}/out").orderBy("window_start").collect()
+    assert [(r["n"], r["positives"]) for r in rows] == [(10, 3), (10, 2), (10, 3)]
+
+
+def test_stream_drift_reads_the_reference_once(spark, stream):
+    _, df, path = stream
+    df.repartition(3, "id").write.parquet(f"{path}/parts")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    reference = df.where("id < 20").withColumn("value", counted("value"))
+    stored = drift.store_reference(reference, ["value", "kind", "id"], f"{path}/reference", time_column="ts")
+    before = seen.value
+    events = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/parts")
+    jobs.stream_drift(events, drift.load_reference(spark, f"{path}/reference"), [], f"{path}/out", f"{path}/cp").awaitTermination()
+    got = spark.read.parquet(f"{path}/out")
+    assert got.select("batch_id").distinct().count() == 3 and seen.value == before > 0
+    whole = drift.drift_from_reference(stored, df)
+    assert whole.exceptAll(feature_drift(df.where("id < 20"), df, ["value", "kind", "id"])).isEmpty() and whole.count() == 3
+    assert stored.metadata.first()["rows"] == 20
+    with pytest.raises(KeyError):
+        drift.drift_from_reference(stored, df.drop("kind"))
+    with pytest.raises(ValueError):
+        drift.drift_from_reference(stored, df.withColumn("value", F.col("kind")))
+
+
 def test_stream_features_equal_batch(spark, stream):
     events, df, path = stream
     jobs.write_stream(jobs.stream_features(events, "value", "id"), f"{path}/out", f"{path}/cp").awaitTermination()
