@@ -108,9 +108,20 @@ def metrics_json(spark, d):
 def run_log(spark, d):
     path = staged_path(spark, "runs")
     figures = table(spark, d, "orders").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("o_orderstatus") == "F").alias("closed")).first()
-    sinks.log_run(spark, path, "run-1", "orders", metrics=figures.asDict(), params={"status": "F"})
+    # A run that is repeated replaces its rows.
+    for metrics in ({"rows": 0, "closed": 0}, figures.asDict()):
+        sinks.log_run(spark, path, "run-1", "orders", metrics=metrics, params={"status": "F"})
     sinks.log_run(spark, path, "run-2", "orders", metrics={"rows": figures["rows"]}, artifacts={"table": "orders"})
-    return spark.read.parquet(path).select("run_id", "run_name", "kind", "key", "value")
+    return sinks.read_runs(spark, path).drop("ts")
+
+
+def published_table(spark, d):
+    """Orders published twice, the second time whole; readers get the current version."""
+    path = staged_path(spark, "published")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    sinks.publish(orders.where("o_orderstatus = 'F'"), path, ["o_orderstatus"])
+    sinks.publish(orders, path, ["o_orderstatus"])
+    return spark.read.parquet(sinks.published(spark, path))
 
 
 def document_files(spark, d):
@@ -239,6 +250,7 @@ QUERIES = {
     "predictions_csv": predictions_csv,
     "metrics_json": metrics_json,
     "run_log": run_log,
+    "published_table": published_table,
     "document_files": document_files,
     "unpack_features": unpack_features,
     "time_features": time_features,
@@ -273,6 +285,7 @@ SQL = {
         SELECT 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM events
         UNION ALL SELECT 'mean_value', round(avg(value), 6) FROM events
         UNION ALL SELECT 'max_value', max(value) FROM events""",
+    "published_table": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders",
     "run_log": """
         WITH c AS (SELECT CAST(count(*) AS VARCHAR) AS n, CAST(count(*) FILTER (o_orderstatus = 'F') AS VARCHAR) AS f FROM orders)
         SELECT 'run-1' AS run_id, 'orders' AS run_name, 'metric' AS kind, 'rows' AS key, n AS value FROM c

@@ -10,7 +10,7 @@ from ..operators.balance import balance_map, class_balance
 from ..operators.features import churn_features, clean_churn, clean_fraud, fraud_features, union_features
 from ..sources.readers import read_csv_table
 from ..sources.schemas import CHURN_RAW, FRAUD_RAW
-from ..sources.sinks import write_json_report, write_parquet
+from ..sources.sinks import publish, write_json_report, write_parquet
 
 # Where the raw files lie below the raw folder.
 CHURN_FILE = "bank_churn/Churn_Modelling.csv"
@@ -26,12 +26,16 @@ class StorePaths:
 
 
 def build_feature_store(
-    spark: SparkSession, raw_dir: str, processed_dir: str, store_path: str, report_path: str | None = None, typed: bool = False
+    spark: SparkSession, raw_dir: str, processed_dir: str, store_path: str, report_path: str | None = None, typed: bool = False,
+    versioned: bool = False,
 ) -> StorePaths:
     """Read the raw tables, write the cleaned tables, the store (by data set) and the balance report.
 
-    Each CSV is read once: features and balance are derived from the cleaned Parquet tables.
+    Each CSV is read once: features and balance are derived from the cleaned Parquet tables. A ``versioned`` store is
+    published: the old one stays readable until the new one is complete.
     """
+    if typed and versioned:
+        raise ValueError("a store of typed features has a folder per data set and cannot be published as one table")
     paths = StorePaths(
         f"{processed_dir}/bank_churn", f"{processed_dir}/creditcard_fraud", store_path, report_path or f"{processed_dir}/data_bias_report"
     )
@@ -43,7 +47,8 @@ def build_feature_store(
         write_parquet(churn_features(churn, typed=True), f"{store_path}/dataset=churn")
         write_parquet(fraud_features(fraud, typed=True), f"{store_path}/dataset=fraud")
     else:
-        write_parquet(union_features(churn_features(churn), fraud_features(fraud)), store_path, ["dataset"])
+        features = union_features(churn_features(churn), fraud_features(fraud))
+        (publish if versioned else write_parquet)(features, store_path, ["dataset"])
     write_json_report(balance_report(churn, fraud), paths.report)
     return paths
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .schemas import ANOMALY_SCORES, FEATURE_STORE, PREDICTIONS
+from .sinks import published
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -26,9 +27,10 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | None =
 def read_feature_store(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
     """The feature store; naming a data set reads only its partition, with the schema of its own files.
 
-    A missing path is an error. Features that are typed differ by data set, so name one to read them.
+    Of a published store the current version is read. A missing path is an error. Features that are typed differ by data set, so name one to read them.
     """
     _require(spark, path)
+    path = published(spark, path) or path
     own = f"{path.rstrip('/')}/dataset={dataset}"
     named = dataset is not None and path_exists(spark, own)
     store = spark.read.option("basePath", path).parquet(own) if named else spark.read.parquet(path)

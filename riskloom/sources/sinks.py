@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+POINTER = "_CURRENT"
+
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Replace a Parquet table; the feature store is partitioned by ``dataset``."""
@@ -13,6 +16,49 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def publish(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
+    """Write a new version of a table beside the old one, then point to it; ``published`` names the current one.
+
+    The pointer is replaced by one rename, after all files are there: a writer that is killed leaves the old version
+    readable, and a writer that runs again makes a version of its own. The version before the last one is kept for readers
+    that have begun with it; older ones and what killed writers have left go.
+    """
+    spark = df.sparkSession
+    jvm = spark._jvm
+    before = published(spark, path)
+    version = f"v-{uuid.uuid4().hex}"
+    writer = df.write
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/{version}")
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsc.hadoopConfiguration()
+    fs = root.getFileSystem(conf)
+    draft, pointer = (jvm.org.apache.hadoop.fs.Path(fs.makeQualified(root), name) for name in (f"_{version}", POINTER))
+    out = fs.create(draft, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    replace = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    replace[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), conf).rename(draft, pointer, replace)
+    kept = {version, before.rsplit("/", 1)[-1] if before else version}
+    for status in fs.listStatus(root):
+        if status.getPath().getName().startswith("v-") and status.getPath().getName() not in kept:
+            fs.delete(status.getPath(), True)
+    return f"{path}/{version}"
+
+
+def published(spark: SparkSession, path: str) -> str | None:
+    """The folder of the current version of a published table; none if ``path`` holds no such table."""
+    jvm = spark._jvm
+    pointer = jvm.org.apache.hadoop.fs.Path(path, POINTER)
+    fs = pointer.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    version = bytes(stream.readAllBytes()).decode()
+    stream.close()
+    return f"{path}/{version}"
+
+
 def write_json_report(df: DataFrame, path: str) -> None:
     """Replace a report, one JSON object per row; missing values are written as null."""
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
@@ -32,7 +78,10 @@ def log_run(
     params: Mapping[str, object] | None = None,
     artifacts: Mapping[str, str] | None = None,
 ) -> DataFrame | None:
-    """Append a run to a long table ``(run_id, run_name, ts, kind, key, value)``; nothing without a path."""
+    """Add a run to a long table ``(run_id, run_name, ts, kind, key, value)``; nothing without a path.
+
+    Each run has a folder of its own, which a run of the same id replaces: a job that is run again is logged once.
+    """
     if not path:
         return None
     rows = [
@@ -45,5 +94,11 @@ def log_run(
         .withColumn("ts", F.current_timestamp())
         .select("run_id", "run_name", "ts", "kind", "key", "value")
     )
-    table.write.mode("append").parquet(path)
+    replace = table.withColumn("run", F.concat(F.lit("run-"), "run_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    replace.partitionBy("run").parquet(path)
     return table
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """All logged runs."""
+    return spark.read.parquet(path).select("run_id", "run_name", "ts", "kind", "key", "value")

@@ -173,7 +173,26 @@ def test_metrics_documents_and_log(spark, tmp_path):
     assert sinks.log_run(spark, None, "r", "n") is None
     sinks.log_run(spark, log, "r1", "n", metrics={"auc": 0.5}, params={"k": 1}, artifacts={"model": "/m"})
     sinks.log_run(spark, log, "r2", "n", metrics={"auc": 0.6})
-    assert spark.read.parquet(log).groupBy("run_id").count().count() == 2
+    sinks.log_run(spark, log, "r1", "n", metrics={"auc": 0.7})
+    runs = {(r["run_id"], r["kind"], r["key"]): r["value"] for r in sinks.read_runs(spark, log).collect()}
+    assert runs == {("r1", "metric", "auc"): "0.7", ("r2", "metric", "auc"): "0.6"}
+
+
+def test_published_versions(spark, tmp_path):
+    path = str(tmp_path / "table")
+    assert sinks.published(spark, path) is None
+    first = sinks.publish(spark.range(3).withColumn("dataset", F.lit("a")), path, ["dataset"])
+    broken = spark.range(4).select(F.when(F.col("id") == 3, F.raise_error(F.lit("killed")).cast("long")).otherwise(F.col("id")).alias("id"), F.lit("a").alias("dataset"))
+    with pytest.raises(Exception, match="killed"):
+        sinks.publish(broken, path, ["dataset"])
+    # The old version is still the current one.
+    assert sinks.published(spark, path) == first and spark.read.parquet(first).count() == 3
+    second = sinks.publish(spark.range(5).withColumn("dataset", F.lit("b")), path, ["dataset"])
+    third = sinks.publish(spark.range(6).withColumn("dataset", F.lit("b")), path, ["dataset"])
+    assert sinks.published(spark, path) == third and spark.read.parquet(third).count() == 6
+    # The version before and the current one are kept, what the killed writer left is gone.
+    assert sorted(p.name for p in (tmp_path / "table").glob("v-*")) == sorted(p.rsplit("/", 1)[-1] for p in (second, third))
+    assert readers.read_feature_store(spark, path, "b").count() == 6
 
 
 def test_csv_inference(spark, tmp_path):
