@@ -109,7 +109,7 @@ def profile_any(spark, d):
 
 def density(spark, d):
     rows = table(spark, d, "events").withColumn("label", is_error())
-    out = pr.density_by_class(rows, ["value"], "label", grid=50, bins=256)
+    out = pr.density_by_class(rows, ["value"], "label", grid=50)
     return out.select("feature", "label", "position", F.round("x", 5).alias("x"), F.round("density", 8).alias("density"))
 
 
@@ -270,13 +270,10 @@ SQL = {
     "density_by_class": """
         WITH r AS (SELECT CAST(event_type = 'error' AS INTEGER) AS label, value AS v FROM events),
         s AS (SELECT label, count(*) AS n, stddev_samp(v) * pow(count(*), -0.2) AS bw, min(v) AS lo, max(v) AS hi FROM r GROUP BY label),
-        c AS (SELECT label, least(floor((v - lo) / (hi - lo) * 256), 255) AS cell, count(*) AS c, avg(v) AS centre, any_value(n) AS n,
-                     any_value(bw) AS bw, any_value(lo) AS lo, any_value(hi) AS hi
-              FROM r JOIN s USING (label) GROUP BY 1, 2),
-        g AS (SELECT *, lo - 3 * bw + (hi - lo + 6 * bw) * i / 49 AS x FROM c, range(50) t(i))
+        g AS (SELECT *, lo - 3 * bw + (hi - lo + 6 * bw) * i / 49 AS x FROM s, range(50) t(i))
         SELECT 'value' AS feature, label, CAST(i AS INTEGER) AS position, round(any_value(x), 5) AS x,
-               round(sum(c * exp(-pow((x - centre) / bw, 2) / 2)) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 8) AS density
-        FROM g GROUP BY label, i""",
+               round(sum(exp(-pow((x - v) / bw, 2) / 2)) / (any_value(n) * any_value(bw) * sqrt(2 * pi())), 8) AS density
+        FROM g JOIN r USING (label) GROUP BY label, i""",
     "qcut_bands": f"SELECT entity_id, probability, segment FROM ({SEGMENT_SQL})",
     "segment_summary": f"""
         SELECT segment, count(*) AS customers, round(avg(label), 6) AS churn_rate, round(avg("IsActiveMember"), 6) AS active_share,
