@@ -156,7 +156,7 @@ def line_classes(lines: DataFrame, similarity: float, size: int) -> DataFrame:
 
 
 def dropped_lines(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, bands: int = 12, rows: int = 4, size: int = SIZE
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = 0.8, bands: int = 12, rows: int = 5, size: int = SIZE
 ) -> DataFrame:
     """``document`` (id and text hash) and ``drop``: the places, from 0, of lines whose class has an earlier line."""
     lines = stage(distinct_lines(docs, text, bands, rows, size), "lines")
