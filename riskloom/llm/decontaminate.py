@@ -9,7 +9,8 @@ answer is an item's last sentence or line, the question what comes before it.
 
 Passages are ``2 * longest`` words and overlap by half, so an item of up to ``longest`` words lies whole in one. The
 index is broadcast in parts of at most ``part_items`` items; more items make more passes, joined per text without moving
-texts. Null or empty texts have no passage; items without words match nothing; equal items are all reported.
+texts. Null or empty texts have no passage; items without words match nothing; equal items are all reported. Blocks are
+dense rows of weights, not lists of postings with a pivot: a passage adds up the rows of its words for the blocks that are open.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from riskloom.session import stage
+
 _WORD = re.compile(r"\w+")
 _END = re.compile(r"(?<=[.!?])\s+|\n")
 
@@ -30,7 +33,7 @@ _END = re.compile(r"(?<=[.!?])\s+|\n")
 class Item:
     """A test item: its id and the shingles of question and answer."""
 
-    id: int
+    id: int | None
     question: frozenset[tuple[str, ...]]
     answer: frozenset[tuple[str, ...]]
 
@@ -66,10 +69,20 @@ def parts(text: str) -> tuple[str, str]:
     return " ".join(sentences[:-1]), sentences[-1]
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items: how many have words, their mean length, and in how many each word is."""
+
+    n: int
+    length: float
+    held: dict[str, int]
+
+
 def build_index(
-    items: list[tuple[int, str]], passage: int, size: int = 5, block: int = 16, k1: float = 1.2, b: float = 0.75
+    items: list[tuple[int | None, str]], passage: int, size: int = 5, block: int = 16, k1: float = 1.2, b: float = 0.75,
+    whole: Statistics | None = None,
 ) -> Index:
-    """Index of the items that have words."""
+    """Index of the items that have words; ``whole`` has the statistics of all items where these are a part."""
     split = [(i, t, tokens(t)) for i, t in items if t and _WORD.search(t)]
     words: dict[str, int] = {}
     for _, _, ws in split:
@@ -80,10 +93,14 @@ def build_index(
     for k, (_, _, ws) in enumerate(split):
         for w in ws:
             counts[words[w], k] += 1
-    held = (counts > 0).sum(axis=1, keepdims=True)
-    idf = np.log(1 + (n - held + 0.5) / (held + 0.5))
     lengths = counts.sum(axis=0)
-    scaled = k1 * (1 - b + b * lengths / max(lengths.mean(), 1.0)) if n else lengths
+    held = (counts > 0).sum(axis=1, keepdims=True)
+    total, mean = n, lengths.mean() if n else 1.0
+    if whole is not None:
+        held[:-1, 0] = [whole.held[w] for w in words]
+        total, mean = whole.n, whole.length
+    idf = np.log(1 + (total - held + 0.5) / (held + 0.5))
+    scaled = k1 * (1 - b + b * lengths / max(mean, 1.0))
     weights = idf * counts * (k1 + 1) / (counts + scaled) if n else counts
     weights = (weights / weights.sum(axis=0)).astype(np.float32) if n else weights.astype(np.float32)
     tops = np.stack([weights[:, k : k + block].max(axis=1) for k in range(0, n, block)], axis=1) if n else weights[:, :0]
@@ -131,7 +148,7 @@ def inspect(text: str, index: Index, threshold: float, overlap: float, size: int
                 for part in (item.question, item.answer)
             ):
                 verified.add(item.id)
-    return len(range(0, max(len(words) - step, 1), step)), retrieved, sorted(verified)
+    return len(range(0, max(len(words) - step, 1), step)), retrieved, sorted(verified, key=lambda i: (i is None, i or 0))
 
 
 def _of(by_size: dict[int, frozenset], words: list[str], start: int, end: int, size: int) -> frozenset:
@@ -152,19 +169,30 @@ def contaminated(
     size: int = 5,
     part_items: int = 500,
 ) -> DataFrame:
-    """``docs`` with a struct ``into``: ``n_passages``, ``n_retrieved`` and ``items``, the ids verified in the text."""
+    """``docs`` with a struct ``into``: ``n_passages``, ``n_retrieved`` and ``items``, the ids verified in the text.
+
+    Items without an id are searched as well and reported as null. Word frequencies, item count and mean length are taken
+    over all items, so an item's score does not depend on the part it is in. A column that is named ``into`` is replaced.
+    """
     spark = docs.sparkSession
-    # Items come to the driver a part at a time, by a dense number in order of id and text.
+    # Items come to the driver a part at a time, with the frequencies of their own words.
     pairs = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).distinct()
-    length = F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "[^\\p{L}\\p{N}_]+"))
-    stats = pairs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(length), F.lit(0)).alias("longest")).first()
-    n_parts = max(1, -(-stats.n // part_items))
-    passage = max(128, 2 * stats.longest)
-    part = F.pmod(F.xxhash64("id", "text"), F.lit(n_parts))
+    pairs = stage(pairs.withColumn("words", F.pandas_udf(_tokened, "array<string>")(F.coalesce("text", F.lit("")))).filter(F.size("words") > 0), "items")
+    seen = pairs.agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("length"), F.coalesce(F.max(F.size("words")), F.lit(0)).alias("longest")
+    ).first()
+    each = pairs.select("id", "text", F.explode(F.array_distinct("words")).alias("word"))
+    held = each.groupBy("word").agg(F.count(F.lit(1)).alias("held"))
+    counted = each.join(held, "word").groupBy("id", "text").agg(F.collect_list(F.struct("word", "held")).alias("words"))
+    n_parts = max(1, -(-seen.n // part_items))
+    passage = max(128, 2 * seen.longest)
+    counted = stage(counted.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(n_parts))), "counted-items")
     columns = []
     for k in range(n_parts):
-        rows = sorted(((r.id, r.text or "") for r in pairs.filter(part == k).collect() if r.id is not None))
-        columns.append(_judge(spark, build_index(rows, passage, size), threshold, overlap, size)(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+        rows = sorted(counted.filter(F.col("part") == k).collect(), key=lambda r: (r.id is None, r.id or 0, r.text))
+        whole = Statistics(seen.n, seen.length or 1.0, {w.word: w.held for r in rows for w in r.words})
+        index = build_index([(r.id, r.text) for r in rows], passage, size, whole=whole)
+        columns.append(_judge(spark, index, threshold, overlap, size)(F.coalesce(F.col(text).cast("string"), F.lit(""))))
     if len(columns) == 1:
         return docs.withColumn(into, columns[0])
     found = F.array(*columns)
@@ -175,6 +203,10 @@ def contaminated(
     ))
 
 
+def _tokened(texts: pd.Series) -> pd.Series:
+    return texts.map(tokens)
+
+
 def _judge(spark, index: Index, threshold: float, overlap: float, size: int):
     shared = spark.sparkContext.broadcast(index)
 

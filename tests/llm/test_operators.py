@@ -1,7 +1,9 @@
 """The training-data operators on small tables with nulls, empty texts, ties, repeats and clashing names."""
 
 import hashlib
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +111,54 @@ def test_decontamination(spark, docs):
     assert list(split.leak["items"]) == [7]
 
 
+def plain_leaks(texts, items, passage, threshold=0.7, overlap=0.8, size=5, k1=1.2, b=0.75):
+    """Retrieved pairs and verified ids of every text, by scoring every passage against every item."""
+    worded = [(i, t, decontaminate.tokens(t or "")) for i, t in sorted(set(items), key=str)]
+    worded = [x for x in worded if x[2]]
+    mean = sum(len(w) for _, _, w in worded) / len(worded)
+    held = Counter(w for _, _, ws in worded for w in set(ws))
+    out = []
+    for text in texts:
+        words, retrieved, verified = decontaminate.tokens(text or ""), 0, set()
+        for start in range(0, max(len(words) - passage // 2, 1), passage // 2) if words else ():
+            mine = words[start : start + passage]
+            for i, t, ws in worded:
+                tf = Counter(ws)
+                weigh = lambda w: math.log(1 + (len(worded) - held[w] + 0.5) / (held[w] + 0.5)) * tf[w] * (k1 + 1) / (tf[w] + k1 * (1 - b + b * len(ws) / mean))  # noqa: E731,B023
+                if sum(weigh(w) for w in set(mine) & set(ws)) / sum(weigh(w) for w in set(ws)) < threshold - 1e-5:
+                    continue
+                retrieved += 1
+                shares = []
+                for part in decontaminate.parts(t):
+                    wanted = decontaminate.shingles(decontaminate.tokens(part), size)
+                    have = {tuple(mine[k : k + len(s)]) for s in wanted for k in range(len(mine))}
+                    shares.append(sum(s in have for s in wanted) / len(wanted) if wanted else 1.0)
+                if min(shares) >= overlap:
+                    verified.add(i)
+        out.append((retrieved, sorted(verified, key=lambda i: (i is None, i or 0))))
+    return out
+
+
+@pytest.mark.parametrize("part_items", [500, 9])
+def test_decontamination_against_every_pair(spark, part_items):
+    rng = random.Random(8)
+    words = [f"w{int(rng.paretovariate(0.7)) % 400}" for _ in range(4000)]
+    take = lambda n: " ".join(words[(a := rng.randrange(3900)) : a + n])
+    items = [(k, f"{take(rng.randrange(4, 12))}? {take(rng.randrange(3, 9))}.") for k in range(40)]
+    items += [(None, f"{take(9)}? {take(6)}."), (None, None), (41, ""), items[3], (77, items[3][1])]
+    texts = []
+    for _ in range(30):
+        held = [t for _, t in rng.sample(items[:41], 2)]
+        texts.append(" ".join([take(rng.randrange(0, 200)), held[0], take(30), " ".join(held[1].split()[:-1]), take(90)]))
+    texts += [items[40][1], None, "", items[3][1].upper()]
+    judged = decontaminate.contaminated(
+        spark.createDataFrame(rows(*texts), SCHEMA), spark.createDataFrame(items, "item_id long, text string"), part_items=part_items
+    )
+    got = {r.doc_id: (r.leak.n_retrieved, list(r.leak["items"])) for r in judged.collect()}
+    assert [got[k + 1] for k in range(len(texts))] == plain_leaks(texts, items, 128)
+    assert got[31][1] == [None] and {3, 77} <= set(got[34][1])
+
+
 def test_retrieval_skips_no_block():
     rng = random.Random(5)
     words = [f"w{k}" for k in range(60)]
