@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import HASH_BITS, HASH_SPAN, key_hash
 from ..session import stage
@@ -69,8 +69,8 @@ def sample_n(
 ) -> DataFrame:
     """Exactly ``n`` rows by smallest hash (all rows when there are fewer, or an error if ``strict``).
 
-    Rows are compared with the hash of rank n. Only rows that tie at that hash (copies of its key) are
-    put in order, by keys and content, to fill the sample to the row.
+    Rows are compared with the hash of rank n. Rows that tie at that hash (copies of its key) are compared by a hash of
+    their content in the same way, and equal rows are counted, to fill the sample to the row.
     """
     if strict:
         have = df.count()
@@ -81,10 +81,27 @@ def sample_n(
 
 
 def _first_by_hash(df: DataFrame, hashed: Column, n: int, keys: Sequence[str]) -> DataFrame:
+    """The ``n`` rows of smallest hash; of rows that tie, those of smallest content hash, and copies by their number.
+
+    Ties are cut by counts per bucket like the hashes themselves: a key that holds a third of the rows is neither sorted
+    nor brought to one task.
+    """
     limit = F.lit(hash_thresholds(df, [], hashed, HASH_BITS, {(): n})[()])
     below = df.where(hashed < limit)
     need = max(0, n - below.count())
-    return below.unionAll(df.where(hashed == limit).orderBy(*keys, F.xxhash64(*df.columns)).limit(need))
+    if not need:
+        return below
+    ties = df.where(hashed == limit)
+    content = F.shiftrightunsigned(F.xxhash64(*df.columns), 64 - HASH_BITS)
+    second = F.lit(hash_thresholds(ties, [], content, HASH_BITS, {(): need})[()])
+    first = ties.where(content < second)
+    need = max(0, need - first.count())
+    # What ties in both hashes is one row and its copies: they are counted and unfolded.
+    equal = ties.where(content == second).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    before = Window.orderBy(*keys, F.xxhash64(F.lit(1), *df.columns)).rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.least(F.col("__copies"), F.lit(need) - F.coalesce(F.sum("__copies").over(before), F.lit(0)))
+    copies = equal.withColumn("__taken", taken).where("__taken > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__taken"))))
+    return below.unionAll(first).unionAll(copies.select(*df.columns))
 
 
 def sample_fraction(

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +101,15 @@ def test_perturb(spark):
     shown = lambda d: d.select("id", F.round("x", 8), F.round("c", 8))
     assert shown(noisy).exceptAll(shown(again)).isEmpty()
     assert sc.perturb_numeric(df, ["x"], ["id"], 0.0) is df
+
+
+def test_a_key_of_most_rows_is_cut_by_counts(spark):
+    rows = [(1, i) for i in range(1500)] + [(1, -1)] * 700 + [(i, 0) for i in range(2, 300)]
+    df = spark.createDataFrame(rows, "k int, x int").repartition(5)
+    for n in (1, 400, 1600, 2100, 2400):
+        got = sa.sample_n(df, n, ["k"])
+        plan = plan_of(got, "simple")
+        assert "rangepartitioning" not in plan and "TakeOrdered" not in plan and "GlobalLimit" not in plan
+        kept = Counter(map(tuple, got.collect()))
+        assert sum(kept.values()) == n and not kept - Counter(rows)
+        assert Counter(map(tuple, sa.sample_n(df.coalesce(1), n, ["k"]).collect())) == kept
