@@ -39,6 +39,15 @@ def _listing(df: DataFrame, column: str, allowed: Sequence, quote: bool) -> Data
     return first.withColumn("k", count).select("k", F.concat(F.lit("["), names, more, F.lit("]")).alias("listing"))
 
 
+def stray_values(df: DataFrame, datasets: Sequence[str] = DATASETS, labels: Sequence[int] = LABELS) -> DataFrame:
+    """Every unexpected value of the store's checks ``(check, value, n)``, of which the report's lines show the first."""
+    parts = [
+        unexpected_values(df, column, allowed).select(F.lit(f"{column}_values_valid").alias("check"), F.col(column).cast("string").alias("value"), "n")
+        for column, allowed in (("dataset", datasets), ("label", labels))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def validate_feature_store(df: DataFrame, datasets: Sequence[str] = DATASETS, labels: Sequence[int] = LABELS) -> DataFrame:
     """The seven checks of a feature store as rows ``(position, name, success, details)``.
 

@@ -25,7 +25,7 @@ from ..operators.models import (
 )
 from ..operators.profile import split_by_type
 from ..operators.sampling import sample_n, stratified_split
-from ..operators.validate import require_valid, validate_feature_store
+from ..operators.validate import require_valid, stray_values, validate_feature_store
 from ..session import stage
 from ..sources.readers import read_feature_store, select_dataset
 from ..sources.schemas import CHURN_FEATURES, FRAUD_FEATURES
@@ -120,6 +120,7 @@ def run_training_pipeline(
     if validate:
         report = stage(validate_feature_store(store), "validation")
         write_json_report(report, f"{output_dir}/validation")
+        write_csv_table(stray_values(store), f"{output_dir}/validation_strays")
         require_valid(report)
 
     train, valid = _split(store, FRAUD_FEATURES, "fraud")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from helpers import plan_of
 from riskloom.operators import attribution as at
 from riskloom.operators import evaluate as ev
 from riskloom.operators import models as mo
@@ -85,6 +86,19 @@ def test_encode_categories(spark):
     assert {r["g"]: r["g_code"] for r in mo.encode_categories(df, ["g"]).collect()} == {"a": 0.0, "b": 1.0, None: 2.0}
 
 
+def test_codes_of_many_categories(spark, monkeypatch):
+    monkeypatch.setattr(mo, "SENT_VALUES", 5)
+    rng = np.random.default_rng(2)
+    names = [f"é{i}" if i % 2 else f"n{i}" for i in rng.permutation(300)]
+    rows = [(i, names[0] if i % 3 == 0 else names[int(rng.integers(0, 300))], int(rng.integers(0, 4))) for i in range(2000)] + [(-1, None, None)]
+    df = spark.createDataFrame(rows, "i int, g string, h int").repartition(6)
+    got = {r["i"]: r for r in mo.encode_categories(df, ["g", "h"]).collect()}
+    order = {v: k for k, v in enumerate(sorted({g for _, g, _ in rows if g}, key=lambda v: v.encode()))}
+    assert len(got) == 2001 and all(got[i]["g_code"] == order.get(g, len(order)) and got[i]["h_code"] == (4 if h is None else h) for i, g, h in rows)
+    table = mo.category_table(df, "g")
+    assert {r["value"]: r["code"] for r in table.collect()} == order and "StringIndexer" not in plan_of(table, "simple")
+
+
 def test_anomaly_equals_numpy(spark, tmp_path):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(500, 2)) @ rng.normal(size=(2, 5)) + 0.1 * rng.normal(size=(500, 5))

@@ -133,6 +133,8 @@ def test_long_listings_stay_short(spark):
     df = spark.range(100).select(F.col("id").cast("string").alias("entity_id"), F.concat(F.lit("d"), "id").alias("dataset"), F.lit("{}").alias("features"), F.lit(0).alias("label"))
     details = {r["name"]: r["details"] for r in va.validate_feature_store(df).collect()}["dataset_values_valid"]
     assert details.endswith("80 more]") and va.unexpected_values(df, "dataset", va.DATASETS).count() == 100
+    strays = va.stray_values(df).where("check = 'dataset_values_valid'")
+    assert strays.columns == ["check", "value", "n"] and strays.count() == 100
 
 
 def test_require_valid(spark):
