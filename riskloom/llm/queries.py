@@ -176,15 +176,34 @@ def _places_sql(name: str, pattern: str) -> str:
               FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS ps FROM t))))"""
 
 
+def _inner_sql(name: str, source: str, pattern: str, between: bool) -> str:
+    """The matches of a pattern inside the strings ``m`` at ``s`` of ``source``, or what lies between them."""
+    pattern = pattern.replace("'", "''")
+    pieces = f"string_split_regex(m, '{pattern}')"
+    found = f"regexp_extract_all(m, '{pattern}')"
+    # Piece k follows match k - 1.
+    lists = f"{pieces} AS ps, list_prepend('', {found}) AS ms" if between else f"{found} AS ps, {pieces} AS ms"
+    end = "CAST(sum(length(p) + length(b)) OVER (PARTITION BY doc_id, s ORDER BY k) AS INTEGER)"
+    return f"""
+{name} AS (
+  SELECT doc_id, p AS m, s + {end} - length(p) AS s
+  FROM (SELECT doc_id, s, unnest(ps) AS p, unnest(ms[:len(ps)]) AS b, generate_subscripts(ps, 1) AS k FROM (SELECT doc_id, s, {lists} FROM {source})))"""
+
+
 def _entropy_sql(group: secrets.CharClass, rank: int) -> str:
-    wanted = [f"NOT regexp_matches(m, '{group.excludes}')"]
-    wanted += [f"regexp_matches(m, '{p}')" for p in group.needs] + [f"NOT regexp_matches(m, '{p}')" for p in secrets.ALLOWED]
+    wanted = [f"NOT regexp_matches(m, '{group.excludes}')"] + [f"regexp_matches(m, '{p}')" for p in group.needs]
     w = group.window
     return f"""
       SELECT doc_id, '{group.kind}' AS kind, {rank} AS r, min(s + o) AS s, max(s + o) + {w} AS e FROM (
-        SELECT doc_id, s, n, o, map_values(list_histogram(string_split(substr(m, CAST(o + 1 AS BIGINT), {w}), ''))) AS cs
-        FROM (SELECT *, unnest(range(0, length(m) - {w} + 1)) AS o FROM candidates WHERE {" AND ".join(wanted)}))
-      WHERE log2({w}) - list_sum(list_transform(cs, lambda c: c * log2(c))) / {w} >= {group.threshold} GROUP BY doc_id, s, n"""
+        SELECT doc_id, s, o, map_values(list_histogram(string_split(substr(m, CAST(o + 1 AS BIGINT), {w}), ''))) AS cs
+        FROM (SELECT *, unnest(range(0, length(m) - {w} + 1)) AS o FROM {group.kind}_parts WHERE {" AND ".join(wanted)}))
+      WHERE log2({w}) - list_sum(list_transform(cs, lambda c: c * log2(c))) / {w} >= {group.threshold} GROUP BY doc_id, s"""
+
+
+def _parts_sql(group: secrets.CharClass) -> str:
+    if group.run:
+        return _inner_sql(f"{group.kind}_parts", "parts", group.run, between=False)
+    return f"{group.kind}_parts AS (SELECT * FROM parts)"
 
 
 OP10_SQL = (
@@ -192,6 +211,9 @@ OP10_SQL = (
     + ", ".join(_places_sql(k.kind, k.pattern) for k in secrets.KNOWN)
     + ", "
     + _places_sql("candidates", secrets.CLASSES[0].pattern)
+    + ", "
+    + _inner_sql("parts", "candidates", "|".join(f"(?:{p})" for p in secrets.ALLOWED), between=True)
+    + "".join(", " + _parts_sql(c) for c in secrets.CLASSES)
     + ", base AS ("
     + " UNION ALL ".join(
         f"SELECT doc_id, '{k.kind}' AS kind, {r} AS r, s, s + length(m) AS e FROM {k.kind}"

@@ -1,5 +1,7 @@
 """The pipeline against plain versions of its stages, and the registered queries against their SQL."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -24,6 +26,30 @@ def test_queries_against_their_sql(spark, sf_dir, name):
     assert sorted(map(tuple, got)) == sorted(sql.fetchall())
 
 
+def test_secrets_inside_longer_strings_against_their_sql(spark, tmp_path):
+    rng = random.Random(6)
+    pick = lambda letters, n: "".join(rng.choices(letters, k=n))
+    low, high = "0123456789abcdef", "0123456789ABCDEF"
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = [None, "", "no secrets here", "é漢 " + "0x" + pick(high, 40), "key-" + pick(high, 32) + "-end", "id_" + pick(low, 32)]
+    texts += [f"url/{pick(base64, 30)}example{pick(base64, 44)}", pick(base64, 64) + "00000000" + pick(base64, 12), "EXAMPLE" * 5]
+    for _ in range(120):
+        words = []
+        for _ in range(rng.randrange(1, 6)):
+            parts = [pick(rng.choice([low, high, base64, "ab1", "Zz_-/"]), rng.randrange(1, 50)) for _ in range(rng.randrange(1, 4))]
+            words.append(rng.choice(["", "-", "example", "0123456789", "xxxxxxxx", "_PlaceHolder/"]).join(parts))
+        texts.append(rng.choice([" ", "\n", "; ", " password= "]).join(words))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = con.execute(queries.SQL["op10_secret_scan"])
+    names = [d[0] for d in sql.description]
+    got = sorted(map(tuple, queries.QUERIES["op10_secret_scan"](spark, str(tmp_path)).select(names).collect()))
+    assert got == sorted(sql.fetchall())
+    spans = {r[names.index("doc_id")]: r[names.index("spans")] for r in got}
+    assert "entropy_hex:5:45" in spans[3] and "entropy_hex:4:36" in spans[4] and sum("entropy_base64" in v for v in spans.values()) > 20
+
+
 def roots(n, near):
     """Least member of each component."""
     root = list(range(n))
