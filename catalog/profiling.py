@@ -94,7 +94,7 @@ def skew_rank(spark, d):
 
 def missing_share(spark, d):
     # Only some documents have labels.
-    rows = table(spark, d, "documents").drop("text").join(table(spark, d, "labels"), "doc_id", "left")
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
     return rounded(pr.missing_share(rows), ["share"])
 
 
@@ -103,7 +103,7 @@ def correlation(spark, d):
 
 
 def profile_any(spark, d):
-    out = pr.profile_any(table(spark, d, "orders"), ["o_totalprice", "o_orderstatus", "o_orderpriority"])
+    out = pr.profile_any(table(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderdate", "o_orderpriority"])
     return rounded(out, ["mean", "std", "min", "p25", "p50", "p75", "max"], 4)
 
 
@@ -186,7 +186,7 @@ def _any_sql(source: str, numeric: list[str], other: list[str], digits: int) ->
         parts.append(
             f"""SELECT '{c}' AS feature, CAST(sum(n) AS BIGINT) AS count, NULL AS mean, NULL AS std, NULL AS min, NULL AS p25, NULL AS p50,
                 NULL AS p75, NULL AS max, count(*) AS "unique", first(v ORDER BY n DESC, v) AS top, max(n) AS freq
-                FROM (SELECT "{c}" AS v, count(*) AS n FROM ({source}) WHERE "{c}" IS NOT NULL GROUP BY 1)"""
+                FROM (SELECT CAST("{c}" AS VARCHAR) AS v, count(*) AS n FROM ({source}) WHERE "{c}" IS NOT NULL GROUP BY 1)"""
         )
     return " UNION ALL ".join(parts)
 
@@ -258,6 +258,7 @@ SQL = {
         WITH c AS (SELECT d.*, quality, toxic FROM documents d LEFT JOIN labels USING (doc_id))
         SELECT * FROM (
           SELECT 'doc_id' AS feature, round(1 - count(doc_id) / count(*), 6) AS share FROM c
+          UNION ALL SELECT 'text', round(1 - count(text) / count(*), 6) FROM c
           UNION ALL SELECT 'lang', round(1 - count(lang) / count(*), 6) FROM c
           UNION ALL SELECT 'source', round(1 - count(source) / count(*), 6) FROM c
           UNION ALL SELECT 'n_chars', round(1 - count(n_chars) / count(*), 6) FROM c
@@ -266,7 +267,7 @@ SQL = {
     "correlation_matrix": " UNION ALL ".join(
         f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for a in LINE_COLUMNS for b in LINE_COLUMNS
     ),
-    "profile_any": _any_sql("SELECT * FROM orders", ["o_totalprice"], ["o_orderstatus", "o_orderpriority"], 4),
+    "profile_any": _any_sql("SELECT * FROM orders", ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderdate", "o_orderpriority"], 4),
     "density_by_class": """
         WITH r AS (SELECT CAST(event_type = 'error' AS INTEGER) AS label, value AS v FROM events),
         s AS (SELECT label, count(*) AS n, stddev_samp(v) * pow(count(*), -0.2) AS bw, min(v) AS lo, max(v) AS hi FROM r GROUP BY label),

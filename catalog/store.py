@@ -146,8 +146,7 @@ def time_features(spark, d):
 
 
 def row_id(spark, d):
-    keys = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
-    return ft.row_id(keys, out="row_id", hash_name="md5")
+    return ft.row_id(table(spark, d, "lineitem"), out="row_id", hash_name="md5")
 
 
 def category_codes(spark, d):
@@ -265,6 +264,10 @@ QUERIES = {
     "validate_raw": validate_raw,
 }
 
+LINE_ITEM = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+    "l_linestatus", "l_shipdate",
+]
 SQL = {
     "clean_churn": f"SELECT * REPLACE (round(balance_salary_ratio, 6) AS balance_salary_ratio) FROM ({CLEAN_CHURN_SQL})",
     "feature_store_churn": f"""
@@ -302,9 +305,8 @@ SQL = {
         SELECT transaction_id, round(amount_log, 6) AS amount_log, time_hours, is_night, CAST(time_hours % 24 AS INTEGER) AS hour_of_day,
                CAST(time_hours % 24 < 6 AS INTEGER) AS night_hour
         FROM ({CLEAN_FRAUD_SQL})""",
-    "row_id": """
-        SELECT l_orderkey, l_linenumber, md5(concat_ws('|', l_orderkey, l_linenumber)) || '-' ||
-               (row_number() OVER (PARTITION BY l_orderkey, l_linenumber) - 1) AS row_id
+    "row_id": f"""
+        SELECT *, md5({" || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in LINE_ITEM)}) || '-' || (row_number() OVER (PARTITION BY {", ".join(LINE_ITEM)}) - 1) AS row_id
         FROM lineitem""",
     "category_codes": """
         WITH c AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS code FROM customer GROUP BY 1)
