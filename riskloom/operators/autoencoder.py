@@ -189,7 +189,7 @@ def batch_gradient(packs: DataFrame, size: int, weights: Sequence[np.ndarray]) -
             yield _sum_batch(total, loss)
 
     sums = packs.select("counts", "flat").mapInArrow(of, _SUM)
-    if packs.rdd.getNumPartitions() > SUMS:
+    if int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions")) > SUMS:
         sums = sums.repartition(SUMS).mapInArrow(_added, _SUM)
     table = next(_added(sums.toArrow().to_batches()))
     return table["total"][0].values.to_numpy() / _UNITS, table["loss"][0].as_py() / _UNITS

@@ -42,7 +42,10 @@ def test_query_equals_sql(spark, sf_dir, con, name):
 def test_registry():
     assert set(SQL) <= set(QUERIES)
     without = set(QUERIES) - set(SQL)
-    assert without == {"fraud_model", "feature_importance", "training_history", "churn_model", "anomaly_model", "tree_attribution", "training_pipeline"}
+    assert without == {
+        "fraud_model", "feature_importance", "training_history", "churn_model", "anomaly_model", "neural_anomaly_model", "neural_anomaly_history",
+        "tree_attribution", "training_pipeline",
+    }
 
 
 def test_entry(spark, sf_dir):
