@@ -127,7 +127,7 @@ def published_table(spark, d):
 def document_files(spark, d):
     path = staged_path(spark, "documents")
     # One file per document, as in a folder of notes.
-    table(spark, d, "documents").select("text").write.option("maxRecordsPerFile", 1).text(path)
+    sinks.write_documents(table(spark, d, "documents").select("text"), path)
     files = readers.read_documents(spark, path, pattern="*.txt")
     return files.groupBy(F.md5("text").alias("content_md5"), F.length("text").cast("long").alias("n_chars")).agg(F.count(F.lit(1)).alias("files"))
 

@@ -200,3 +200,18 @@ def test_published_versions(spark, tmp_path):
 def test_csv_inference(spark, tmp_path):
     sinks.write_csv_table(spark.createDataFrame([(1, "a", 2.5)], "i int, s string, d double"), str(tmp_path / "t"))
     assert readers.read_csv_table(spark, str(tmp_path / "t")).dtypes == [("i", "int"), ("s", "string"), ("d", "double")]
+
+
+def test_many_documents(spark, tmp_path, monkeypatch):
+    texts = spark.range(1500).select(F.when(F.col("id") != 7, F.concat(F.lit("note é\n"), (F.col("id") % 1400).cast("string"))).alias("text")).repartition(3)
+    sinks.write_documents(texts, str(tmp_path / "own"))
+    found = readers.read_documents(spark, str(tmp_path / "own"), pattern="*.txt")
+    # One row per file, read by few tasks; files are written without checksums and are not listed from one folder.
+    assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert found.count() == 1500 and not list((tmp_path / "own").rglob("*.crc"))
+    written = texts.select(F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("text"))
+    assert found.select("text").exceptAll(written).isEmpty() and written.exceptAll(found.select("text")).isEmpty()
+    # A store that is not mounted takes the same files from Spark's writer.
+    monkeypatch.setattr(sinks, "_mounted", lambda spark, path: None)
+    sinks.write_documents(texts.limit(20), str(tmp_path / "other"))
+    assert readers.read_documents(spark, str(tmp_path / "other"), pattern="*.txt").count() == 20
