@@ -98,3 +98,23 @@ def test_equal_rows_are_one_row_with_a_count(table, spark):
     row = mo.scaled_row(columns, [0.0] * 8, [1.0] * 8)
     packs, sizes = ae.pack(df.where("entity_id between 300 and 319").select(row.alias("x")))
     assert sizes == [20] and [list(r.counts) for r in packs.collect()] == [[20.0]]
+
+
+def test_the_driver_is_sent_one_packed_gradient(table, spark, monkeypatch):
+    df, columns, _, _ = table
+    whole = np.array([0, 1, -1, 2**61, -(2**61), -(2**63), 2**63 - 1, 12345, -98765])
+    assert (ae.received(ae.sent(whole), len(whole)) == whole).all()
+    monkeypatch.setattr(ae, "PACK_ROWS", 16)
+    monkeypatch.setattr(ae, "TASK_ROWS", 100)
+    row = mo.scaled_row(columns, [0.0] * 8, [1.0] * 8)
+    packs, sizes = ae.pack(df.where("label = 0").select(row.alias("x")))
+    weights = ae.initial_weights(8)
+    seen = []
+    monkeypatch.setattr(ae, "received", lambda data, size, plain=ae.received: (seen.append((len(data), size)), plain(data, size))[1])
+    many = ae.batch_gradient(packs, sizes[0], weights)
+    parameters = sum(w.size for w in weights)
+    # Slices of one gradient and the error, in fewer than eight bytes each, from any number of tasks.
+    assert len(seen) == ae.SUMS and sum(n for _, n in seen) == parameters + 1 and sum(b for b, _ in seen) < 6.5 * parameters
+    monkeypatch.setattr(ae, "TASK_ROWS", 10_000)
+    one = ae.batch_gradient(packs, sizes[0], weights)
+    assert len(seen) == ae.SUMS + 1 and (many[0] == one[0]).all() and many[1] == one[1]
