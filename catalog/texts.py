@@ -9,6 +9,7 @@ from riskloom.operators import prompts as pt
 from riskloom.operators import search as se
 from riskloom.operators import text as tx
 from riskloom.plans.assistant import answer, retrieve
+from riskloom.session import stage
 
 from .tables import table
 
@@ -47,8 +48,8 @@ def chunks(spark, d):
 
 def term_counts(spark, d):
     # As the index does: chunks are spread by their own key and counted where they are.
-    spread = _chunks(spark, d).repartition("source", "chunk_no")
-    return tx.term_counts(spread, ["source", "chunk_no"], "text")
+    chunks = stage(_chunks(spark, d), "chunks")
+    return tx.term_counts(tx.spread(chunks, "text", ["source", "chunk_no"]), ["source", "chunk_no"], "text")
 
 
 def tfidf_weights(spark, d):

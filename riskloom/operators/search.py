@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.stopwords import ENGLISH
 from ..session import stage
-from .text import term_counts
+from .text import spread, term_counts
 
 CHUNK = ["source", "chunk_no"]
 DEFAULT_K = 4
@@ -114,7 +114,7 @@ def build_term_index(chunks: DataFrame, stop_words: Sequence[str] = ENGLISH) ->
     texts, after which a chunk's terms are counted where they are.
     """
     chunks = stage(chunks.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK_CHUNKS)), "chunks")
-    postings = stage(term_counts(chunks.repartition("block"), ["block", *CHUNK], "text", stop_words), "postings")
+    postings = stage(term_counts(spread(chunks, "text", ["block"]), ["block", *CHUNK], "text", stop_words), "postings")
     n = chunks.count()
     idf = stage(
         postings.groupBy("term")

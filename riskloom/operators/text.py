@@ -17,6 +17,8 @@ BLANKS = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 WORD = r"(?U)\b\w\w+\b"
+# Characters of a task that counts terms: their counts, some 20 times as large, are in its memory.
+TASK_CHARS = 4_000_000
 EMPTY_TEXT = "No documentation available. Respond with general project guidance."
 EMPTY_SOURCE = "<empty>"
 
@@ -96,10 +98,19 @@ def tokens(text: Column, stop_words: Sequence[str] = ENGLISH) -> Column:
     return F.filter(words, lambda w: ~w.isin(list(stop_words)))
 
 
+def spread(df: DataFrame, text: str, by: Sequence[str]) -> DataFrame:
+    """The rows dealt out by some columns to tasks of about ``TASK_CHARS`` characters, however many tasks that makes.
+
+    Without the number, adaptive execution would make a task of up to 64 MB of packed texts.
+    """
+    chars = df.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0
+    return df.repartition(max(1, -(-chars // TASK_CHARS)), *by)
+
+
 def term_counts(df: DataFrame, keys: Sequence[str], text: str, stop_words: Sequence[str] = ENGLISH) -> DataFrame:
     """Occurrences per term ``(*keys, term, tf)``.
 
-    Terms are summed map-side. Where the keys are unique, as for chunks, ``df.repartition(*keys)`` before
+    Terms are summed map-side. Where the keys are unique, as for chunks, ``spread(df, text, keys)`` before
     it moves each text once instead of its terms and spares the shuffle of the counts.
     """
     return (

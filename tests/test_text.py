@@ -288,3 +288,16 @@ def test_answers(spark):
     assert plain.endswith("investigation is required.")
     with pytest.raises(ValueError):
         answer(index, questions.withColumn("question", F.lit("  ")))
+
+
+def test_tasks_that_count_terms_are_bounded(spark, monkeypatch):
+    """Adaptive execution may not put more texts into a task than TASK_CHARS says."""
+    monkeypatch.setattr(tx, "TASK_CHARS", 5_000)
+    rows = spark.range(200).select(F.col("id").alias("source"), F.lit(0).alias("chunk_no"), F.repeat(F.lit("riskier word "), 20).alias("text"))
+    spread = tx.spread(rows, "text", ["source", "chunk_no"])
+    sizes = spread.groupBy(F.spark_partition_id()).agg(F.sum(F.length("text")).alias("n")).collect()
+    assert spread.rdd.getNumPartitions() == 11 and max(r.n for r in sizes) < 20_000
+    counts = tx.term_counts(spread, ["source", "chunk_no"], "text")
+    assert counts.count() == 400 and counts.where("tf <> 20").isEmpty()
+    assert "hashpartitioning(source" in counts._jdf.queryExecution().executedPlan().toString()
+    assert tx.spread(rows.limit(0), "text", ["source"]).count() == 0
