@@ -8,7 +8,8 @@ Similarity is the exact Jaccard coefficient of the sets of hashes.
 A bucket is not expanded into all pairs. Its most frequent line is the pivot and is compared with every member. Members
 found in one component need no more; two members of different components are compared unless an exact bound parts them:
 their sizes, the triangle inequality of the Jaccard distance over their distances to the pivot, or the parities of their
-sets. So every link between components of one bucket is found.
+sets, whose 2,048 bits leave little but links and pairs just short of one. So every link between components of one bucket
+is found.
 Components are closed by contraction (``components``); of each, the first line (least document id, then place) stays.
 
 Lines without a word always stay and are never compared. Null and empty texts have no lines to drop. Documents that share
@@ -17,9 +18,12 @@ id and text are one document here: each keeps what the first keeps. Null ids com
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskloom.session import stage
+from riskloom.session import drop_staged, stage
 
 from .common import SPACES, fresh, let, text_or_empty
 from .components import components
@@ -27,6 +31,8 @@ from .components import components
 SIZE = 5
 #: Ids of candidate lines that are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Words of 64 bits in the parity of a set of shingles, a power of two.
+PARITY_WORDS = 32
 
 
 def _shingle_hashes(line: Column, size: int) -> Column:
@@ -71,7 +77,7 @@ def _name(line: Column) -> list[Column]:
 
 def _hashes(line: Column, size: int) -> Column:
     """The set of a line's shingles, as sorted 64-bit hashes."""
-    return F.sort_array(F.array_distinct(_shingle_hashes(line, size)))
+    return F.array_distinct(F.sort_array(_shingle_hashes(line, size)))
 
 
 def _band_keys(lines: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -102,54 +108,75 @@ def distinct_lines(docs: DataFrame, text: str, bands: int, rows: int, size: int)
     return signed.select(F.monotonically_increasing_id().alias("id"), *_name(F.col("line")), "n", "size", "keys", "line")
 
 
-def _parity(set_: str, words: int = 4) -> list[Column]:
-    """64 bits each: whether an odd number of the hashes fall on the bit. Sets that differ in d hashes differ in at most d bits."""
-    fold = "aggregate(filter({0}, x -> (shiftright(x, 6) & {2}) = {1}), 0L, (p, x) -> p ^ shiftleft(1L, CAST(x & 63 AS INT)))"
-    return [F.expr(fold.format(set_, k, words - 1)).alias(f"p{k}") for k in range(words)]
+def _parities(lines: DataFrame, size: int) -> DataFrame:
+    """``id`` and ``PARITY_WORDS`` words of 64 bits: whether an odd number of the hashes fall on the bit.
+
+    Sets that differ in d hashes differ in at most d bits, and in few less than d while d is far below the number of bits.
+    """
+    each = lines.select("id", F.explode(_hashes(F.col("line"), size)).alias("x"))
+    word = F.expr(f"CAST(shiftright(x, 6) & {PARITY_WORDS - 1} AS INT)").alias("word")
+    words_ = each.groupBy("id", word).agg(F.expr("bit_xor(shiftleft(1L, CAST(x & 63 AS INT)))").alias("bits"))
+    in_place = [F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0).cast("long")) for k in range(PARITY_WORDS)]
+    return words_.groupBy("id").agg(*[c.alias(f"p{k}") for k, c in enumerate(in_place)])
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """``a``, ``b`` and their Jaccard coefficient ``j``. Lines travel, not their sets, which are several times as long."""
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
-    both = both.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    both = both.select("a", "b", _hashes(F.col("x"), size).alias("x"), _hashes(F.col("y"), size).alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("j"))
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("size").alias("m")), "a")
+    both = both.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("size").alias("n")), "b")
+    common = F.size(F.array_intersect(_shingle_hashes(F.col("x"), size), _shingle_hashes(F.col("y"), size)))
+    both = both.select("a", "b", "m", "n", common.alias("common"))
+    return both.select("a", "b", (F.col("common") / (F.col("m") + F.col("n") - F.col("common"))).alias("j"))
 
 
-def line_classes(lines: DataFrame, similarity: float, size: int) -> DataFrame:
-    """``id`` and ``root`` of the lines that are near another line; ``lines`` as ``distinct_lines`` gives them, stored."""
+def candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of the buckets of two lines and more, and ``id``, ``line`` and ``size`` of these lines.
+
+    A member has ``key``, ``id``, ``size``, the bucket's ``pivot`` and its ``span`` (size), and ``held`` members with it.
+    """
     keyed = lines.select("id", "n", "size", F.explode("keys").alias("key"))
-    pivot = F.min(F.struct(-F.col("n"), "id"))["id"]
+    pivot = F.min(F.struct(-F.col("n"), "id", "size"))
     buckets = keyed.groupBy("key").agg(pivot.alias("pivot"), F.count(F.lit(1)).alias("held")).filter("held > 1")
-    members = stage(keyed.join(buckets, "key").select("key", "id", "size", "pivot", "held"), "members")
+    # Stored first, so that the shuffles of the count and of the join are not on disk together.
+    buckets = stage(buckets.select("key", F.col("pivot.id").alias("pivot"), F.col("pivot.size").alias("span"), "held"), "buckets")
+    members = stage(keyed.drop("n").join(buckets, "key"), "members")
+    drop_staged(lines.sparkSession, buckets)
 
     ids = stage(members.select("id").distinct(), "candidates")
     picked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = stage(lines.select("id", "line").join(picked, "id"), "texts")
+    return members, stage(lines.select("id", "line", "size").join(picked, "id"), "texts")
+
 
-    stars = members.filter("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+def line_classes(members: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
+    """``id`` and ``root`` of the lines that are near another line, from ``candidates``."""
+    # A pivot whose size alone parts it from a member is not compared with it: such a member has no distance ``j``.
+    alike = F.least("size", "span") >= similarity * F.greatest("size", "span") - 1e-9
+    stars = members.filter("id != pivot").filter(alike).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     judged = stage(_similar(stars, texts, size), "stars")
     links = judged.filter(F.col("j") >= similarity).select("a", "b")
     first = components(links)
 
     # Members of a bucket that the pivot left in different components, unless a bound parts them: their sizes, their
     # distances to the pivot, or the bits in which their parities differ (each takes a shingle that only one of them has).
-    wide = members.filter("held > 2 AND id != pivot").withColumnsRenamed({"pivot": "a", "id": "b"}).join(judged, ["a", "b"])
+    # Members outside the bucket's largest component meet all members; those inside it do not meet each other.
+    wide = members.filter("held > 2 AND id != pivot").withColumnsRenamed({"pivot": "a", "id": "b"}).join(judged, ["a", "b"], "left")
     placed = wide.join(first.withColumnRenamed("node", "b"), "b", "left")
-    placed = placed.select("key", "b", "size", "j", F.coalesce("root", "b").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    placed = stage(placed.join(mixed, "key"), "mixed")
-    sets = texts.join(placed.select(F.col("b").alias("id")).distinct(), "id").select("id", _hashes(F.col("line"), size).alias("set"))
-    bits = _parity("set")
-    placed = stage(placed.join(sets.select(F.col("id").alias("b"), *bits), "b"), "placed")
-    again = {"b": "a", "size": "sized", "j": "i", "root": "top"} | {f"p{k}": f"q{k}" for k in range(len(bits))}
-    apart = placed.join(placed.withColumnsRenamed(again), "key").filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("top")))
+    placed = stage(placed.select("key", "b", "size", "j", F.coalesce("root", "b").alias("root")), "placed")
+    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts"))
+    mixed = stage(placed.join(parts.filter("parts > 1").select("key", "main"), "key"), "mixed")
+    bits = [f"p{k}" for k in range(PARITY_WORDS)]
+    sets = _parities(texts.join(mixed.select(F.col("b").alias("id")).distinct(), "id"), size)
+    mixed = stage(mixed.join(sets.withColumnRenamed("id", "b"), "b"), "parities")
+    again = {"b": "a", "size": "sized", "j": "i", "root": "top"} | {p: f"q{p}" for p in bits}
+    apart = mixed.filter("root != main").join(mixed.drop("main").withColumnsRenamed(again), "key")
+    apart = apart.filter((F.col("root") != F.col("top")) & ((F.col("top") == F.col("main")) | (F.col("a") < F.col("b"))))
     apart = apart.filter(F.least("size", "sized") >= similarity * F.greatest("size", "sized"))
-    apart = apart.filter(F.abs(F.col("i") - F.col("j")) <= 1 - similarity + 1e-9)
-    differ = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}"))) for k in range(1, len(bits))), F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))))
+    apart = apart.filter(F.coalesce(F.abs(F.col("i") - F.col("j")), F.lit(0.0)) <= 1 - similarity + 1e-9)
+    differ = reduce(add, [F.bit_count(F.col(p).bitwiseXOR(F.col(f"q{p}"))) for p in bits])
     apart = apart.filter(differ <= (F.col("size") + F.col("sized")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
-    more = stage(_similar(apart.select("a", "b").distinct(), texts, size), "more").filter(F.col("j") >= similarity).select("a", "b")
+    apart = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = stage(_similar(apart, texts, size), "more").filter(F.col("j") >= similarity).select("a", "b")
     if more.isEmpty():
         return first
     return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
@@ -160,8 +187,11 @@ def dropped_lines(
 ) -> DataFrame:
     """``document`` (id and text hash) and ``drop``: the places, from 0, of lines whose class has an earlier line."""
     lines = stage(distinct_lines(docs, text, bands, rows, size), "lines")
-    classes = line_classes(lines, similarity, size).withColumnRenamed("node", "id")
-    joined = lines.select("id", "h", "g", "n").join(classes, "id", "left")
+    members, texts = candidates(lines)
+    names = stage(lines.select("id", "h", "g", "n"), "names")
+    drop_staged(docs.sparkSession, lines)
+    classes = line_classes(members, texts, similarity, size).withColumnRenamed("node", "id")
+    joined = names.join(classes, "id", "left")
     repeated = joined.filter("n > 1 OR root IS NOT NULL").select("h", "g", F.coalesce("root", "id").alias("root"))
 
     each = docs.select(

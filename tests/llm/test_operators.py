@@ -291,6 +291,32 @@ def test_line_dedup_against_brute_force(spark):
     assert {(int(r.document.split(":")[0]), p) for r in drops for p in r.drop} == expected
 
 
+def test_line_dedup_compares_few_pairs_of_a_large_bucket(spark, monkeypatch):
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    core = letters(1000)
+
+    def edited(n):
+        at = rng.randrange(len(core) - n)
+        return core[:at] + letters(n) + core[at + n :]
+
+    # Near the core, and too far from it and from all others, but in buckets with them.
+    near, far = [edited(70) for _ in range(40)], [edited(170) for _ in range(40)]
+    compared = {}
+
+    def counted(df, name):
+        out = stage(df, name)
+        compared[name] = out.count()
+        return out
+
+    stage = lines.stage
+    monkeypatch.setattr(lines, "stage", counted)
+    drops = lines.dropped_lines(spark.createDataFrame(rows(core, core, core, *near, *far), SCHEMA)).collect()
+    dropped = {int(r.document.split(":")[0]) for r in drops}
+    assert {2, 3} <= dropped <= set(range(2, 44)) and len(dropped) > 38
+    assert compared["mixed"] > 100 and compared["more"] <= len(near)
+
+
 def test_main_text_keeps_both_sides_of_skipped_parts():
     first, second = ("First half of the text. " * 9).strip(), ("And the second half of it. " * 3).strip()
     for part in ("<div class=ad>Buy</div>", "<form>Mail</form>", "<script>x</script>", "<iframe></iframe>", "<button>a</button>" * 3):
