@@ -19,7 +19,7 @@ id and text are one document here: each keeps what the first keeps. Null ids com
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -38,9 +38,11 @@ PARITY_WORDS = 32
 def _shingle_hashes(line: Column, size: int) -> Column:
     """Hashes of the runs of ``size`` characters; white space of any kind counts as a space.
 
-    Four bytes a character, so that a run is cut out of a line without a walk over the characters before it.
+    Four bytes a character, so that a run is cut out of a line without a walk over the characters before it. ``translate``
+    looks each character up, so that only lines with other white space than spaces go through it.
     """
-    flat = F.translate(line, SPACES[1:], " " * (len(SPACES) - 1))
+    odd = reduce(or_, [F.contains(line, F.lit(c)) for c in SPACES[1:]])
+    flat = F.when(odd, F.translate(line, SPACES[1:], " " * (len(SPACES) - 1))).otherwise(line)
 
     def runs(wide: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length(wide) - (4 * size - 1), F.lit(1)), F.lit(4))
@@ -113,7 +115,9 @@ def _parities(lines: DataFrame, size: int) -> DataFrame:
 
     Sets that differ in d hashes differ in at most d bits, and in few less than d while d is far below the number of bits.
     """
-    each = lines.select("id", F.explode(_hashes(F.col("line"), size)).alias("x"))
+    # The sets are a column first: ``explode`` of a longer expression is not compiled with what follows it.
+    sets = lines.select("id", F.array_distinct(_shingle_hashes(F.col("line"), size)).alias("set"))
+    each = sets.select("id", F.explode("set").alias("x"))
     word = F.expr(f"CAST(shiftright(x, 6) & {PARITY_WORDS - 1} AS INT)").alias("word")
     words_ = each.groupBy("id", word).agg(F.expr("bit_xor(shiftleft(1L, CAST(x & 63 AS INT)))").alias("bits"))
     in_place = [F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0).cast("long")) for k in range(PARITY_WORDS)]
@@ -135,12 +139,15 @@ def candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     A member has ``key``, ``id``, ``size``, the bucket's ``pivot`` and its ``span`` (size), and ``held`` members with it.
     """
     keyed = lines.select("id", "n", "size", F.explode("keys").alias("key"))
-    pivot = F.min(F.struct(-F.col("n"), "id", "size"))
-    buckets = keyed.groupBy("key").agg(pivot.alias("pivot"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     # Stored first, so that the shuffles of the count and of the join are not on disk together.
-    buckets = stage(buckets.select("key", F.col("pivot.id").alias("pivot"), F.col("pivot.size").alias("span"), "held"), "buckets")
-    members = stage(keyed.drop("n").join(buckets, "key"), "members")
-    drop_staged(lines.sparkSession, buckets)
+    buckets = stage(buckets, "buckets")
+    held = stage(keyed.join(buckets, "key"), "held")
+    # The pivots are looked for among the few lines that share a bucket, not among all.
+    pivots = held.groupBy("key").agg(F.min(F.struct(-F.col("n"), "id", "size")).alias("pivot"))
+    pivots = pivots.select("key", F.col("pivot.id").alias("pivot"), F.col("pivot.size").alias("span"))
+    members = stage(held.drop("n").join(pivots, "key").select("key", "id", "size", "pivot", "span", "held"), "members")
+    drop_staged(lines.sparkSession, buckets, held)
 
     ids = stage(members.select("id").distinct(), "candidates")
     picked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

@@ -317,6 +317,14 @@ def test_line_dedup_compares_few_pairs_of_a_large_bucket(spark, monkeypatch):
     assert compared["mixed"] > 100 and compared["more"] <= len(near)
 
 
+def test_line_parities_explode_a_column(spark):
+    few = spark.createDataFrame([(1, "a first line"), (2, "a\tfirst line")], "id long, line string")
+    parities = lines._parities(few, lines.SIZE)
+    assert "Generate explode(set#" in parities._jdf.queryExecution().optimizedPlan().toString()
+    first, second = (r[1:] for r in parities.collect())
+    assert first == second and any(first)
+
+
 def test_main_text_keeps_both_sides_of_skipped_parts():
     first, second = ("First half of the text. " * 9).strip(), ("And the second half of it. " * 3).strip()
     for part in ("<div class=ad>Buy</div>", "<form>Mail</form>", "<script>x</script>", "<iframe></iframe>", "<button>a</button>" * 3):
