@@ -86,7 +86,8 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     right = index.select("at", "rest", F.col("side").alias("other"), F.col("f").alias("b"))
     ordered = (F.col("side").isNull() & (F.col("a") < F.col("b"))) | ((F.col("side") == 0) & (F.col("other") == 1))
     same = [left[c] == right[c] for c in ("at", "rest")]
-    return left.join(right, [*same, ordered & near]).select("a", "b")
+    # Spark takes the keys of all segments for as large as the fingerprints, and would broadcast them.
+    return left.join(right.hint("merge"), [*same, ordered & near]).select("a", "b")
 
 
 def _classes(prints: DataFrame, distance: int) -> DataFrame:

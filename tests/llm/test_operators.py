@@ -1,9 +1,11 @@
 """The training-data operators on small tables with nulls, empty texts, ties, repeats and clashing names."""
 
 import hashlib
+import io
 import math
 import random
 from collections import Counter
+from contextlib import redirect_stdout
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +69,13 @@ def test_simhash_links_against_all_pairs(spark):
     assert {frozenset(p) for p in found} == expected
 
 
+def test_simhash_keys_are_not_broadcast(spark, tmp_path):
+    spark.range(1000).select(F.xxhash64("id").alias("f")).write.parquet(str(tmp_path / "prints"))
+    with redirect_stdout(io.StringIO()) as plan:
+        simhash.links(spark.read.parquet(str(tmp_path / "prints"))).explain("formatted")
+    assert "SortMergeJoin" in plan.getvalue() and "Broadcast" not in plan.getvalue()
+
+
 def test_line_dedup(spark):
     long = "one line that is long enough to hold a good number of different shingles " + " ".join(f"word{k} and{k}" for k in range(20))
     near = long.replace("good", "fair")
