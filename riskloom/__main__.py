@@ -41,7 +41,7 @@ def _parser() -> argparse.ArgumentParser:
     job.add_argument("--skip-churn", action="store_true")
     job.add_argument("--skip-validation", action="store_true")
     job.add_argument("--rounds", type=int, default=600)
-    job.add_argument("--sample-size", type=int, default=5000, help="rows for the attribution")
+    job.add_argument("--sample-size", type=int, help="rows for the attribution; all without it")
 
     job = jobs.add_parser("evaluate", help="sweep, calibration and curve of a CSV of scores")
     job.add_argument("--scores", required=True)

@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from riskloom import __main__ as cli, session
 from riskloom.operators import drift
+from riskloom.operators.attribution import mean_abs_attribution, tree_attribution
 from riskloom.operators.drift import feature_drift
-from riskloom.plans.training import run_training_pipeline
+from riskloom.operators.models import train_fraud
+from riskloom.plans.training import attribution_step, run_training_pipeline
 from riskloom.sources import sinks
 from riskloom.sources.schemas import ANOMALY_SCORES, CHURN_RAW, FRAUD_RAW
 from riskloom.streaming import jobs
@@ -52,6 +54,16 @@ def test_training_pipeline(spark, raw, tmp_path):
     assert again["churn"] is None and again["fraud"].metrics == pytest.approx(steps["fraud"].metrics)
 
 
+def test_attribution_reads_every_row(spark, tmp_path):
+    n = 5600
+    rows = spark.range(n).select(F.col("id").alias("entity_id"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 7 > 3).cast("int").alias("label"))
+    model = train_fraud(rows, ["x"], rounds=1, depth=2)
+    step = attribution_step(model, rows, str(tmp_path))
+    whole = mean_abs_attribution(tree_attribution(model, rows), ["x"]).first()["mean_abs_shap"]
+    assert step.extra["sample_size"] == n
+    assert float(spark.read.option("header", True).csv(step.paths["importance"]).first()["mean_abs_shap"]) == pytest.approx(whole)
+
+
 def test_command_line(spark, raw, tmp_path):
     out = str(tmp_path)
     store = f"{out}/store"
