@@ -215,3 +215,19 @@ def test_many_documents(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sinks, "_mounted", lambda spark, path: None)
     sinks.write_documents(texts.limit(20), str(tmp_path / "other"))
     assert readers.read_documents(spark, str(tmp_path / "other"), pattern="*.txt").count() == 20
+
+
+def test_documents_are_listed_by_tasks(spark, tmp_path):
+    for name, text in {
+        "a/1.txt": "one\r\ntwo", "a/b/c/2.txt": "é", "3.txt": "three", "a/empty.txt": "", "a/.hidden.txt": "h", "_x/4.txt": "h", ".y/5.txt": "h",
+        "k=1/6.txt": "six", "a b%20/7.txt": "seven", "8.md": "other", "9.txt.bak": "other",
+    }.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode())
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,text}")
+    listed = sorted((r["path"], r["content"].decode().replace("\r\n", "\n")) for r in reader.load(str(tmp_path)).collect())
+    found = readers.read_documents(spark, str(tmp_path), str(tmp_path / "a"), str(tmp_path / "a" / "1.txt"), pattern="*.{txt,text}")
+    assert sorted(map(tuple, found.collect())) == listed and len(listed) == 5
+    # No list of the files is in the driver's plan.
+    assert not [f for f in found.inputFiles() if str(tmp_path) in f] and "binaryFile" not in plan_of(found)
+    assert readers.read_documents(spark, str(tmp_path), pattern="*.none").count() == 0
